@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, html_extract, sharding, simhash
+from flowlake.llm import decontaminate, html_extract, langid, quality_crf, sharding, simhash
 from flowlake.llm import exact_dedup as dedup
 from flowlake.llm.common import table
 
@@ -65,6 +65,13 @@ FROM d JOIN g USING (text_sha256)
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.spans")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -86,11 +93,25 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_crf.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.select(
+        "doc_id",
+        quality_crf.held_out().alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
+    "op10_quality": op10_quality,
 }
 ORACLES = {"op4_decontamination": OP4_SQL, "op6_exact_dedup": OP6_SQL}
