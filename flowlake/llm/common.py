@@ -60,3 +60,20 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def single_rows(docs: DataFrame, keys: list[Column], repeated: DataFrame) -> DataFrame:
+    """``docs`` with one row for each key that ``repeated`` lists (columns __r0, __r1, ...).
+
+    Only rows with a repeated key are shuffled with their texts; the others are passed through.
+    """
+    if repeated.isEmpty():
+        return docs
+    repeated = broadcast_if_small(repeated)
+    same = [k.eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    twice = docs.join(repeated, on, "left_semi").withColumns({f"__r{i}": k for i, k in enumerate(keys)})
+    twice = twice.dropDuplicates([f"__r{i}" for i in range(len(keys))]).drop(*[f"__r{i}" for i in range(len(keys))])
+    return docs.join(repeated, on, "left_anti").unionByName(twice)

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, html_extract, langid, quality_crf, sharding, simhash
+import corpus_pipeline
+from flowlake.llm import decontaminate, html_extract, langid, licenses, mixing, pii, quality_crf, sharding, simhash
 from flowlake.llm import exact_dedup as dedup
 from flowlake.llm.common import table
 
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -17,6 +24,75 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences stated in the lines and paragraphs of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_GRAM_WORDS = _WORDS.replace("coalesce(text, '')", "{}")
+
+
+def _op2_sql() -> str:
+    templates = ", ".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    grams = "list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])"
+    unit_words, template_words = _GRAM_WORDS.format("piece"), _GRAM_WORDS.format("text")
+    return f"""
+WITH t AS (SELECT license, {grams} AS b FROM (SELECT license, {template_words} AS w FROM (VALUES {templates}) AS v(license, text))),
+u AS (SELECT doc_id, generate_subscripts(p, 1) AS unit, unnest(p) AS piece FROM (
+        SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)),
+               list_filter(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n'), lambda x: contains(x, chr(10)))) AS p FROM documents)),
+g AS (SELECT doc_id, unit, {grams} AS a FROM (SELECT doc_id, unit, {unit_words} AS w FROM u)),
+h AS (SELECT doc_id, unit, license, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS dice
+      FROM g, t WHERE len(a) > 0 AND len(a) BETWEEN len(b) / 1.5 - 1e-9 AND len(b) * 1.5 + 1e-9)
+SELECT doc_id, license, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM h WHERE dice >= 0.8 GROUP BY doc_id, license
+"""
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data. The key is a setting of the session."""
+    key = spark.conf.get("spark.flowlake.pii.key", "an example key: set spark.flowlake.pii.key")
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of a document in the target mixture of domains, languages and sources."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, corpus_pipeline.domain_of(F.col("source")), corpus_pipeline.WEIGHTS)
+    return mixing.draws(mixed).withColumnRenamed("id", "doc_id")
+
+
+def _op5_sql() -> str:
+    def case(column: str, weights: dict[str, int]) -> str:
+        whens = " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items())
+        return f"CASE {column} {whens} ELSE 1 END" if whens else "1"
+
+    ctes = []
+    for depth, level in enumerate(mixing.LEVELS):
+        up, path = mixing.LEVELS[:depth], mixing.LEVELS[: depth + 1]
+        by = f"PARTITION BY {', '.join(up)}" if up else ""
+        nodes = f"SELECT {', '.join(path)}, sum(4 * avail) AS cap, {case(level, corpus_pipeline.WEIGHTS.get(level, {}))} AS w FROM leaf WHERE avail > 0 GROUP BY {', '.join(path)}"
+        budget = f"JOIN g{depth} USING ({', '.join(up)})" if up else "CROSS JOIN g0"
+        ctes.append(f"""
+n{depth} AS (SELECT *, cap * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+             <= w * (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS isfull
+             FROM ({nodes}) {budget} WINDOW o AS ({by} ORDER BY CAST(cap AS DOUBLE) / w, {level})),
+g{depth + 1} AS (SELECT {', '.join(path)}, CASE WHEN isfull THEN cap ELSE (w * (budget - coalesce(sum(cap) FILTER (isfull) OVER ({by}), 0)))
+             // (sum(w) FILTER (NOT isfull) OVER ({by})) END AS budget FROM n{depth})""")
+    return f"""
+WITH d AS (SELECT DISTINCT doc_id, text, CASE try_cast(regexp_extract(source, '[0-9]+$') AS INT) % 3
+             WHEN 1 THEN 'reference' WHEN 2 THEN 'forum' ELSE 'web' END AS domain,
+             coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens) AS avail FROM d GROUP BY ALL),
+g0 AS (SELECT coalesce(sum(avail), 0) AS budget FROM leaf),{','.join(ctes)},
+plan AS (SELECT domain, lang, source, CAST(budget // avail AS BIGINT) AS full_epochs, budget % avail AS rest
+         FROM leaf JOIN g3 USING (domain, lang, source) WHERE budget > 0),
+p AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('|', '17', full_epochs, doc_id)), doc_id, tokens
+         ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN plan USING (domain, lang, source))
+SELECT doc_id, unnest(range(0, full_epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)) AS epoch, domain, lang, source, tokens FROM p
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in 13-word windows of ``benchmark``."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -30,11 +106,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WORDS = (
-    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
-    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-)
-
 OP4_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, w, least(len(w), 13) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
@@ -107,11 +178,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_license_scan": op2_license_scan,
+    "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLES = {
+    "op2_license_scan": _op2_sql(),
+    "op4_decontamination": OP4_SQL,
+    "op5_mixing": _op5_sql(),
+    "op6_exact_dedup": OP6_SQL,
 }
-ORACLES = {"op4_decontamination": OP4_SQL, "op6_exact_dedup": OP6_SQL}
