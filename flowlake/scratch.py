@@ -1,0 +1,17 @@
+"""A folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; a temporary folder where that is unset (one machine, tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlake-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
