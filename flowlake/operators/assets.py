@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.columns import asset_key, in_window, instant, route_label
 
-TS = F.col("timestamp")
-
 
 def _sum(column: str = "amount") -> F.Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("decimal(28,2)")
@@ -16,7 +14,7 @@ def _sum(column: str = "amount") -> F.Column:
 
 def asset_volumes(t: DataFrame, as_of, n: int = 50) -> DataFrame:
     """AGG11: count, sum, largest and mean amount per asset in 30 days, most transfers first."""
-    keyed = t.filter(in_window(TS, as_of, "30d")).withColumn("asset_symbol", asset_key()).filter("asset_symbol IS NOT NULL")
+    keyed = t.filter(in_window(F.col("timestamp"), as_of, "30d")).withColumn("asset_symbol", asset_key()).filter("asset_symbol IS NOT NULL")
     grouped = keyed.groupBy("asset_symbol").agg(
         F.count("*").alias("transfer_count"),
         _sum().alias("total_volume"),
@@ -30,7 +28,7 @@ def asset_volumes(t: DataFrame, as_of, n: int = 50) -> DataFrame:
 def asset_top_routes(t: DataFrame, as_of, n: int = 5) -> DataFrame:
     """AGG12: the first ``n`` routes of every asset; ``percentage`` is of the asset's listed volume."""
     keys = ["asset", "source_chain", "dest_chain", "source_name", "dest_name"]
-    keyed = t.filter(in_window(TS, as_of, "30d")).withColumn("asset", asset_key()).filter("asset IS NOT NULL")
+    keyed = t.filter(in_window(F.col("timestamp"), as_of, "30d")).withColumn("asset", asset_key()).filter("asset IS NOT NULL")
     grouped = keyed.groupBy(*keys).agg(F.count("*").alias("count"), _sum().alias("volume"), F.max("timestamp").alias("last_activity"))
     rank = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("count"), *keys[1:]))
     listed = grouped.withColumn("rank", rank).filter(F.col("rank") <= n)
@@ -41,7 +39,7 @@ def asset_top_routes(t: DataFrame, as_of, n: int = 5) -> DataFrame:
 
 def top_assets(t: DataFrame, since, limit: int) -> DataFrame:
     """AGG13: raw token symbols with most transfers since an instant."""
-    recent = t.filter(TS > instant(since)).filter("token_symbol IS NOT NULL")
+    recent = t.filter(F.col("timestamp") > instant(since)).filter("token_symbol IS NOT NULL")
     grouped = recent.groupBy("token_symbol").agg(F.count("*").alias("transfer_count"), _sum().alias("total_volume"))
     return grouped.orderBy(F.desc("transfer_count"), "token_symbol").limit(limit)
 

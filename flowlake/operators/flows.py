@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.columns import SCALE_PERIODS, asset_key, in_window, instant
 
-TS = F.col("timestamp")
-
 
 def chain_flows(t: DataFrame, as_of) -> DataFrame:
     """AGG8 / JN1: outgoing and incoming counts of every chain in 30 days; net is in - out.
 
     Grouped by id and name, joined by id only, so a chain of several names gives a row for each pairing.
     """
-    recent = t.filter(in_window(TS, as_of, "30d"))
+    recent = t.filter(in_window(F.col("timestamp"), as_of, "30d"))
 
     def half(side: str, count: str) -> DataFrame:
         return recent.groupBy(F.col(f"{side}_chain").alias(f"{side}_id"), F.col(f"{side}_name").alias(f"{side}_nm")).agg(
-            F.count("*").alias(count), F.max(TS).alias(f"{side}_last"))
+            F.count("*").alias(count), F.max(F.col("timestamp")).alias(f"{side}_last"))
 
     out, inc = half("source", "out"), half("dest", "inc")
     o, i = F.coalesce("out", F.lit(0)), F.coalesce("inc", F.lit(0))
@@ -57,10 +55,10 @@ def chain_flows_by_scale(t: DataFrame, as_of, n: int = 10) -> DataFrame:
     counts = []
     for p in SCALE_PERIODS:
         counts += [
-            F.count(F.when(out & in_window(TS, as_of, p), 1)).alias(f"out_{p}"),
-            F.count(F.when(inc & in_window(TS, as_of, p), 1)).alias(f"in_{p}"),
+            F.count(F.when(out & in_window(F.col("timestamp"), as_of, p), 1)).alias(f"out_{p}"),
+            F.count(F.when(inc & in_window(F.col("timestamp"), as_of, p), 1)).alias(f"in_{p}"),
         ]
-    grouped = _directed(t.filter(in_window(TS, as_of, "30d"))).groupBy("chain_id").agg(F.min("chain_name").alias("chain_name"), *counts)
+    grouped = _directed(t.filter(in_window(F.col("timestamp"), as_of, "30d"))).groupBy("chain_id").agg(F.min("chain_name").alias("chain_name"), *counts)
     rows = [
         F.struct(F.lit(p).alias("time_scale"), F.col(f"out_{p}").alias("outgoing_count"), F.col(f"in_{p}").alias("incoming_count"))
         for p in SCALE_PERIODS
@@ -77,7 +75,7 @@ def chain_top_assets(t: DataFrame, as_of, n: int = 5) -> DataFrame:
 
     ``percentage`` is of the volume of the listed rows of the chain.
     """
-    keyed = t.filter(in_window(TS, as_of, "30d")).withColumn("asset", asset_key()).filter("asset IS NOT NULL")
+    keyed = t.filter(in_window(F.col("timestamp"), as_of, "30d")).withColumn("asset", asset_key()).filter("asset IS NOT NULL")
     out, inc = F.col("side") == "source", F.col("side") == "dest"
     volume = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0)).cast("decimal(28,2)")
     grouped = _directed(keyed).groupBy("chain_id", "asset").agg(

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from flowlake.functions.columns import PERIODS, RATE_PERIODS, ago, in_prev_window, in_window, instant, percent_change, period_rank
 
-TS = F.col("timestamp")
-
 
 def _count(condition) -> F.Column:
     return F.count(F.when(condition, 1))
@@ -16,7 +14,7 @@ def _count(condition) -> F.Column:
 
 def transfer_rates(t: DataFrame, as_of) -> DataFrame:
     """AGG1: period, count, calculated_at for all time and six trailing periods."""
-    counters = [F.count("*").alias("all")] + [_count(in_window(TS, as_of, p)).alias(p) for p in RATE_PERIODS]
+    counters = [F.count("*").alias("all")] + [_count(in_window(F.col("timestamp"), as_of, p)).alias(p) for p in RATE_PERIODS]
     wide = t.agg(*counters)
     return wide.unpivot([], wide.columns, "period", "count").withColumn("calculated_at", instant(as_of))
 
@@ -24,9 +22,9 @@ def transfer_rates(t: DataFrame, as_of) -> DataFrame:
 def transfer_rates_legacy(t: DataFrame, as_of) -> DataFrame:
     """AGG2: minute, hour, day and total counts in one row."""
     return t.agg(
-        _count(in_window(TS, as_of, "1m")).alias("per_minute"),
-        _count(in_window(TS, as_of, "1h")).alias("per_hour"),
-        _count(in_window(TS, as_of, "1d")).alias("per_day"),
+        _count(in_window(F.col("timestamp"), as_of, "1m")).alias("per_minute"),
+        _count(in_window(F.col("timestamp"), as_of, "1h")).alias("per_hour"),
+        _count(in_window(F.col("timestamp"), as_of, "1d")).alias("per_day"),
         F.count("*").alias("total"),
     )
 
@@ -38,8 +36,8 @@ def transfer_rate_changes(t: DataFrame, as_of) -> DataFrame:
     """
     counters = []
     for p in RATE_PERIODS:
-        counters += [_count(in_window(TS, as_of, p)).alias(f"cur_{p}"), _count(in_prev_window(TS, as_of, p)).alias(f"prev_{p}")]
-    base = (TS > ago(as_of, 1800)) & (TS <= ago(as_of, PERIODS["5m"]))
+        counters += [_count(in_window(F.col("timestamp"), as_of, p)).alias(f"cur_{p}"), _count(in_prev_window(F.col("timestamp"), as_of, p)).alias(f"prev_{p}")]
+    base = (F.col("timestamp") > ago(as_of, 1800)) & (F.col("timestamp") <= ago(as_of, PERIODS["5m"]))
     counters.append(_count(base).alias("base"))
     wide = t.agg(*counters)
     rows = [
@@ -62,5 +60,5 @@ def order_periods(df: DataFrame, column: str = "period") -> DataFrame:
 def data_availability(t: DataFrame, as_of) -> DataFrame:
     """AGG19: whether each trailing period has transfers, and the 30-day flag served for all of them."""
     names = {"1m": "has_minute", "1h": "has_hour", "1d": "has_day", "7d": "has_7_days", "14d": "has_14_days", "30d": "has_30_days"}
-    flags = [(_count(in_window(TS, as_of, p)) > 0).alias(name) for p, name in names.items()]
+    flags = [(_count(in_window(F.col("timestamp"), as_of, p)) > 0).alias(name) for p, name in names.items()]
     return t.agg(*flags).withColumn("served", F.col("has_30_days"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from flowlake.functions.columns import SCALE_PERIODS, in_window, instant, route_label
 
 KEYS = ["source_chain", "dest_chain", "source_name", "dest_name"]
-TS = F.col("timestamp")
 
 
 def _grouped(t: DataFrame) -> DataFrame:
@@ -25,18 +24,18 @@ def _top(grouped: DataFrame, n: int) -> DataFrame:
 
 def popular_routes(t: DataFrame, as_of, n: int = 50) -> DataFrame:
     """AGG14: routes with most transfers in 30 days."""
-    return _top(_grouped(t.filter(in_window(TS, as_of, "30d"))), n)
+    return _top(_grouped(t.filter(in_window(F.col("timestamp"), as_of, "30d"))), n)
 
 
 def top_routes(t: DataFrame, since, limit: int) -> DataFrame:
     """AGG15: routes with most transfers since an instant."""
-    return _top(_grouped(t.filter(TS > instant(since))), limit)
+    return _top(_grouped(t.filter(F.col("timestamp") > instant(since))), limit)
 
 
 def popular_routes_by_scale(t: DataFrame, as_of, n: int = 10) -> DataFrame:
     """AGG15 for every time scale: one grouping, then the top of each scale."""
-    counts = [F.count(F.when(in_window(TS, as_of, p), 1)).alias(p) for p in SCALE_PERIODS]
-    grouped = t.filter(in_window(TS, as_of, "30d")).groupBy(*KEYS).agg(*counts)
+    counts = [F.count(F.when(in_window(F.col("timestamp"), as_of, p), 1)).alias(p) for p in SCALE_PERIODS]
+    grouped = t.filter(in_window(F.col("timestamp"), as_of, "30d")).groupBy(*KEYS).agg(*counts)
     long = grouped.unpivot(KEYS, SCALE_PERIODS, "time_scale", "transfer_count").filter("transfer_count > 0")
     rank = F.row_number().over(Window.partitionBy("time_scale").orderBy(F.desc("transfer_count"), *KEYS))
     return long.withColumn("rank", rank).filter(F.col("rank") <= n).withColumn("route", route_label())

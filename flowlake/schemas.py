@@ -1,31 +1,22 @@
-"""Explicit schemas of stored tables and wire documents."""
+"""Explicit schemas of stored tables and wire documents, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-AMOUNT = T.DecimalType(38, 18)
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-TRANSFERS = _struct(
+TRANSFERS = (
     "packet_hash string, sort_order string, source_chain string, dest_chain string, source_name string, dest_name string, "
     "sender string, receiver string, amount decimal(38,18), token_symbol string, canonical_token_symbol string, "
     "timestamp timestamp, created_at timestamp, ingest_seq long"
 )
-LATENCY = _struct(
+LATENCY = (
     "source_chain string, dest_chain string, source_name string, dest_name string, "
     + ", ".join(f"{event}_{stat} double" for event in ("packet_ack", "packet_recv", "write_ack") for stat in ("p5", "median", "p95"))
     + ", fetched_at timestamp"
 )
-NODE_HEALTH = _struct(
+NODE_HEALTH = (
     "chain_id string, chain_name string, rpc_url string, rpc_type string, status string, response_time_ms int, "
     "latest_block_height long, error_message string, uptime double, checked_at timestamp"
 )
-CHAINS = _struct(
+CHAINS = (
     "universal_chain_id string, chain_id string, display_name string, testnet boolean, rpc_type string, addr_prefix string, "
     "rpcs array<struct<url: string>>"
 )
@@ -41,14 +32,14 @@ RAW_TRANSFER = (
     "base_token: string, base_amount: string, base_token_symbol: string, base_token_decimals: int, sort_order: string, "
     f"packet_hash: string, wrap_direction: string, quote_token_meta: {_META}, base_token_meta: {_META}>"
 )
-_ERRORS = "errors: array<struct<message: string>>"
-TRANSFER_DOCS = _struct(f"data struct<v2_transfers: array<{RAW_TRANSFER}>>, {_ERRORS}")
-CHAIN_DOCS = _struct(
+_ERRORS = "errors array<struct<message: string>>"
+TRANSFER_DOCS = (f"data struct<v2_transfers: array<{RAW_TRANSFER}>>, {_ERRORS}")
+CHAIN_DOCS = (
     "data struct<v2_chains: array<struct<universal_chain_id: string, chain_id: string, display_name: string, testnet: boolean, "
     f"rpc_type: string, addr_prefix: string, rpcs: array<struct<url: string>>>>>, {_ERRORS}"
 )
 _STATS = "struct<p5: double, median: double, p95: double>"
-LATENCY_DOCS = _struct(
+LATENCY_DOCS = (
     "source_chain string, dest_chain string, data struct<v2_stats_latency: array<struct<"
     f"secs_until_packet_ack: {_STATS}, secs_until_packet_recv: {_STATS}, secs_until_write_ack: {_STATS}>>>, {_ERRORS}"
 )

@@ -20,6 +20,7 @@ class _Pages(SimpleDataSourceStreamReader):
         return {"cursor": self.start}
 
     def _rows(self, after: str, upto: str | None = None) -> list[tuple]:
+        import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
@@ -28,7 +29,8 @@ class _Pages(SimpleDataSourceStreamReader):
             keep = keep & (pc.field("sort_order") <= upto)
         found = ds.dataset(self.path).to_table(columns=COLUMNS, filter=keep).sort_by("sort_order")
         found = found if upto is not None else found.slice(0, self.page)
-        return list(zip(*[found[c].to_pylist() for c in COLUMNS])) if found.num_rows else []
+        in_utc = {"timestamp": found["timestamp"].cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))}
+        return list(zip(*[in_utc.get(c, found[c]).to_pylist() for c in COLUMNS]))
 
     def read(self, start: dict):
         rows = self._rows(start["cursor"])

@@ -75,7 +75,7 @@ def _mark(spark: SparkSession, path: str, on: bool) -> None:
 def _read_keys(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):
         return spark.createDataFrame([], "packet_hash string")
-    return spark.read.schema("packet_hash string").parquet(path)
+    return spark.read.schema("packet_hash string").parquet(path).select("packet_hash")
 
 
 def transfer_messages(df: DataFrame) -> DataFrame:
