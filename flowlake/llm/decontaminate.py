@@ -121,8 +121,10 @@ def _hit_windows(texts: DataFrame, lengths: list[int]) -> DataFrame:
         all_ = F.transform(_starts(w, n), lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), _window_at(w, s, n).alias("window")))
         return F.filter(all_, lambda x: F.array_contains(hs, F.xxhash64(F.lit(n), x["window"])))
 
-    found = [_let(F.col("w"), lambda w: around(w, F.col("hs")))]
-    found += [_let(F.col("w"), lambda w, n=n: whole(w, F.col("hs"), n)) for n in lengths]
+    def short(n: int) -> Column:
+        return _let(F.col("w"), lambda w: whole(w, F.col("hs"), n))
+
+    found = [_let(F.col("w"), lambda w: around(w, F.col("hs"))), *[short(n) for n in lengths]]
     return texts.select("k1", "k2", F.explode(F.concat(*found)).alias("x")).select("k1", "k2", "x.*")
 
 

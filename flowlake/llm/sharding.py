@@ -53,7 +53,7 @@ def _pack(slots: DataFrame, n_shards: int, version: int, start=None) -> DataFram
     """
     loads = start if start is not None else F.array_repeat(F.lit(0).cast("long"), n_shards)
     ordered = F.sort_array(F.collect_list(F.struct("bytes", "virtual_slot")), asc=False)
-    one = slots.agg(ordered.alias("slots"))
+    one = slots.agg(ordered.alias("slots"), (F.first(loads) if start is not None else loads).alias("loads"))
 
     def put(state, x):
         least = F.array_position(state["loads"], F.array_min(state["loads"])).cast("int") - 1
@@ -62,7 +62,7 @@ def _pack(slots: DataFrame, n_shards: int, version: int, start=None) -> DataFram
             F.concat(state["shards"], F.array(least)).alias("shards"),
         )
 
-    empty = F.struct(loads.alias("loads"), F.array().cast("array<int>").alias("shards"))
+    empty = F.struct(F.col("loads"), F.array().cast("array<int>").alias("shards"))
     packed = one.select("slots", F.aggregate("slots", empty, put, lambda s: s["shards"]).alias("shards"))
     pair = F.explode(F.arrays_zip(F.col("slots.virtual_slot").alias("virtual_slot"), "shards")).alias("x")
     return packed.select(pair).select(
@@ -101,7 +101,7 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame
         ).alias("loads")
     )
     moving = held.filter("NOT stays").select("bytes", "virtual_slot")
-    moved = _pack(moving.crossJoin(F.broadcast(loads)), n_shards, 0, start=F.first("loads"))
+    moved = _pack(moving.crossJoin(F.broadcast(loads)), n_shards, 0, start=F.col("loads"))
     moved = moved.crossJoin(F.broadcast(total)).select(version.alias("version"), "virtual_slot", "shard")
     return kept.unionByName(moved)
 

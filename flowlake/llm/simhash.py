@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import broadcast_if_small, materialize, small_batches
+from flowlake.llm.common import broadcast_if_small, materialize, single_rows, small_batches
 from flowlake.llm.graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -130,20 +130,30 @@ def near_links(classes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp of every row, written once so that the texts are read once."""
+    """id, text_key (a hash of the text), fp of every row, written once so that the texts are read once."""
     small_batches(docs.sparkSession)
-    return materialize(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash-fp")
+    key = text_hash(F.col(text_col)).alias("text_key")
+    return materialize(docs.select(F.col(id_col).alias("id"), key, simhash(F.col(text_col)).alias("fp")), "simhash-fp")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fp (signed long), component_id of every row: the smallest id reachable over links."""
     rows = fingerprints(docs, id_col, text_col)
+    return _resolve(rows).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _resolve(rows: DataFrame) -> DataFrame:
+    """``rows`` with the component of their fingerprint's class."""
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
     components = connected_components(near_links(classes.filter("rep IS NOT NULL")))
     resolved = classes.join(components, classes["rep"] == components["node"], "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
-    return rows.join(resolved, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(resolved, "fp")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -156,14 +166,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows with a null id in a component without any id stay. Of repeated rows of a kept id one stays.
     """
-    found = materialize(simhash_components(docs, id_col, text_col), "simhash-components")
-    losers = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    losers = materialize(losers, "simhash-losers")
-    kept = docs.join(broadcast_if_small(losers), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    again = found.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").filter(F.col(id_col).isNotNull())
-    again = materialize(again.select(F.col(id_col).alias("__id")), "simhash-repeated")
-    if again.isEmpty():
-        return kept
-    again = broadcast_if_small(again)
-    once = kept.join(again, F.col(id_col) == F.col("__id"), "left_anti")
-    return once.unionByName(kept.join(again, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col]))
+    found = materialize(_resolve(fingerprints(docs, id_col, text_col)), "simhash-components")
+    losers = found.filter(~F.col("id").eqNullSafe(F.col("component_id")))
+    losers = materialize(losers.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "simhash-losers")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__key"))
+    kept = docs.join(broadcast_if_small(losers), same, "left_anti")
+    again = found.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    return single_rows(kept, [F.col(id_col)], materialize(again.select(F.col("id").alias("__r0")), "simhash-repeated"))
