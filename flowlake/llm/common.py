@@ -58,6 +58,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def split_words(text: Column, between: str) -> Column:
+    """Words of a text: what lies between matches of ``between``. Splitting is several times faster than matching words."""
+    return F.array_remove(F.split(text, between), "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,10 +21,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import ascii_lower
+from flowlake.llm.common import ascii_lower, split_words
 
 THRESHOLD = 0.8
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Notices and first paragraphs of common licences, each as its licence states it.
 TEMPLATES = [
@@ -47,9 +47,9 @@ TEMPLATES = [
 ]
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct hashes of neighbouring words."""
-    words = F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+def bigrams(lowered: Column) -> Column:
+    """Distinct hashes of neighbouring words of a lower-cased text."""
+    words = split_words(lowered, NO_WORD)
 
     def pairs(w: Column) -> Column:
         n = F.greatest(F.size(w) - 1, F.lit(0))
@@ -61,7 +61,7 @@ def bigrams(text: Column) -> Column:
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """size, license, template, template_bigrams: a row for each unit size a template can match."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
-    sized = rows.select("template", "license", bigrams(F.col("text")).alias("template_bigrams"))
+    sized = rows.select("template", "license", bigrams(ascii_lower(F.col("text"))).alias("template_bigrams"))
     b = F.size("template_bigrams")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = F.sequence(F.ceil(b * low - 1e-9).cast("int"), F.floor(b * high + 1e-9).cast("int"))
@@ -83,8 +83,11 @@ def scan_licenses(
 ) -> DataFrame:
     """id_col, license, dice (of the best unit), n_units (that match) of every document with a licence."""
     known = template_table(docs.sparkSession, templates, threshold)
-    pieces = docs.select(F.col(id_col).alias("id"), F.posexplode(units(F.coalesce(F.col(text_col), F.lit("")))).alias("unit", "piece"))
-    sized = pieces.select("id", "unit", bigrams(F.col("piece")).alias("grams")).withColumn("size", F.size("grams"))
+    # sizes are made inside the generator: nothing derived from them can be evaluated before it, again
+    sized_unit = lambda u: F.element_at(F.transform(F.array(bigrams(u)), lambda g: F.struct(g.alias("grams"), F.size(g).alias("size"))), 1)
+    lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    pieces = docs.select(F.col(id_col).alias("id"), F.posexplode(F.transform(units(lowered), sized_unit)).alias("unit", "u"))
+    sized = pieces.select("id", "unit", "u.grams", "u.size")
     both = sized.join(F.broadcast(known), "size")
     shared = F.size(F.array_intersect("grams", "template_bigrams"))
     dice = F.round(2 * shared / (F.col("size") + F.size("template_bigrams")), 6)
