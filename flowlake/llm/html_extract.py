@@ -74,6 +74,11 @@ class _Node:
         self.chars = self.links = 0
 
 
+def _names_cut_part(value: str) -> bool:
+    words = _WORD.findall(value.lower()) + _WORD.findall(_CAMEL.sub(" ", value).lower())
+    return not CUT_WORDS.isdisjoint(words)
+
+
 def _is_cut(tag: str, attrs: str) -> bool:
     if tag in CUT:
         return True
@@ -86,7 +91,7 @@ def _is_cut(tag: str, attrs: str) -> bool:
         if name == "style":
             if "display:none" in value.lower().replace(" ", ""):
                 return True
-        elif name in ("class", "id", "role") and not CUT_WORDS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
+        elif name in ("class", "id", "role") and _names_cut_part(value):
             # an article or main element is cut only where it is marked as a reader comment
             if tag not in KEPT_ALWAYS or "comment" in value.lower():
                 return True
