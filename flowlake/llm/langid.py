@@ -23,6 +23,7 @@ Defined results for odd input
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,10 +40,10 @@ MAX_TRAIN_ROWS = 2000
 #: Characters of a training text that are learned from. Predictions always read whole texts.
 TRAIN_CHARS = 20_000
 MAX_GRAMS = 60_000
-GRAM_SIZES = (1, 2, 3)
+GRAM_SIZES = (2, 3)
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
-WORD_CACHE = 300_000
+WORD_CACHE = 500_000
 
 # First and last code point of the scripts told apart.
 SCRIPTS = [
@@ -64,7 +65,7 @@ def script_of(word: str) -> str:
 
 def _grams(word: str) -> list[str]:
     padded = f" {word} "
-    return [padded[i : i + n] for n in GRAM_SIZES for i in range(len(padded) - n + 1) if n > 1 or padded[i] != " "]
+    return [padded[i : i + n] for n in GRAM_SIZES for i in range(len(padded) - n + 1)]
 
 
 class WordModel:
@@ -75,7 +76,8 @@ class WordModel:
         self.scores = np.vstack([scores, np.zeros(len(langs))])  # the last row is of unknown n-grams
         self.narrow = {s for s, allowed in scripts.items() if not allowed.all()}
         self._words: dict[str, int] = {}
-        self._table = np.zeros((1024, len(langs)))
+        self._table = np.zeros((1024, len(langs)), dtype=np.float32)
+        self.key = hashlib.blake2b(repr((langs, sorted(grams), sorted(scripts))).encode() + scores.tobytes()).hexdigest()
 
     @classmethod
     def fit(cls, texts: list[tuple[str, str]]) -> "WordModel | None":
@@ -124,7 +126,7 @@ class WordModel:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Words x languages. Scores of words seen before are kept, up to WORD_CACHE words."""
         if len(self._words) > WORD_CACHE:
-            self._words, self._table = {}, np.zeros((1024, len(self.langs)))
+            self._words, self._table = {}, np.zeros((1024, len(self.langs)), dtype=np.float32)
         known = self._words
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
@@ -149,18 +151,17 @@ class WordModel:
         run = np.concatenate([[0.0], np.cumsum(others.max(axis=1))])
         if (run - np.minimum.accumulate(run)).max() < penalty:
             return np.full(n, best)
-        came = np.empty((n, k), dtype=np.int64)
-        score = emitted[0].copy()
-        stay = np.arange(k)
-        for t in range(1, n):
-            top = int(score.argmax())
-            switched = score[top] - penalty
-            came[t] = np.where(score >= switched, stay, top)
-            score = np.maximum(score, switched) + emitted[t]
+        came, score = [], emitted[0].tolist()
+        for row in emitted[1:].tolist():
+            switched = max(score)
+            top = score.index(switched)
+            switched -= penalty
+            came.append([j if s >= switched else top for j, s in enumerate(score)])
+            score = [(s if s >= switched else switched) + e for s, e in zip(score, row)]
         out = np.empty(n, dtype=np.int64)
-        out[-1] = int(score.argmax())
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = came[t, out[t]]
+        out[-1] = at = score.index(max(score))
+        for t in range(n - 2, -1, -1):
+            out[t] = at = came[t][at]
         return out
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
@@ -208,13 +209,25 @@ LABELS = T.StructType(
 )
 
 
+#: The model a worker process holds, with the words it has scored: kept from task to task.
+_held: dict[str, WordModel] = {}
+
+
+def _hold(model: WordModel) -> WordModel:
+    if model.key not in _held:
+        _held.clear()
+        _held[model.key] = model
+    return _held[model.key]
+
+
 def labeller(model: WordModel | None):
     """Pandas UDF: text -> struct of lang_pred, score and word spans."""
 
     @F.pandas_udf(LABELS)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held = _hold(model) if model else None
         for texts in batches:
-            found = [model.label(t) if model else ("und", 0.0, []) for t in texts]
+            found = [held.label(t) if held else ("und", 0.0, []) for t in texts]
             yield pd.DataFrame(
                 {
                     "lang_pred": [f[0] for f in found],
