@@ -100,3 +100,8 @@ def store_summary(df: DataFrame, chart_type: str, time_scale: str, as_of, path:
     """SNK5 at rest: replace the one partition of (chart_type, time_scale)."""
     rows = summary_rows(df, chart_type, time_scale, as_of)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chart_type", "time_scale").parquet(path)
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """Stored summaries. The schema is stated: a time scale of 1d would be inferred to be a number."""
+    return spark.read.schema("data_json string, updated_at timestamp, chart_type string, time_scale string").parquet(path)

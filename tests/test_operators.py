@@ -197,7 +197,7 @@ def test_store_summary_replaces_its_partition(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "rank int, name string")
     for scale in ("1d", "7d", "1d"):
         sinks.store_summary(df, "routes", scale, NOW, str(tmp_path))
-    got = spark.read.parquet(str(tmp_path)).collect()
+    got = sinks.read_summaries(spark, str(tmp_path)).collect()
     assert sorted(r["time_scale"] for r in got) == ["1d", "7d"] and got[0]["data_json"] == '[{"rank":1,"name":"x"}]'
 
 
