@@ -24,7 +24,7 @@ def domain_of(source: Column) -> Column:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or without a language that labels half of their letters, go."""
+    """Texts without letters go, and mixed texts without a language that labels half of their letters."""
     return langid.keep_identified(docs)
 
 

@@ -251,9 +251,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return docs.withColumn("language", labeller(model)(F.col(text_col)))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without texts that have no letters or no language that labels half of their letters."""
+def keep_identified(docs: DataFrame, min_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without texts that have no letters and mixed texts no language of which labels ``min_share`` of the letters.
+
+    A text of one language stays however short it is and however close another language comes.
+    """
     small_batches(docs.sparkSession)
     model = fit(docs, ~held_out(id_col), id_col, text_col, lang_col)
-    found = labeller(model)(F.col(text_col))
-    return docs.withColumn("__language", found).filter("__language.lang_pred != 'und' AND __language.score >= %f" % min_score).drop("__language")
+    found = docs.withColumn("__language", labeller(model)(F.col(text_col)))
+    return found.filter(is_identified(F.col("__language"), min_share)).drop("__language")
+
+
+def is_identified(language: Column, min_share: float = 0.5) -> Column:
+    """Whether a struct of ``labeller`` names a language for its text."""
+    one = F.size(language["spans"]) <= 1
+    return (language["lang_pred"] != "und") & (one | (language["score"] >= min_share))
