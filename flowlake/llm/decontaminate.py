@@ -30,17 +30,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import ascii_lower, broadcast_if_small, materialize
+from flowlake.llm.common import ascii_lower, broadcast_if_small, materialize, split_words
 
 WINDOW = 13
 GRAM = 6
 SPAN = WINDOW - GRAM + 1
-#: A word: digits, lower-case letters and everything outside ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words: ASCII but for digits and lower-case letters.
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return split_words(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
