@@ -170,7 +170,8 @@ def contamination(
     counted = matched.select("k1", "k2", "start", "n").distinct().withColumn("fresh", fresh)
     n_hit = counted.groupBy("k1", "k2").agg(F.sum("fresh").alias("n_hit"))
     named = matched.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    result = n_hit.join(named, ["k1", "k2"])
+    # written first, so that the join below deals rows by plain exchanges: a hot text can be split
+    result = broadcast_if_small(materialize(n_hit.join(named, ["k1", "k2"]), "contaminated-texts"), 200_000)
     return rows.filter("h IS NULL").join(result, ["k1", "k2"], "left").select(
         F.col("id").alias(id_col),
         "k1",
