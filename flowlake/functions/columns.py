@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MINUTE, HOUR, DAY = 60, 3600, 86400
@@ -34,6 +34,12 @@ def in_prev_window(ts: Column, as_of: Column | datetime, period: str) -> Column:
     return (ts > ago(as_of, 2 * PERIODS[period])) & (ts <= ago(as_of, PERIODS[period]))
 
 
+def since(t: DataFrame, as_of: Column | datetime, seconds: int) -> DataFrame:
+    """Rows newer than ``as_of`` less ``seconds``; of a table partitioned by date, only those partitions are listed."""
+    recent = t.filter(F.col("timestamp") > ago(as_of, seconds))
+    return recent.filter(F.col("date") >= F.to_date(ago(as_of, seconds))) if "date" in t.columns else recent
+
+
 def asset_key(canonical: str = "canonical_token_symbol", symbol: str = "token_symbol") -> Column:
     return F.coalesce(F.nullif(F.col(canonical), F.lit("")), F.col(symbol))
 

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.functions.columns import DAY, ago
+from flowlake.functions.columns import DAY, since
 from flowlake.operators import assets, flows, rates, routes, wallets
 
 COLUMNS = ["source_chain", "dest_chain", "source_name", "dest_name", "sender", "receiver", "amount", "token_symbol", "canonical_token_symbol", "timestamp"]
@@ -40,7 +40,7 @@ def refresh_analytics(t: DataFrame, as_of: datetime, out: str) -> DataFrame:
     """
     spark = t.sparkSession
     version = as_of.strftime("v%Y%m%dT%H%M%S%f") + f"-{time.time_ns()}"
-    recent = t.filter(F.col("timestamp") > ago(as_of, 30 * DAY)).select(*COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+    recent = since(t, as_of, 30 * DAY).select(*COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
     report = []
     try:
         for view, df in summaries(t, recent, as_of).items():

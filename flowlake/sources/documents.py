@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake import schemas
+from flowlake.functions.columns import DAY, since
 
 
-def read_transfers(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: the transfers table, with date partitions where the table has them."""
-    return spark.read.schema(schemas.TRANSFERS).parquet(path)
+def read_transfers(spark: SparkSession, path: str, as_of=None, days: int | None = None) -> DataFrame:
+    """SRC1: the transfers table; with ``as_of`` and ``days`` only the partitions and rows of that time."""
+    stored = spark.read.schema(schemas.TRANSFERS).parquet(path)
+    return stored if as_of is None or days is None else since(stored, as_of, days * DAY)
 
 
 def _accepted(docs: DataFrame) -> DataFrame:

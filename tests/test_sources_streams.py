@@ -105,6 +105,16 @@ def test_windows_reach_the_scan(spark, tmp_path):
     assert "sender" not in plan  # columns are pruned
 
 
+def test_recent_reads_list_recent_partitions_only(spark, tmp_path):
+    t = fx.transfers_rt(spark, SF).withColumn("amount", F.col("amount").cast("decimal(38,18)")).withColumn("date", F.to_date("timestamp"))
+    t.write.partitionBy("date").parquet(f"{tmp_path}/facts")
+    as_of = datetime(2024, 1, 20)
+    recent = src.read_transfers(spark, f"{tmp_path}/facts", as_of, 7)
+    plan = _plan(recent)
+    assert "PartitionFilters: [isnotnull(date" in plan and ">= 2024-01-13" in plan
+    assert recent.count() == t.filter((F.col("timestamp") > F.lit(as_of - timedelta(days=7)))).count()
+
+
 def test_wallets_shuffle_once_by_wallet(spark):
     plan = _plan(wallets.wallet_stats_exact(fx.transfers_rt(spark, SF), datetime(2024, 1, 20)))
     assert plan.count("hashpartitioning") == 1 and plan.count("FileScan parquet") == 1
