@@ -71,7 +71,8 @@ def exact_dedup(
 
     The digest column is of every row; the groups come from the refinement.
     """
-    groups = duplicate_groups(docs, id_col, text_col, prefix_chars)
+    # written first, so that the join below deals rows by plain exchanges: a hot text can be split
+    groups = broadcast_if_small(materialize(duplicate_groups(docs, id_col, text_col, prefix_chars), "dedup-groups"))
     rows = (
         docs.select(F.col(id_col).alias("id"), full_hash(F.col(text_col)).alias("text_sha256"))
         .groupBy("id", "text_sha256")
