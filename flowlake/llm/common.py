@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Most rows that may be broadcast. Callers broadcast a few numbers or short strings per row, so
 #: this bounds a broadcast to roughly 100 MB; anything larger is joined by shuffling instead.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +40,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if a count shows at most ``max_rows`` rows, else ``df`` for a shuffled join.
 
-    Give it something materialised: the count is an action.
+    Give it something materialised: the count is an action, which then reads file footers only.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -53,7 +53,7 @@ def _pack(slots: DataFrame, n_shards: int, version: int, start=None) -> DataFram
     """
     loads = start if start is not None else F.array_repeat(F.lit(0).cast("long"), n_shards)
     ordered = F.sort_array(F.collect_list(F.struct("bytes", "virtual_slot")), asc=False)
-    one = slots.agg(ordered.alias("slots"), (F.first(loads) if start is not None else loads).alias("loads"))
+    one = slots.agg(ordered.alias("slots")).withColumn("loads", loads)
 
     def put(state, x):
         least = F.array_position(state["loads"], F.array_min(state["loads"])).cast("int") - 1
@@ -85,25 +85,24 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame
     shards. Every other slot stays where it is.
     """
     sized = sizes.join(F.broadcast(slot_map), "virtual_slot", "left")
-    total = sized.agg(F.sum("bytes").alias("total"), F.max("version").alias("last"))
+    total = sizes.agg(F.sum("bytes")).scalar()
+    version = slot_map.agg(F.max("version")).scalar() + 1
     by_size = Window.partitionBy("shard").orderBy(F.col("bytes"), "virtual_slot")
-    held = sized.crossJoin(F.broadcast(total)).withColumn("below", F.sum("bytes").over(by_size))
+    held = sized.withColumn("below", F.sum("bytes").over(by_size)).withColumn("total", total)
     stays = (F.col("shard") < n_shards) & (F.col("below") * n_shards <= F.col("total"))
     held = held.withColumn("stays", F.coalesce(stays, F.lit(False)))
-    version = F.col("last") + 1
-    kept = held.filter("stays").select(version.alias("version"), "virtual_slot", "shard")
+    kept = held.filter("stays").select("virtual_slot", "shard")
     shards = sizes.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
     per_shard = shards.join(held.filter("stays").groupBy("shard").agg(F.sum("bytes").alias("b")), "shard", "left")
     loads = per_shard.agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("shard", F.coalesce("b", F.lit(0)).cast("long").alias("b")))),
             lambda x: x["b"],
-        ).alias("loads")
-    )
-    moving = held.filter("NOT stays").select("bytes", "virtual_slot")
-    moved = _pack(moving.crossJoin(F.broadcast(loads)), n_shards, 0, start=F.col("loads"))
-    moved = moved.crossJoin(F.broadcast(total)).select(version.alias("version"), "virtual_slot", "shard")
-    return kept.unionByName(moved)
+        )
+    ).scalar()
+    moved = _pack(held.filter("NOT stays").select("bytes", "virtual_slot"), n_shards, 0, start=loads)
+    both = kept.unionByName(moved.select("virtual_slot", "shard"))
+    return both.select(version.alias("version"), "virtual_slot", "shard")
 
 
 def store_slot_map(slot_map: DataFrame, path: str) -> None:
