@@ -26,9 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import broadcast_if_small, materialize, single_rows
+from flowlake.llm.common import broadcast_if_small, materialize, single_rows, split_words
 
-WORD = r"[^\x20\x09-\x0D]+"
+WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Ranges of the seeded order per leaf: 16 ** HEX_DIGITS.
 HEX_DIGITS = 3
 LEVELS = ["domain", "lang", "source"]
@@ -36,7 +36,7 @@ LEVELS = ["domain", "lang", "source"]
 
 def count_tokens(text: Column) -> Column:
     """Words between ASCII white space."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    return F.size(split_words(F.coalesce(text, F.lit("")), WHITE_SPACE)).cast("long")
 
 
 def weight_of(name: Column, weights: dict[str, int], default: int) -> Column:
@@ -81,14 +81,14 @@ def leaf_budgets(
     nodes = nodes.filter("avail > 0 AND w_domain > 0 AND w_lang > 0 AND w_source > 0")
     nodes = nodes.withColumn("leaf_cap", F.col("avail") * max_epochs)
     if token_budget is None:
-        total = leaves.agg(F.coalesce(F.sum("avail"), F.lit(0)).alias("budget"))
+        total = leaves.agg(F.coalesce(F.sum("avail"), F.lit(0)).cast("long")).scalar()
     else:
-        total = leaves.sparkSession.range(1).select(F.lit(token_budget).cast("long").alias("budget"))
-    granted = total
+        total = F.lit(token_budget).cast("long")
+    granted = None
     for depth, level in enumerate(LEVELS):
         parent, path = LEVELS[:depth], LEVELS[: depth + 1]
         caps = nodes.groupBy(*path).agg(F.sum("leaf_cap").alias("cap"), F.first(f"w_{level}").alias("w"))
-        caps = caps.join(granted, parent) if parent else caps.join(F.broadcast(granted), F.lit(True))
+        caps = caps.join(granted, parent) if parent else caps.withColumn("budget", total)
         granted = _share(caps, parent).select(*path, F.col("grant").alias("budget"))
     return leaves.join(granted, LEVELS).select(*LEVELS, "avail", "budget")
 
@@ -121,7 +121,7 @@ def mix(
         named.groupBy("id", "text_hash").agg(F.min(F.struct(*LEVELS, "tokens")).alias("x"), F.count("*").alias("rows")).select(
             "id", "text_hash", "x.*", "rows"),
         "mix-rows")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("avail"))
+    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("avail")), "mix-leaf-sizes")
     budgets = materialize(leaf_budgets(leaves, weights, token_budget, max_epochs), "mix-leaves")
     plan = budgets.filter("budget > 0").select(
         *LEVELS, F.expr("budget div avail").alias("full_epochs"), (F.col("budget") % F.col("avail")).alias("rest"))
