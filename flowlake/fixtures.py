@@ -16,13 +16,13 @@ def _text(column: str, prefix: str = "") -> F.Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with the nation of their supplier and of their customer."""
+def _shipments(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Line items (by default all) with the nation of their supplier and of their customer."""
     t = lambda name: read(spark, sf_dir, name)
     ns = t("nation").select(F.col("n_nationkey").alias("ns_key"), F.col("n_name").alias("ns_name"))
     nc = t("nation").select(F.col("n_nationkey").alias("nc_key"), F.col("n_name").alias("nc_name"))
     return (
-        t("lineitem")
+        (t("lineitem") if lines is None else lines)
         .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -31,13 +31,17 @@ def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transfers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transfers of day granularity, with repeated packet hashes; ``rn`` = 1 marks the row that an append keeps."""
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    rows = _shipments(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items ranked among those of one key: narrow rows, before any join."""
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
         "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
     )
+    return read(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(order))
+
+
+def _as_transfers(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    rows = _shipments(spark, sf_dir, lines).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("packet_hash"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
@@ -50,12 +54,17 @@ def transfers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
         F.col("p_brand").alias("token_symbol"),
         F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.col("p_type")).alias("canonical_token_symbol"),
-        F.row_number().over(order).alias("rn"),
+        "rn",
     )
 
 
+def transfers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers of day granularity, with repeated packet hashes; ``rn`` = 1 marks the row that an append keeps."""
+    return _as_transfers(spark, sf_dir, _lines(spark, sf_dir))
+
+
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transfers_raw(spark, sf_dir).filter("rn = 1").drop("rn")
+    return _as_transfers(spark, sf_dir, _lines(spark, sf_dir).filter("rn = 1")).drop("rn")
 
 
 def transfers_rt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,3 +216,9 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest(df: DataFrame, column: str = "timestamp") -> datetime:
     """The newest instant of a table, as the literal that stands for now."""
     return df.agg(F.max(column)).first()[0]
+
+
+def latest_transfer(spark: SparkSession, sf_dir: str) -> datetime:
+    """``latest`` of ``transfers`` without its joins: the kept line item of a key is its earliest, and every key has its parents."""
+    kept = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("ts"))
+    return kept.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]

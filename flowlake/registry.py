@@ -133,6 +133,8 @@ def _on(table, operator):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = table(spark, sf_dir)
+        if table is fx.transfers:
+            return operator(t, fx.latest_transfer(spark, sf_dir))
         return operator(t, fx.latest(t, "checked_at" if table is fx.node_health else "timestamp"))
 
     return query
