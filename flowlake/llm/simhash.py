@@ -19,7 +19,8 @@ gives the same components with at most 33 rows per posting.
 
 Defined results for odd input
 * A null or wordless text has fingerprint zero and links like any other.
-* Documents of one fingerprint are one class; a class is represented by its smallest id.
+* Documents of one fingerprint are one class, also where an id repeats on different texts; a
+  component is named by its smallest id.
 * Null ids are ignored by the minimum; a class of null ids alone has a null component.
 * Repeated rows give repeated result rows. An empty table gives an empty result.
 """
@@ -147,13 +148,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _resolve(rows: DataFrame) -> DataFrame:
-    """``rows`` with the component of their fingerprint's class."""
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
-    components = connected_components(near_links(classes.filter("rep IS NOT NULL")))
-    resolved = classes.join(components, classes["rep"] == components["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return rows.join(resolved, "fp")
+    """``rows`` with the component of their fingerprint's class: its least fingerprint, and its smallest id."""
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+    linked = near_links(classes.filter("least IS NOT NULL").select("fp", F.col("fp").alias("rep")))
+    found = connected_components(linked)
+    resolved = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    resolved = materialize(resolved, "simhash-resolved")
+    ids = resolved.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(resolved.join(ids, "component").select("fp", "component", "component_id"), "fp")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -164,12 +166,19 @@ def hex_fingerprint(fp: Column) -> Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component.
 
-    Rows with a null id in a component without any id stay. Of repeated rows of a kept id one stays.
+    Rows with a null id in a component without any id stay. Rows that repeat an id and a text leave
+    one row; an id on two texts is two documents.
     """
-    found = materialize(_resolve(fingerprints(docs, id_col, text_col)), "simhash-components")
-    losers = found.filter(~F.col("id").eqNullSafe(F.col("component_id")))
-    losers = materialize(losers.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "simhash-losers")
+    return keep_one(docs, _resolve(fingerprints(docs, id_col, text_col)), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of ``rows`` (id, text_key, component): that of the smallest id, then text_key."""
+    rows = materialize(rows.groupBy("id", "text_key", "component").agg(F.count("*").alias("n")), "simhash-components")
+    first = rows.filter("id IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "text_key")).alias("first"))
+    losers = rows.join(materialize(first, "simhash-first"), "component").filter(~F.struct("id", "text_key").eqNullSafe(F.col("first")))
+    losers = materialize(losers.select(F.col("id").alias("__id"), F.col("text_key").alias("__key")), "simhash-losers")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(F.col(text_col)) == F.col("__key"))
     kept = docs.join(broadcast_if_small(losers), same, "left_anti")
-    again = found.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-    return single_rows(kept, [F.col(id_col)], materialize(again.select(F.col("id").alias("__r0")), "simhash-repeated"))
+    again = rows.filter("id IS NOT NULL AND n > 1").select(F.col("id").alias("__r0"), F.col("text_key").alias("__r1"))
+    return single_rows(kept, [F.col(id_col), text_hash(F.col(text_col))], materialize(again, "simhash-repeated"))

@@ -103,6 +103,14 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == [1, 2]
 
 
+def test_one_id_on_two_texts(spark):
+    """Texts that clash in their id are two documents: an unrelated one is never lost to the other's near copy."""
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "q r s t u"), (3, "l m n o p"), (3, "v w x y z"), (3, "v w x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == [(1, "a b c d"), (2, "q r s t u"), (3, "l m n o p"), (3, "v w x y z")]
+
+
 # decontamination --------------------------------------------------------------------------------------------
 def _words(text):
     lowered = (text or "").translate({c: c + 32 for c in range(65, 91)})
