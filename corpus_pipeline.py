@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, langid, mixing, sharding, simhash
+from flowlake.llm import decontaminate, langid, mixing, sharding, similar
 from flowlake.llm.common import materialize, table
 
 #: Target weights of the mixture. Sources and names that are not listed have weight 1.
@@ -29,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word Jaccard of 0.8) stays, that of the smallest doc_id."""
+    return similar.drop_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,22 +50,28 @@ BYTE_PAIRS = [(0, 1), (2, 3), (4, 5), (6, 7)]
 KEY_POSITIONS = [a + b for a, b in combinations(BYTE_PAIRS, 2)]
 
 
-def _fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
-    """Signed 64-bit SimHash: a bit is 1 if set in over half of the shingle hashes."""
+def shingle_hashes(text: str | None, k: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> list[int]:
+    """Hashes of the shingles of a text in order; a text of ``k`` words or fewer is one shingle."""
     if not text:
-        return 0
+        return []
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= k:
-        hashes = [digest(joined, seed)]
-    else:
-        gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32).tolist()
-        starts = [0, *(g + 1 for g in gaps[: len(gaps) - k + 2])]
-        ends = [*gaps[k - 1 :], len(joined)]
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts, ends)]
+        return [digest(joined, seed)]
+    gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32).tolist()
+    starts = [0, *(g + 1 for g in gaps[: len(gaps) - k + 2])]
+    ends = [*gaps[k - 1 :], len(joined)]
+    return [digest(joined[s:e], seed) for s, e in zip(starts, ends)]
+
+
+def _fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
+    """Signed 64-bit SimHash: a bit is 1 if set in over half of the shingle hashes."""
+    hashes = shingle_hashes(text, k, seed)
+    if not hashes:
+        return 0
     n, ones = len(hashes), np.zeros(64, dtype=np.int64)
     packed = np.array(hashes, dtype=">u8").view(np.uint8).reshape(n, 8)
     for at in range(0, n, 8192):
