@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,14 @@ MAX_BROADCAST_ROWS = 500_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a test on one machine) a temporary folder is made and
-    registered as the checkpoint folder of the session.
+    Where that setting is missing, a local session takes a temporary folder (driver and tasks are
+    one process), any other one a folder in the warehouse, which all machines of a cluster reach.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlake-"))
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlake-") if local else f"{warehouse}/_flowlake")
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
@@ -29,12 +33,40 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a reader of it.
 
-    Cuts the lineage, so a lost executor costs a re-read and not a recomputation.
+    Cuts the lineage, so a lost executor costs a re-read and not a recomputation. Pass the reader to
+    ``release`` once nothing that is still to run reads it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._flowlake_path = path
+    return written
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, at = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the files of tables of ``materialize`` that have served; other frames are left alone."""
+    for df in written:
+        path = getattr(df, "_flowlake_path", None)
+        if path is not None:
+            fs, at = _file_system(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -45,11 +77,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of texts small: Python workers then hold ``rows`` texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast general ``lower``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -63,6 +90,11 @@ def split_words(text: Column, between: str) -> Column:
     return F.array_remove(F.split(text, between), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` evaluated once, also where ``body`` uses it several times or inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import materialize
-
-MAX_ROUNDS = 50
+from flowlake.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,13 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = materialize(ordered.filter("u != v").distinct(), "components")
-    state = _state(now)
-    for _ in range(MAX_ROUNDS):
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), "components")
+    state, last = _state(now), None
+    while state != last:  # a round either changes the edges or they are stars: O(log^2) rounds
+        before, now = now, materialize(_small_star(_large_star(now).distinct()).distinct(), "components")
+        release(before)
         last, state = state, _state(now)
-        if state == last:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
