@@ -1,21 +1,20 @@
 """SimHash near-deduplication over a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits link at ``MAX_DISTANCE`` = 2 or fewer differing bits. Two differing bits
-touch at most two of the eight byte positions, so linked fingerprints share at least six positional
-bytes: the guaranteed minimum of the count filter.
-
-The index posts each distinct fingerprint under its positional bytes. Posting single bytes would
-give 2,048 lists that grow with the corpus, so lists are kept intersected four bytes at a time: the
-eight positions form four neighbouring pairs, two differing bits leave two of the pairs whole, and
-each of the six choices of two pairs is one posting key of 32 bits. Every linked pair therefore
-meets in a list, its shared positional bytes are tallied, pairs under six are dropped, and the rest
-are verified by their differing bits.
-
-A list longer than ``LONG_LIST`` would make a quadratic number of pairs. It is handled exactly in
-another way: each fingerprint of the list is posted once more under itself and under each copy of
-itself with one bit outside the key flipped. Fingerprints at two bits or fewer share such a midpoint
-and any two that share one are at two bits or fewer, so linking each to the least of its midpoint
-gives the same components with at most 33 rows per posting.
+touch at most two of the eight byte positions, so linked fingerprints share at least
+``MIN_SHARED_BYTES`` = 6 positional bytes: the guaranteed minimum of the count filter.
+
+Lists of single bytes would be 2,048 that grow with the corpus, and their pairs with its square. The
+index therefore keeps the lists intersected: there is one for each choice of six positions and their
+bytes, 28 per fingerprint. A pair that shares t bytes meets in C(t, 6) of them (28, 7, 1 or, below
+six, none), so the tally of shared bytes reaches the minimum exactly where a pair meets in a list,
+and no pair has to be counted that does not reach it.
+
+What meets still has to be verified, without making all pairs of a list. A list's members differ in
+two bytes only. Each is probed under itself and under its copies with one of those 16 bits flipped;
+two members are within two bits exactly if they share a probe, and all that share one are within two
+bits of each other. Linking each to the least of its probe gives the components of all linked pairs
+with 17 rows per posting, however long the list.
 
 Defined results for odd input
 * A null or wordless text has fingerprint zero and links like any other.
@@ -27,6 +26,7 @@ Defined results for odd input
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,46 +36,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import broadcast_if_small, materialize, single_rows, small_batches
+from flowlake.llm.common import broadcast_if_small, materialize, release, single_rows
 from flowlake.llm.graph import connected_components
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 MAX_DISTANCE = 2
 MIN_SHARED_BYTES = 8 - MAX_DISTANCE
-LONG_LIST = 64
+#: Shingles hashed at a time, so that a very long text needs no list of all of them.
+BLOCK = 8192
 
-#: Byte positions in neighbouring pairs, and the choices of two pairs that make a posting key.
-BYTE_PAIRS = [(0, 1), (2, 3), (4, 5), (6, 7)]
-KEY_POSITIONS = [a + b for a, b in combinations(BYTE_PAIRS, 2)]
+#: The choices of byte positions that make a posting key.
+KEY_POSITIONS = list(combinations(range(8), MIN_SHARED_BYTES))
 
 
-def shingle_hashes(text: str | None, k: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> list[int]:
-    """Hashes of the shingles of a text in order; a text of ``k`` words or fewer is one shingle."""
-    if not text:
-        return []
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+def shingle_hashes(text: str | None, k: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text in order, in blocks; a text of ``k`` words or fewer is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return []
+        return
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= k:
-        return [digest(joined, seed)]
-    gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32).tolist()
-    starts = [0, *(g + 1 for g in gaps[: len(gaps) - k + 2])]
-    ends = [*gaps[k - 1 :], len(joined)]
-    return [digest(joined[s:e], seed) for s, e in zip(starts, ends)]
+        yield np.array([digest(joined, seed)], dtype=np.uint64)
+        return
+    gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+    starts = np.concatenate([[0], gaps[: len(gaps) - k + 2] + 1])
+    ends = np.concatenate([gaps[k - 1 :], [len(joined)]])
+    for at in range(0, len(starts), BLOCK):
+        block = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist())
+        yield np.array([digest(joined[s:e], seed) for s, e in block], dtype=np.uint64)
 
 
 def _fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
     """Signed 64-bit SimHash: a bit is 1 if set in over half of the shingle hashes."""
-    hashes = shingle_hashes(text, k, seed)
-    if not hashes:
-        return 0
-    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
-    packed = np.array(hashes, dtype=">u8").view(np.uint8).reshape(n, 8)
-    for at in range(0, n, 8192):
-        ones += np.unpackbits(packed[at : at + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    n, ones = 0, np.zeros(64, dtype=np.int64)
+    for hashes in shingle_hashes(text, k, seed):
+        n += len(hashes)
+        packed = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(packed, axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n).view(">i8")[0])
 
 
@@ -90,55 +89,41 @@ def _byte(fp: Column, position: int) -> Column:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """fp, rep, slot (which positions), key (their bytes): six rows per distinct fingerprint."""
+    """fp, key: 28 rows per fingerprint. A key is the number of its choice of positions, and their six bytes."""
+    fp = F.col("fp")
     keys = [
-        F.struct(
-            F.lit(slot).alias("slot"),
-            sum((F.shiftleft(_byte(F.col("fp"), p), 8 * i) for i, p in enumerate(positions)), F.lit(0).cast("long")).alias("key"),
-        )
+        sum((F.shiftleft(_byte(fp, p), 8 * i) for i, p in enumerate(positions)), F.lit(slot << 8 * MIN_SHARED_BYTES).cast("long"))
         for slot, positions in enumerate(KEY_POSITIONS)
     ]
-    return classes.select("fp", "rep", F.explode(F.array(*keys)).alias("p")).select("fp", "rep", "p.slot", "p.key")
+    return classes.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """Tally of positional bytes that two fingerprints share."""
-    return sum((F.when(_byte(a, p) == _byte(b, p), 1).otherwise(0) for p in range(8)), F.lit(0))
+def _flips() -> Column:
+    """For each choice of positions: zero, and each bit of the positions left out."""
+    bit = lambda b: F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
+    rows = [[bit(8 * p + b) for p in range(8) if p not in positions for b in range(8)] for positions in KEY_POSITIONS]
+    return F.array(*[F.array(F.lit(0).cast("long"), *row) for row in rows])
 
 
-def near_links(classes: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """Links (u, v) between class representatives that give the components of all linked pairs."""
+def near_links(classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints ``fp`` that give the components of all linked pairs."""
     postings = _postings(classes)
-    lists = postings.groupBy("slot", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(postings.join(lists, ["slot", "key"]), "simhash-postings")
-
-    short = shared.filter(F.col("n") <= long_list)
-    a = short.select("slot", "key", F.col("fp").alias("fp_a"), F.col("rep").alias("u"))
-    b = short.select("slot", "key", F.col("fp").alias("fp_b"), F.col("rep").alias("v"))
-    pairs = (
-        a.join(b, ["slot", "key"])
-        .filter("fp_a < fp_b")
-        .filter(shared_bytes(F.col("fp_a"), F.col("fp_b")) >= MIN_SHARED_BYTES)
-        .filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= MAX_DISTANCE)
-        .select("u", "v")
-    )
-
-    free = [[8 * p + bit for p in range(8) if p not in positions for bit in range(8)] for positions in KEY_POSITIONS]
-    flips = F.array(*[F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in bits]) for bits in free])
-    masks = F.concat(F.array(F.lit(0).cast("long")), F.element_at(flips, F.col("slot") + 1))
-    midpoints = (
-        shared.filter(F.col("n") > long_list)
-        .select("slot", "fp", "rep", F.explode(masks).alias("mask"))
-        .select("slot", "rep", F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"))
-    )
-    nearest = midpoints.groupBy("slot", "mid").agg(F.min("rep").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    stars = midpoints.join(nearest.drop("n"), ["slot", "mid"]).filter("rep != v").select(F.col("rep").alias("u"), "v")
-    return pairs.unionByName(stars).distinct()
+    # nearly all keys are of one fingerprint: dealt first, as merging them before the shuffle would save nothing
+    lists = postings.repartition("key").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    lists = materialize(lists, "simhash-lists")
+    slot = F.shiftrightunsigned("key", 8 * MIN_SHARED_BYTES).cast("int")
+    members = postings.join(broadcast_if_small(lists), "key").select("fp", slot.alias("slot"))
+    probes = members.select("fp", "slot", F.explode(F.element_at(_flips(), F.col("slot") + 1)).alias("flip"))
+    probes = materialize(probes.select("fp", "slot", F.col("fp").bitwiseXOR(F.col("flip")).alias("probe")), "simhash-probes")
+    least = probes.groupBy("slot", "probe").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = probes.join(least, ["slot", "probe"]).filter("fp != v").select(F.col("fp").alias("u"), "v").distinct()
+    links = materialize(stars.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE), "simhash-links")
+    release(lists, probes)
+    return links
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key (a hash of the text), fp of every row, written once so that the texts are read once."""
-    small_batches(docs.sparkSession)
     key = text_hash(F.col(text_col)).alias("text_key")
     return materialize(docs.select(F.col(id_col).alias("id"), key, simhash(F.col(text_col)).alias("fp")), "simhash-fp")
 
@@ -156,10 +141,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _resolve(rows: DataFrame) -> DataFrame:
     """``rows`` with the component of their fingerprint's class: its least fingerprint, and its smallest id."""
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    linked = near_links(classes.filter("least IS NOT NULL").select("fp", F.col("fp").alias("rep")))
-    found = connected_components(linked)
+    links = near_links(classes.filter("least IS NOT NULL"))
+    found = connected_components(links)
     resolved = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     resolved = materialize(resolved, "simhash-resolved")
+    release(classes, links)
     ids = resolved.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.join(resolved.join(ids, "component").select("fp", "component", "component_id"), "fp")
 
