@@ -24,6 +24,7 @@ PREFIX_CHARS = 64
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+    """id, text, n_bytes and prefix_hash. A column that a step does not use is not computed by it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("id"),
@@ -38,27 +39,34 @@ def full_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def shared_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Step 1: n_bytes of which there are two texts or more."""
+    lengths = docs.select(F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n_bytes")).groupBy("n_bytes").count()
+    return materialize(lengths.filter("count > 1").select("n_bytes"), "dedup-lengths")
+
+
 def surviving_keys(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS
 ) -> DataFrame:
-    """(n_bytes, prefix_hash) of the groups that need their full content read."""
-    keys = _keyed(docs, id_col, text_col, prefix_chars).groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n"))
-    by_key = materialize(keys, "dedup-keys")
-    same_length = by_key.groupBy("n_bytes").agg(F.sum("n").alias("m")).filter("m > 1").select("n_bytes")
-    return by_key.join(same_length, "n_bytes", "left_semi").filter("n > 1").select("n_bytes", "prefix_hash")
+    """Step 2: (n_bytes, prefix_hash) of two texts or more. Prefixes are hashed of texts that share their length only."""
+    lengths = broadcast_if_small(shared_lengths(docs, text_col))
+    keyed = _keyed(docs, id_col, text_col, prefix_chars).join(lengths, "n_bytes", "left_semi")
+    counted = keyed.groupBy("n_bytes", "prefix_hash").agg(F.count("*").alias("n"))
+    return materialize(counted.filter("n > 1").select("n_bytes", "prefix_hash"), "dedup-survivors")
 
 
 def duplicate_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS
 ) -> DataFrame:
-    """Groups of two or more equal texts: text_sha256, keep_id, group_size."""
-    keys = materialize(surviving_keys(docs, id_col, text_col, prefix_chars), "dedup-survivors")
-    survivors = _keyed(docs, id_col, text_col, prefix_chars).join(
-        broadcast_if_small(keys), ["n_bytes", "prefix_hash"], "left_semi"
-    )
+    """Step 3: groups of two or more equal texts: n_bytes, prefix_hash, text_sha256, keep_id, group_size.
+
+    Full content is read of texts that share length and prefix only.
+    """
+    keys = broadcast_if_small(surviving_keys(docs, id_col, text_col, prefix_chars))
+    survivors = _keyed(docs, id_col, text_col, prefix_chars).join(keys, ["n_bytes", "prefix_hash"], "left_semi")
     return (
-        survivors.select("id", full_hash(F.col("text")).alias("text_sha256"))
-        .groupBy("text_sha256")
+        survivors.select("id", "n_bytes", "prefix_hash", full_hash(F.col("text")).alias("text_sha256"))
+        .groupBy("n_bytes", "prefix_hash", "text_sha256")
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
     )
@@ -69,19 +77,18 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, keep_id, group_size, kept, text_sha256.
 
-    The digest column is of every row; the groups come from the refinement.
+    Groups come from the refinement and are joined by its keys; the digest of a row outside of any
+    group is a column of the result and decides nothing.
     """
     # written first, so that the join below deals rows by plain exchanges: a hot text can be split
     groups = broadcast_if_small(materialize(duplicate_groups(docs, id_col, text_col, prefix_chars), "dedup-groups"))
-    rows = (
-        docs.select(F.col(id_col).alias("id"), full_hash(F.col(text_col)).alias("text_sha256"))
-        .groupBy("id", "text_sha256")
-        .agg(F.count("*").alias("copies"))
-    )
+    keys = ["n_bytes", "prefix_hash", "text_sha256"]
+    keyed = _keyed(docs, id_col, text_col, prefix_chars).withColumn("text_sha256", full_hash(F.col("text")))
+    rows = keyed.groupBy("id", *keys).agg(F.count("*").alias("copies"))
     # repeated rows are told apart by their copy number only
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     return (
-        rows.join(groups, "text_sha256", "left")
+        rows.join(groups, keys, "left")
         .select("id", "text_sha256", "keep_id", "group_size", copy)
         .select(
             F.col("id").alias(id_col),
@@ -93,3 +100,25 @@ def exact_dedup(
             "text_sha256",
         )
     )
+
+
+def drop_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS
+) -> DataFrame:
+    """``docs`` without the rows that are not kept; of texts outside a group no more than the prefix is hashed.
+
+    Where several rows of a group have the id that stays, one of them stays.
+    """
+    keys = ["__bytes", "__prefix"]
+    groups = materialize(duplicate_groups(docs, id_col, text_col, prefix_chars), "dedup-groups")
+    few = broadcast_if_small(materialize(
+        groups.select(F.col("n_bytes").alias("__bytes"), F.col("prefix_hash").alias("__prefix")).distinct(), "dedup-survivors"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"__bytes": F.octet_length(text), "__prefix": F.xxhash64(F.substring(text, 1, prefix_chars))})
+    alone = keyed.join(few, keys, "left_anti")
+    among = keyed.join(few, keys, "left_semi").withColumn("__sha", full_hash(F.col(text_col)))
+    stays = groups.select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__in"))
+    among = among.join(broadcast_if_small(stays), "__sha", "left")
+    single = among.filter("__in IS NULL").select(*docs.columns)
+    kept = among.filter(F.col("__in") & F.col(id_col).eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"]).select(*docs.columns)
+    return alone.select(*docs.columns).unionByName(single).unionByName(kept)
