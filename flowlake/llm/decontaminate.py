@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import ascii_lower, broadcast_if_small, materialize, split_words
+from flowlake.llm.common import ascii_lower, broadcast_if_small, let, materialize, split_words
 
 WINDOW = 13
 GRAM = 6
@@ -43,11 +43,6 @@ def words(text: Column) -> Column:
     return split_words(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value`` evaluated once, also where ``body`` uses it inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _pairwise(a: Column, b: Column, shift: int, combine: Callable[[Column, Column], Column]) -> Column:
     """combine(a[i], b[i + shift]) for every i where both exist (as far as b reaches)."""
     n = F.greatest(F.size(b) - shift, F.lit(0))
@@ -58,14 +53,14 @@ def grams(w: Column) -> Column:
     """Hashes of every GRAM = 6 consecutive words, in order."""
     one = F.transform(w, lambda x: F.xxhash64(x))
     pair = lambda x, y: F.xxhash64(x, y)
-    return _let(one, lambda g1: _let(_pairwise(g1, g1, 1, pair), lambda g2: _let(
+    return let(one, lambda g1: let(_pairwise(g1, g1, 1, pair), lambda g2: let(
         _pairwise(g2, g2, 2, pair), lambda g4: _pairwise(g4, g2, 4, pair))))
 
 
 def winnow(g: Column) -> Column:
     """Distinct minimum hashes of all runs of SPAN = 8 grams."""
     low = lambda x, y: F.least(x, y)
-    m8 = _let(_pairwise(g, g, 1, low), lambda m2: _let(
+    m8 = let(_pairwise(g, g, 1, low), lambda m2: let(
         _pairwise(m2, m2, 2, low), lambda m4: _pairwise(m4, m4, 4, low)))
     return F.array_distinct(m8)
 
@@ -90,42 +85,52 @@ def text_key(text: Column) -> tuple[Column, Column]:
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, length and text of every window of every item."""
-    w = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
-    long = w.select("item_id", F.lit(WINDOW).alias("n"), F.explode(
-        _let(F.col("w"), lambda v: F.transform(_starts(v, WINDOW), lambda i: _window_at(v, i, WINDOW)))).alias("window"))
+    """n, window, set_id, items: every window of the benchmark once, with the sorted ids of the items that have it.
+
+    ``set_id`` names the set of items: windows of one passage that many items share have one set.
+    """
+    w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
+    long = w.select("item", F.lit(WINDOW).alias("n"), F.explode(
+        let(F.col("w"), lambda v: F.transform(_starts(v, WINDOW), lambda i: _window_at(v, i, WINDOW)))).alias("window"))
     short = w.filter((F.size("w") > 0) & (F.size("w") < WINDOW)).select(
-        "item_id", F.size("w").alias("n"), F.array_join("w", " ").alias("window"))
-    return long.unionByName(short).distinct()
+        "item", F.size("w").alias("n"), F.array_join("w", " ").alias("window"))
+    once = long.unionByName(short).groupBy("n", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return once.withColumn("set_id", F.md5(F.to_json("items").cast("binary")))
 
 
 def benchmark_fingerprints(items: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct winnowed hashes of the items."""
     w = items.select(words(F.col(text_col)).alias("w"))
-    long = w.select(F.explode(_let(F.col("w"), lambda v: _let(grams(v), winnow))).alias("h"))
+    long = w.select(F.explode(let(F.col("w"), lambda v: let(grams(v), winnow))).alias("h"))
     short = w.filter((F.size("w") > 0) & (F.size("w") < WINDOW)).select(
         F.xxhash64(F.size("w"), F.array_join("w", " ")).alias("h"))
     return long.unionByName(short).distinct()
 
 
-def _hit_windows(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """k1, k2, start, n, window: the windows around each gram that is among the row's hashes ``hs``."""
-    def around(w: Column, hs: Column) -> Column:
-        at = _let(grams(w), lambda g: F.filter(
-            F.transform(g, lambda h, i: F.when(F.array_contains(hs, h), i + 1)), lambda p: p.isNotNull()))
-        spans = F.transform(at, lambda p: F.sequence(F.greatest(p - (SPAN - 1), F.lit(1)), p))
-        inside = F.filter(F.array_distinct(F.flatten(spans)), lambda s: s <= F.size(w) - (WINDOW - 1))
-        return F.transform(inside, lambda s: F.struct(s.alias("start"), F.lit(WINDOW).alias("n"), _window_at(w, s, WINDOW).alias("window")))
-
-    def whole(w: Column, hs: Column, n: int) -> Column:
-        all_ = F.transform(_starts(w, n), lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), _window_at(w, s, n).alias("window")))
-        return F.filter(all_, lambda x: F.array_contains(hs, F.xxhash64(F.lit(n), x["window"])))
+def _hit_grams(texts: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """k1, k2, n, at: where (word from 1) a gram of a text, or a run of n words, has a known hash."""
+    def placed(hashes: Column, n: int) -> Column:
+        return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.lit(n).alias("n"), (i + 1).alias("at")))
 
     def short(n: int) -> Column:
-        return _let(F.col("w"), lambda w: whole(w, F.col("hs"), n))
+        return let(F.col("w"), lambda w: placed(_short(w, n), n))
+
+    found = [let(F.col("w"), lambda w: placed(grams(w), WINDOW)), *[short(n) for n in lengths]]
+    return texts.select("k1", "k2", F.explode(F.concat(*found)).alias("x")).select("k1", "k2", "x.*").join(known, "h", "left_semi")
+
+
+def _extended(texts: DataFrame) -> DataFrame:
+    """k1, k2, start, n, window: the windows around each hit ``hits`` (n, at) of a text with words ``w``."""
+    def windows(w: Column) -> Column:
+        def around(x: Column) -> Column:
+            first = F.when(x["n"] < WINDOW, x["at"]).otherwise(F.greatest(x["at"] - (SPAN - 1), F.lit(1)))
+            return F.transform(F.sequence(first, x["at"]), lambda s: F.struct(s.alias("start"), x["n"].alias("n")))
+
+        starts = F.array_distinct(F.flatten(F.transform("hits", around)))
+        inside = F.filter(starts, lambda x: x["start"] + x["n"] - 1 <= F.size(w))
+        return F.transform(inside, lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.array_join(F.slice(w, x["start"], x["n"]), " ").alias("window")))
 
-    found = [_let(F.col("w"), lambda w: around(w, F.col("hs"))), *[short(n) for n in lengths]]
-    return texts.select("k1", "k2", F.explode(F.concat(*found)).alias("x")).select("k1", "k2", "x.*")
+    return texts.select("k1", "k2", F.explode(let(F.col("w"), windows)).alias("x")).select("k1", "k2", "x.*")
 
 
 def contamination(
@@ -142,37 +147,44 @@ def contamination(
     """
     windows = materialize(benchmark_windows(items, item_id_col, item_text_col), "bench-windows")
     prints = materialize(benchmark_fingerprints(items, item_text_col), "bench-prints")
+    known = broadcast_if_small(prints)
     # at most WINDOW - 1 numbers
     lengths = sorted(r.n for r in windows.filter(F.col("n") < WINDOW).select("n").distinct().collect())
 
     k1, k2 = text_key(F.col(text_col))
     keyed = docs.select(F.col(id_col).alias("id"), k1, k2, words(F.col(text_col)).alias("w"))
-    none = F.array(F.lit(None).cast("long"))
 
-    def hashes(w: Column) -> Column:
-        return F.concat(none, _let(grams(w), winnow), *[F.array_distinct(_short(w, n)) for n in lengths])
+    def scanned(w: Column) -> Column:
+        hashes = F.concat(let(grams(w), winnow), *[F.array_distinct(_short(w, n)) for n in lengths])
+        return F.struct(F.size(w).alias("n_words"), hashes.alias("hs"))
 
-    scanned = keyed.select("id", "k1", "k2", F.size("w").alias("n_words"), F.explode(_let(F.col("w"), hashes)).alias("h"))
-    known = broadcast_if_small(prints.withColumn("known", F.lit(True)))
-    # the null hash of each row keeps the row itself; of the others only hits stay
-    rows = scanned.join(known, "h", "left").filter("h IS NULL OR known").drop("known")
-    rows = materialize(rows, "scan")
+    # each text is cut and hashed once; rows and hashes then go their own ways
+    scan = materialize(keyed.select("id", "k1", "k2", let(F.col("w"), scanned).alias("x")).select("id", "k1", "k2", "x.*"), "scan")
+    hits = scan.select("k1", "k2", F.explode("hs").alias("h")).join(known, "h", "left_semi").select("k1", "k2").distinct()
+    hits = broadcast_if_small(materialize(hits, "hit-texts"))
 
-    hits = materialize(rows.filter("h IS NOT NULL").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs")), "hit-texts")
-    again = docs.select(k1, k2, F.col(text_col).alias("text")).join(broadcast_if_small(hits, 200_000), ["k1", "k2"])
-    found = _hit_windows(again.select("k1", "k2", "hs", words(F.col("text")).alias("w")), lengths).distinct()
-    matched = materialize(found.join(broadcast_if_small(windows, 200_000), ["n", "window"]).select(
-        "k1", "k2", "start", "n", F.col("item_id").cast("string").alias("item")).distinct(), "hit-windows")
+    again = docs.select(k1, k2, words(F.col(text_col)).alias("w")).join(hits, ["k1", "k2"], "left_semi")
+    grams_hit = _hit_grams(again, known, lengths).select("k1", "k2", "n", "at").distinct()
+    per_text = materialize(grams_hit.groupBy("k1", "k2").agg(F.collect_list(F.struct("n", "at")).alias("hits")), "hit-grams")
+    found = _extended(docs.select(k1, k2, words(F.col(text_col)).alias("w")).join(broadcast_if_small(per_text, 20_000), ["k1", "k2"])).distinct()
+    names = broadcast_if_small(windows.select("n", "window", "set_id"), 200_000)
+    matched = materialize(found.join(names, ["n", "window"]).select("k1", "k2", "start", "n", "set_id"), "hit-windows")
 
     by_start = Window.partitionBy("k1", "k2").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")
     fresh = F.greatest(end - F.greatest("start", F.coalesce(F.max(end).over(by_start), F.lit(0))), F.lit(0))
-    counted = matched.select("k1", "k2", "start", "n").distinct().withColumn("fresh", fresh)
-    n_hit = counted.groupBy("k1", "k2").agg(F.sum("fresh").alias("n_hit"))
-    named = matched.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    counted = matched.withColumn("fresh", fresh).groupBy("k1", "k2").agg(
+        F.sum("fresh").alias("n_hit"), F.sort_array(F.collect_set("set_id")).alias("sets"))
+    counted = materialize(counted.withColumn("combination", F.md5(F.array_join("sets", ",").cast("binary"))), "hit-texts-counted")
+    # the items of a combination of windows are put together once, not for every text that has it
+    distinct = counted.groupBy("combination").agg(F.first("sets").alias("sets")).select("combination", F.explode("sets").alias("set_id"))
+    members = distinct.join(windows.select("set_id", "items").dropDuplicates(["set_id"]), "set_id").select("combination", F.explode("items").alias("item"))
+    named = materialize(distinct.select("combination").distinct().join(
+        members.groupBy("combination").agg(F.sort_array(F.collect_set("item")).alias("items")), "combination", "left"), "hit-items")
     # written first, so that the join below deals rows by plain exchanges: a hot text can be split
-    result = broadcast_if_small(materialize(n_hit.join(named, ["k1", "k2"]), "contaminated-texts"), 200_000)
-    return rows.filter("h IS NULL").join(result, ["k1", "k2"], "left").select(
+    result = counted.select("k1", "k2", "n_hit", "combination").join(broadcast_if_small(named, 20_000), "combination")
+    result = broadcast_if_small(materialize(result.drop("combination"), "contaminated-texts"), 200_000)
+    return scan.drop("hs").join(result, ["k1", "k2"], "left").select(
         F.col("id").alias(id_col),
         "k1",
         "k2",
