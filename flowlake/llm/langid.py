@@ -1,22 +1,27 @@
 """Language identification of mixed-language text.
 
-Each word is scored per language by the character n-grams it is made of. Unicode script ranges
-narrow the candidates first: a language is a candidate for a word only if the training text of that
-language uses the word's script. Viterbi with a switching penalty then labels spans of words, and
-the language that labels most letters is the document's.
-
-The n-gram log-probabilities are learned from ``MAX_TRAIN_ROWS`` labelled rows at most, those of the
-least hash of id and language; that bound, and the at most ``MAX_GRAMS`` n-grams kept per model, make
-the model small enough to send to every worker.
+Each word (a run of letters) is scored per language by the character n-grams it is made of. Unicode
+script ranges narrow the candidates first: a language is a candidate for a word only if the script
+makes up at least ``SCRIPT_SHARE`` of the words of that language's training texts. Viterbi with a
+switching penalty then labels spans of words, and the language that labels most letters is the
+document's.
+
+The n-gram log-probabilities are learned from at most ``MAX_TRAIN_ROWS`` labelled texts of each
+language: texts are dealt to as many buckets by a hash, and the text of the least hash in each is
+taken. So a rare language has as many as it can, copies count once, and what is chosen does not
+depend on order or on repeated ids. These texts are read whole; Spark counts their n-grams, and the
+distinct ones with their counts are what the driver receives. None is left out.
 
 Viterbi over a document whose best language is never beaten by more than the switching penalty over
 any run of words can only stay in that language, so those documents need one vectorised look at
 their scores; the others take the full recursion.
 
 Defined results for odd input
-* Text that is null or without letters gets ``und``, score 0 and no spans.
+* Text that is null or without letters gets ``und``, score 0 and no spans. Digits, fractions, roman
+  numeral signs and the like are not letters.
 * Words in a script no language was trained on have no candidates and weigh nothing; text of such
-  words alone gets the most frequent language of the training rows with score 0.
+  words alone gets the most frequent language of the training rows with score 0. Where only one
+  language was learned, text in its scripts gets it with score 1.
 * Ties go to the language that sorts first. Null labels are not learned from. Without any labelled
   row every document is ``und``. Repeated rows give repeated results; other columns are ignored.
 """
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,15 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import materialize, small_batches
+from flowlake.llm.common import materialize
 
-MAX_TRAIN_ROWS = 2000
-#: Characters of a training text that are learned from. Predictions always read whole texts.
-TRAIN_CHARS = 20_000
-MAX_GRAMS = 60_000
-GRAM_SIZES = (2, 3)
+#: Labelled texts of each language that are learned from, at most.
+MAX_TRAIN_ROWS = 500
+GRAM_SIZES = (1, 2, 3)
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
+SCRIPT_SHARE = 0.001
 WORD_CACHE = 500_000
 
 # First and last code point of the scripts told apart.
@@ -54,7 +59,9 @@ SCRIPTS = [
     ("han", 0x3400, 0x9FFF), ("han", 0x20000, 0x2FA1F),
 ]
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that patterns count as word characters, but that are neither letters nor decimal digits.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def script_of(word: str) -> str:
@@ -68,6 +75,16 @@ def _grams(word: str) -> list[str]:
     return [padded[i : i + n] for n in GRAM_SIZES for i in range(len(padded) - n + 1)]
 
 
+def _counts(words: dict[str, int]) -> Counter:
+    """("gram" or "script", which) -> how often, of words with their counts."""
+    out: Counter = Counter()
+    for word, n in words.items():
+        out["script", script_of(word)] += n
+        for g in _grams(word):
+            out["gram", g] += n
+    return out
+
+
 class WordModel:
     """Log-probabilities of n-grams per language, relative to their mean over languages."""
 
@@ -83,27 +100,28 @@ class WordModel:
     def fit(cls, texts: list[tuple[str, str]]) -> "WordModel | None":
         """Learn from (text, lang) pairs."""
         words: dict[str, Counter] = {}
-        rows = Counter(lang for _, lang in texts)
         for text, lang in texts:
-            words.setdefault(lang, Counter()).update(_WORD.findall(text[:TRAIN_CHARS].lower()))
-        langs = sorted(words)
+            words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+        counts = [(lang, kind, key, n) for lang, found in words.items() for (kind, key), n in _counts(found).items()]
+        return cls.of_counts(counts, Counter(lang for _, lang in texts))
+
+    @classmethod
+    def of_counts(cls, counted: list[tuple[str, str, str, int]], rows: dict[str, int]) -> "WordModel | None":
+        """Learn from (lang, "gram" or "script", which, count) and the number of rows of each language."""
+        langs = sorted(rows)
         if not langs:
             return None
-        counts: dict[str, np.ndarray] = {}
+        at = {lang: k for k, lang in enumerate(langs)}
+        grams: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for k, lang in enumerate(langs):
-            for word, n in words[lang].items():
-                scripts.setdefault(script_of(word), np.zeros(len(langs)))[k] += n
-                for g in _grams(word):
-                    counts.setdefault(g, np.zeros(len(langs)))[k] += n
-        if len(counts) > MAX_GRAMS:
-            kept = sorted(counts, key=lambda g: (-counts[g].sum(), g))[:MAX_GRAMS]
-            counts = {g: counts[g] for g in kept}
-        names = list(counts)
-        table = np.array([counts[g] for g in names]).reshape(len(names), len(langs)) + SMOOTHING
+        for lang, kind, key, n in sorted(counted):
+            (grams if kind == "gram" else scripts).setdefault(key, np.zeros(len(langs)))[at[lang]] += n
+        names = list(grams)
+        table = np.array([grams[g] for g in names]).reshape(len(names), len(langs)) + SMOOTHING
         logs = np.log(table / table.sum(axis=0))
         logs -= logs.mean(axis=1, keepdims=True)
-        allowed = {s: c >= 0.001 * c.sum() for s, c in scripts.items()}
+        words = sum(scripts.values(), np.zeros(len(langs)))
+        allowed = {s: (c > 0) & (c >= SCRIPT_SHARE * words) for s, c in scripts.items()}
         common = max(range(len(langs)), key=lambda k: (rows[langs[k]], -k))
         return cls(langs, {g: i for i, g in enumerate(names)}, logs, allowed, common)
 
@@ -151,17 +169,17 @@ class WordModel:
         run = np.concatenate([[0.0], np.cumsum(others.max(axis=1))])
         if (run - np.minimum.accumulate(run)).max() < penalty:
             return np.full(n, best)
-        came, score = [], emitted[0].tolist()
+        came, score = bytearray(), emitted[0].tolist()  # a byte a word and language: up to 256 languages
         for row in emitted[1:].tolist():
             switched = max(score)
             top = score.index(switched)
             switched -= penalty
-            came.append([j if s >= switched else top for j, s in enumerate(score)])
+            came.extend([j if s >= switched else top for j, s in enumerate(score)])
             score = [(s if s >= switched else switched) + e for s, e in zip(score, row)]
         out = np.empty(n, dtype=np.int64)
         out[-1] = at = score.index(max(score))
         for t in range(n - 2, -1, -1):
-            out[t] = at = came[t][at]
+            out[t] = at = came[t * k + at]
         return out
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
@@ -169,6 +187,9 @@ class WordModel:
         words = _WORD.findall(text.lower()) if text else []
         if not words:
             return "und", 0.0, []
+        if len(self.langs) == 1:
+            known = any(script_of(w) in self.scripts for w in dict.fromkeys(words))
+            return (self.langs[0], 1.0, [(self.langs[0], 0, len(words))]) if known else (self.langs[0], 0.0, [])
         emitted = self.emissions(words)
         if not emitted.any():
             return self.langs[self.common], 0.0, []
@@ -188,16 +209,32 @@ class WordModel:
         return float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def fit(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> WordModel | None:
-    """Model from at most ``max_rows`` rows of ``docs`` that ``trained_on`` picks."""
-    labelled = docs.filter(trained_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.xxhash64(F.col(id_col), F.col(lang_col))
-    # only ids are sorted; the texts of the chosen rows are read afterwards
-    chosen = labelled.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), rank.alias("__rank")).orderBy("__rank", "__id").limit(max_rows)
-    chosen = materialize(chosen, "langid-rows").select("__id").distinct()
-    texts = labelled.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    rows = texts.select(F.substring(text_col, 1, TRAIN_CHARS), lang_col).limit(max_rows).collect()
-    return WordModel.fit(sorted((r[0], r[1]) for r in rows))
+_COUNTED = "lang string, kind string, key string, n long"
+
+
+def _count_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of n-grams and scripts of (lang, text) rows, summed over each batch."""
+    for batch in batches:
+        for lang, texts in batch.groupby("lang")["text"]:
+            words: Counter = Counter()
+            for text in texts:
+                words.update(_WORD.findall(text.lower()))
+            found = _counts(words)
+            yield pd.DataFrame([(lang, kind, key, n) for (kind, key), n in found.items()], columns=["lang", "kind", "key", "n"], dtype="object").astype({"n": "int64"})
+
+
+def fit(docs: DataFrame, trained_on: Column, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> WordModel | None:
+    """Model from at most ``max_rows`` texts of each language, of the rows of ``docs`` that ``trained_on`` picks."""
+    labelled = docs.filter(trained_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    bucket = F.pmod(F.xxhash64(F.lit(1), "hash"), F.lit(max_rows)).alias("bucket")
+    chosen = materialize(labelled.groupBy("lang", bucket).agg(F.min("hash").alias("hash"), F.count("*").alias("n")), "langid-rows")
+    # at most max_rows texts of a language, each once
+    keys = F.broadcast(chosen.select("lang", "hash"))
+    texts = labelled.join(keys, ["lang", "hash"]).groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
+    counts = texts.mapInPandas(_count_texts, _COUNTED).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    rows = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    return WordModel.of_counts([tuple(r) for r in counts.collect()], rows)
 
 
 LABELS = T.StructType(
@@ -246,8 +283,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with the struct ``language``: lang_pred, score, spans."""
-    small_batches(docs.sparkSession)
-    model = fit(docs, ~held_out(id_col), id_col, text_col, lang_col)
+    model = fit(docs, ~held_out(id_col), text_col, lang_col)
     return docs.withColumn("language", labeller(model)(F.col(text_col)))
 
 
@@ -256,8 +292,7 @@ def keep_identified(docs: DataFrame, min_share: float = 0.5, id_col: str = "doc_
 
     A text of one language stays however short it is and however close another language comes.
     """
-    small_batches(docs.sparkSession)
-    model = fit(docs, ~held_out(id_col), id_col, text_col, lang_col)
+    model = fit(docs, ~held_out(id_col), text_col, lang_col)
     found = docs.withColumn("__language", labeller(model)(F.col(text_col)))
     return found.filter(is_identified(F.col("__language"), min_share)).drop("__language")
 
