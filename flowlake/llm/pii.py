@@ -1,17 +1,24 @@
 """PII surrogates: every detected entity is replaced by a keyed, type-consistent stand-in.
 
-Entities: e-mail addresses, phone numbers, IPv4 addresses, payment card numbers (Luhn-valid),
-US social security numbers, IBANs, secrets (values of token / key / password settings and well-known
-key prefixes) and titled personal names. A stand-in has the entity's type and format: letters stay
-letters of the same script and case, digits stay digits, separators stay; card numbers stay
-Luhn-valid and IBANs keep their country and get right check digits; names keep their title, script, gender and number of words.
+Entities: e-mail addresses, phone numbers, IP addresses, payment card numbers (valid check digit and
+issuer), US social security numbers, IBANs, secrets (values of token / key / password settings and
+well-known key prefixes) and personal names. A stand-in has the entity's type and format: letters
+stay letters of the same script and case, digits stay digits, separators stay; card numbers and IBANs
+get right check digits; names keep title, script, gender, case and number of words.
+
+Names are found by a title, or by a known given name before a capitalised word. A name falls into
+given names and a surname, and each part has a stand-in of its own. So "Mr. John Smith", "Dr. JOHN
+SMITH", "John Smith" and "Mr. Smith" stay one person, in every document. Within a document a title,
+wherever it stands, gives a given name its gender, and the surname or given name of a person who was
+named is found alone too.
 
 One entity has one stand-in in the whole corpus (coreference), and two have different ones
 (distinctness). A stand-in depends on the secret key, the entity and an attempt number only. All
 first attempts are checked over the corpus: of entities that share a stand-in the least keeps it,
 and no entity keeps a stand-in that is itself an entity of the corpus; the others get the next
-attempt until nothing collides. Only entities with a later attempt (few) are sent back, keyed by the
-text they occur in, so the texts are rewritten where they are scanned.
+attempt until nothing collides. From attempt ``WIDER`` on stand-ins grow longer, so that every type
+has room however short the format and however many entities there are. Texts are read once; only
+attempts other than the first (few) are sent back, keyed by the text they occur in.
 
 Defined results for odd input
 * Null text stays null with no entities; empty text stays empty.
@@ -19,27 +26,38 @@ Defined results for odd input
   entity that sorts first.
 * Equal texts get equal results, so repeated rows and null ids need no special case.
 * An empty table gives an empty result. Columns of ``docs`` are kept; ``text_col`` is replaced, and
-  a column named like one of the added ones is replaced too.
+  a column named like one of the added ones (also in mid-work: ``__k1``, ``__k2``, ``__found``) is
+  replaced or dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import broadcast_if_small, materialize, small_batches
+from flowlake.llm.common import broadcast_if_small, materialize, release
 
-MAX_ATTEMPTS = 40
+#: Attempts of an entity's own length; later ones grow by a sign every other attempt.
+WIDER = 6
 
-# Titles by gender, and given names and surname syllables for stand-ins by script.
+# Titles by gender, common given names, and given names and syllables for stand-ins by script.
 MALE_TITLES = ["Mr", "Sir", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "M", "господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Srta", "Doña", "Madame", "Mme", "Mlle", "госпожа"]
 OTHER_TITLES = ["Dr", "Prof"]
+KNOWN = {
+    "m": "james john robert michael william david richard joseph thomas charles daniel matthew george edward brian kevin peter hans klaus jürgen wolfgang "
+    "stefan andreas pierre jean philippe françois nicolas carlos josé juan luis miguel antonio иван пётр сергей алексей дмитрий андрей николай".split(),
+    "f": "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa emily margaret anna maria sabine monika ursula claudia "
+    "marie sophie isabelle catherine nathalie carmen lucía josefa isabel анна мария елена ольга наталья татьяна ирина".split(),
+}
 GIVEN = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Henry Ivan Jonas Karl Leo Martin Noel Oscar Paul".split(),
     ("latin", "f"): "Anna Berta Clara Diana Emma Flora Greta Helena Irene Julia Karla Laura Maria Nora Olga Paula".split(),
@@ -52,24 +70,52 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se ta te to".split(),
     "cyrillic": "ба бе бо ва ве во га го да де до ка ко ла ле ло ма ме мо на не но па пе ра ре ро са се та те то".split(),
 }
+#: Last letters of made-up given names.
+ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "x"): "y", ("cyrillic", "m"): "н", ("cyrillic", "f"): "я", ("cyrillic", "x"): "й"}
+PARTICLES = "von van de der den da di del la le du zu bin al".split()
+#: Card prefixes of the issuers with the numbers' lengths; the stand-in keeps the prefix.
+ISSUERS = re.compile(
+    r"(?:(4)(?:\d{12}|\d{15}|\d{18})|(5[1-5])\d{14}|(222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|(3[47])\d{13}|(6011|65|64[4-9])\d{12,14}"
+    r"|(30[0-5])\d{11,16}|(3[689])\d{12,17}|(352[89]|35[3-8]\d)\d{12,15}|(62)\d{14,17}|(5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15})\Z"
+)
 
-_NAME_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’-]+"
-_TITLES = "|".join(sorted((re.escape(t) for t in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES]), key=len, reverse=True))
-#: Types with their patterns; an earlier type wins where finds overlap. The entity is group 1.
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+_WORD = rf"[{_UPPER}][{_UPPER}{_LOWER}'’-]+"
+_GAP = r"[ \u00a0]+"
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}){_GAP}){{0,2}}"
+_GENDERS = {t.casefold(): g for g, ts in (("m", MALE_TITLES), ("f", FEMALE_TITLES), ("x", OTHER_TITLES)) for t in ts}
+_GIVEN_GENDER = {n: g for g, names in KNOWN.items() for n in names} | {n.casefold(): g for (_, g), names in GIVEN.items() if g != "x" for n in names}
+#: A title of one letter is read as such in its own case only, others in any.
+_TITLES = "|".join(sorted((re.escape(t) if len(t) == 1 else f"(?i:{re.escape(t)})" for t in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES]), key=len, reverse=True))
+_TITLED = re.compile(rf"(?<!\w)((?:{_TITLES})\.?{_GAP})((?:{_WORD}{_GAP}){{0,2}}?{_PARTICLE}{_WORD}(?:{_GAP}{_PARTICLE}{_WORD}){{0,2}})(?!\w)")
+_LOWER_GIVEN = "|".join(sorted(_GIVEN_GENDER, key=len, reverse=True))
+_TITLED_LOWER = re.compile(rf"(?<!\w)((?:{_TITLES})\.?{_GAP})((?:{_LOWER_GIVEN}){_GAP}[{_LOWER}'’-]{{2,}})(?!\w)")
+_CAPITALISED = rf"[{_UPPER}][{_LOWER}'’-]+"
+_PAIR = re.compile(rf"(?<!\w)({_CAPITALISED}(?:{_GAP}{_CAPITALISED})?{_GAP}{_PARTICLE}{_CAPITALISED})(?!\w)")
+_NAME_WORD = re.compile(rf"(?<!\w){_WORD}(?!\w)")
+#: Plain strings, one of which any text with a title, a setting or a key of the kind has: looked for first, as that is much faster.
+_TITLE_SIGNS = [f"{t}{end}" for t in _GENDERS if len(t) > 1 for end in ". "]
+_LETTER_SIGNS = [f"{t}{end}" for t in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES] if len(t) == 1 for end in ". "]
+_SETTING_SIGNS = ["token", "secret", "passw", "pwd", "key", "auth"]
+_KEY_SIGNS = ["AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox"]
+
+#: Types with their patterns; an earlier type wins where finds overlap, and names come last. The entity is group 1.
 DETECTORS = [
     ("secret", re.compile(r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\b\"?\s*[=:]\s*[\"']?)([A-Za-z0-9_+/=.\-]{8,})")),
     ("secret", re.compile(r"\b((?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}))\b")),
-    ("email", re.compile(r"(?<![\w.+-])([A-Za-zÀ-ÿ0-9_][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)")),
+    ("email", re.compile(r"(?<![\w.+-])(\w[\w.+-]*@\w(?:[\w-]*\w)?(?:\.\w(?:[\w-]*\w)?)+)")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
-    ("card", re.compile(r"(?<![\d.,])((?:\d[ -]?){12,18}\d)(?![\d])")),
-    ("ip", re.compile(r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)")),
-    ("ssn", re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])")),
-    ("phone", re.compile(r"(?<![\w.+(])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d])")),
-    ("name", re.compile(rf"(?<!\w)((?:{_TITLES})\.?[ \u00a0]+{_NAME_WORD}(?:[ \u00a0]+{_NAME_WORD}){{0,2}})")),
+    ("card", re.compile(r"(\d(?<![\d.,]\d)[ -]?(?:\d[ -]?){11,17}\d)(?![\d])")),
+    ("ip", re.compile(r"(\d(?<![\d.]\d)\d{0,2}(?:\.\d{1,3}){3})(?![\d]|\.\d)")),
+    ("ip", re.compile(r"(?<![\w:.])((?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:])")),
+    ("ssn", re.compile(r"(\d(?<![\d-]\d)\d\d-\d{2}-\d{4})(?![\d-])")),
+    ("phone", re.compile(
+        r"(?<![\w.+(])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+        r"|\(0\d{1,4}\) ?\d{2,4}(?:[ -]?\d{2,4}){1,3}|0\d{2,4}[ /-]\d{2,4}(?:[ -]?\d{2,4}){1,3})(?![\d])")),
 ]
 _DIGIT = re.compile(r"[0-9]")
-_ANY_TITLE = re.compile(rf"(?:{_TITLES})\.?[ \u00a0]")
-_NEEDS_DIGIT = {"card", "ip", "ssn", "phone", "iban"}
+#: Separators that mentions of one number may differ in.
+_FORMAT = " .()/-"
 
 
 def _luhn(digits: str) -> int:
@@ -80,10 +126,6 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
-#: Card prefixes of the large issuers with the numbers' lengths; the stand-in keeps the prefix.
-ISSUERS = re.compile(r"(?:(4)(?:\d{12}|\d{15}|\d{18})|(5[1-5])\d{14}|(222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|(3[47])\d{13}|(6011|65|64[4-9])\d{12,14})\Z")
-
-
 def _is_card(digits: str) -> bool:
     return ISSUERS.match(digits) is not None and _luhn(digits) == 0
 
@@ -93,42 +135,128 @@ def _is_iban(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
-def detect(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the entities of a text, in order, without overlaps."""
+def _is_ipv6(value: str) -> bool:
+    """An address of three groups or one long group at least: ``a::b`` is more often something else."""
+    groups = [g for g in value.split(":") if g]
+    try:
+        return ipaddress.IPv6Address(value) is not None and (len(groups) > 2 or max(map(len, groups), default=0) > 2)
+    except ValueError:
+        return False
+
+
+def _valid(kind: str, value: str) -> bool:
+    if kind == "card":
+        return _is_card(re.sub(r"\D", "", value))
+    if kind == "iban":
+        return _is_iban(value)
+    if kind == "ip":
+        return _is_ipv6(value) if ":" in value else all(int(x) < 256 and (len(x) < 2 or x[0] != "0") for x in value.split("."))
+    if kind == "phone":
+        return (7 if value[0] in "+(" else 9) <= sum(c.isdigit() for c in value) <= 15
+    return True
+
+
+def _name_words(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Where the words of a name are, but for particles."""
+    return [(start + m.start(), start + m.end()) for m in re.finditer(r"[^ \u00a0]+", text[start:end]) if m.group() not in PARTICLES]
+
+
+def _names(text: str, lowered: str, free) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
+    """(start, end, parts) of the names of a text; parts are ("given" or "surname", start, end), with the gender in the type."""
+    found: list[tuple[int, int, list[tuple[int, int]], bool]] = []
+    gender: dict[str, str] = {}
+    taken: list[tuple[int, int]] = []
+    open_ = lambda a, b: free(a, b) and all(b <= x or a >= y for x, y in taken)
+    spaced, lowered = text.replace("\u00a0", " "), lowered.replace("\u00a0", " ")
+    if any(sign in lowered for sign in _TITLE_SIGNS) or any(sign in spaced for sign in _LETTER_SIGNS):
+        for pattern in (_TITLED, _TITLED_LOWER):
+            for m in pattern.finditer(text):
+                if not open_(*m.span()):
+                    continue
+                words = _name_words(text, *m.span(2))
+                words = words[: next((i for i, (a, b) in enumerate(words) if text[a:b].rstrip(".").casefold() in _GENDERS), len(words))]
+                if not words:
+                    continue
+                g = _GENDERS[m.group(1).strip(" \u00a0").rstrip(".").casefold()]
+                alone_given = len(words) == 1 and text[slice(*words[0])].casefold() in _GIVEN_GENDER
+                for a, b in words if alone_given else words[:-1]:
+                    if g != "x":
+                        gender.setdefault(text[a:b].casefold(), g)
+                found.append((m.start(), words[-1][1], words, alone_given))
+                taken.append((m.start(), words[-1][1]))
+    for m in _PAIR.finditer(text):
+        words = _name_words(text, *m.span(1))
+        known = [i for i, (a, b) in enumerate(words[:-1]) if text[a:b].casefold() in _GIVEN_GENDER]
+        if known and open_(words[known[0]][0], m.end()):
+            words = words[known[0] :]
+            found.append((words[0][0], m.end(), words, False))
+            taken.append((words[0][0], m.end()))
+    if not found:
+        return []
+    kinds: dict[str, str] = {}  # words of the persons of the document
+    for _, _, words, alone_given in found:
+        for i, (a, b) in enumerate(words):
+            given = alone_given or i < len(words) - 1
+            kinds[text[a:b].casefold()] = "given" if given and kinds.get(text[a:b].casefold()) != "surname" else "surname"
+    for m in _NAME_WORD.finditer(text):
+        if m.group().casefold() in kinds and open_(*m.span()):
+            found.append((*m.span(), [m.span()], kinds[m.group().casefold()] == "given"))
+
+    def part(a: int, b: int, given: bool) -> tuple[str, int, int]:
+        word = text[a:b].casefold()
+        return (f"given_{gender.get(word) or _GIVEN_GENDER.get(word, 'x')}" if given else "surname", a, b)
+
+    return [(s, e, [part(a, b, alone or i < len(words) - 1) for i, (a, b) in enumerate(words)]) for s, e, words, alone in found]
+
+
+def find(text: str | None) -> list[tuple[int, int, str, list[tuple[str, int, int]]]]:
+    """(start, end, type, parts) of the entities of a text, in order, without overlaps. A part is (type, start, end); other than names are one part."""
     if not text:
         return []
     digit, found = _DIGIT.search(text) is not None, []
-    at_sign, titled = "@" in text, _ANY_TITLE.search(text) is not None
-    for kind, pattern in DETECTORS:
-        if kind in _NEEDS_DIGIT and not digit or kind == "email" and not at_sign or kind == "name" and not titled:
+    lowered = text.lower()
+    ruled_out = [
+        not any(sign in lowered for sign in _SETTING_SIGNS), not any(sign in text for sign in _KEY_SIGNS), "@" not in text,
+        not digit, not digit, not digit, text.count(":") < 2, not digit, not digit,
+    ]
+    free = lambda a, b: all(b <= x or a >= y for x, y, _, _ in found)
+    for (kind, pattern), out in zip(DETECTORS, ruled_out, strict=True):
+        if out:
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            value = m.group(1)
-            if kind == "email" and value[-1] == ".":
+            if kind == "email" and m.group(1)[-1] == ".":
                 b -= 1
-            if kind == "card" and not _is_card(re.sub(r"\D", "", value)):
-                continue
-            if kind == "iban" and not _is_iban(value):
-                continue
-            if kind == "phone" and not 7 <= sum(c.isdigit() for c in value) <= 15:
-                continue
-            if all(b <= x or a >= y for x, y, _ in found):
-                found.append((a, b, kind))
-    return sorted(found)
+            if free(a, b) and _valid(kind, text[a:b]):
+                found.append((a, b, kind, [(kind, a, b)]))
+    names = _names(text, lowered, free)
+    return sorted(found + [(a, b, "name", parts) for a, b, parts in names])
+
+
+def detect(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the entities of a text, in order, without overlaps."""
+    return [(a, b, kind) for a, b, kind, _ in find(text)]
 
 
 def canonical(kind: str, value: str) -> str:
     """What two mentions of one entity have in common."""
-    if kind == "email":
-        return value.lower()
+    if kind == "email" or kind == "surname" or kind.startswith("given"):
+        return value.casefold()
     if kind in ("card", "iban", "phone"):
-        return re.sub(r"[ .()-]", "", value)
-    if kind == "name":
-        return " ".join(value.replace(".", " ").split())
+        return value.translate({ord(c): None for c in _FORMAT})
+    if kind == "ip" and ":" in value:
+        return str(ipaddress.ip_address(value))
     return value
 
 
+@lru_cache(maxsize=4096)
+def _alike(c: str) -> str:
+    """Letters of the same script and case: those of its 32 code points."""
+    base = ord(c) - ord(c) % 32
+    near = map(chr, range(base, base + 32))
+    return "".join(x for x in near if x.isalpha() and x.islower() == c.islower() and x.isupper() == c.isupper() and len(x.casefold()) == 1)
+
+
 class Surrogates:
     """Stand-ins under a secret key."""
 
@@ -146,40 +274,45 @@ class Surrogates:
     def make(self, kind: str, canon: str, attempt: int = 0) -> str:
         """Stand-in of a canonical entity, in canonical form."""
         numbers = self._stream(kind, canon, attempt)
-        if kind == "name":
-            return self._name(canon, attempt, numbers)
+        longer = max(0, attempt - WIDER) // 2 + (attempt >= WIDER)
+        if kind == "surname" or kind.startswith("given"):
+            return self._name(kind, canon, attempt, numbers)
         if kind == "ip":
-            return ".".join(str(1 + next(numbers) % 254) for _ in range(4))
-        out = []
+            if ":" not in canon and not longer:
+                return ".".join(str(1 + next(numbers) % 254) for _ in range(4))
+            # what IPv4 has no room for gets an IPv6 address of the range for private networks
+            return str(ipaddress.IPv6Address(bytes([0xFD, *(next(numbers) for _ in range(15))])))
         head = 0
-        if kind == "email":
-            head_end = len(canon)
-        elif kind == "phone" and canon.startswith("+"):
-            head, head_end = 2, len(canon)  # the country code's first digit stays
+        if kind == "phone":
+            head = 2 if canon[0] == "+" else int(canon[0] == "0")  # the country code's first digit stays, and a leading zero
         elif kind == "iban":
-            head, head_end = 4, len(canon)
+            head = 4
         elif kind == "card":
-            head, head_end = len(next(filter(None, ISSUERS.match(canon).groups()))), len(canon)
+            head = len(next(filter(None, ISSUERS.match(canon).groups())))
         elif kind == "secret":
             m = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-", canon)
-            head, head_end = (m.end() if m else 0), len(canon)
-        else:
-            head_end = len(canon)
-        dot = canon.rfind(".") if kind == "email" else -1  # the top-level domain stays
+            head = m.end() if m else 0
+        dot = canon.rfind(".") if kind == "email" else len(canon)  # the top-level domain stays
         is_hex = kind == "secret" and re.fullmatch(r"[0-9a-f]+", canon) is not None
-        for i, c in enumerate(canon[:head_end]):
-            if i < head or (dot >= 0 and i >= dot):
+        out = []
+        for i, c in enumerate(canon):
+            if i < head or i >= dot:
                 out.append(c)
             elif is_hex:
                 out.append("0123456789abcdef"[next(numbers) % 16])
             elif c.isascii() and c.isdigit():
                 out.append(chr(48 + next(numbers) % 10))
-            elif c.isalpha() and c.islower():
-                out.append(chr(97 + next(numbers) % 26))
             elif c.isalpha():
-                out.append(chr(65 + next(numbers) % 26))
+                # two numbers, as there may be more letters alike than would divide 256 evenly
+                letters = _alike(c) or c
+                out.append(letters[(next(numbers) * 256 + next(numbers)) % len(letters)])
             else:
                 out.append(c)
+        if longer and kind == "email":
+            at = out.index("@")
+            out[at:at] = [chr(97 + next(numbers) % 26) for _ in range(longer)]
+        elif longer:
+            out += [chr(48 + next(numbers) % 10) for _ in range(longer)]
         made = "".join(out)
         if kind == "card":
             check = (10 - _luhn(made[:-1] + "0")) % 10
@@ -190,40 +323,54 @@ class Surrogates:
         return made
 
     @staticmethod
-    def _name(canon: str, attempt: int, numbers) -> str:
-        title, *words = canon.split(" ")
-        gender = "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else "x"
-        script = "cyrillic" if "\u0400" <= words[0][0] <= "\u04ff" else "latin"
-        given, syllables = GIVEN[(script, gender)], SYLLABLES[script]
-        out = [given[next(numbers) % len(given)] for _ in words[:-1]]
-        size = 3 + attempt // 4  # later attempts draw from a larger space
-        out.append("".join(syllables[next(numbers) % len(syllables)] for _ in range(size)).capitalize())
-        return " ".join([title, *out])
+    def _name(kind: str, canon: str, attempt: int, numbers) -> str:
+        """First attempts at given names are real ones; all others are syllables, more with every other attempt."""
+        script = "cyrillic" if "\u0400" <= canon[0] <= "\u04ff" else "latin"
+        gender = kind.removeprefix("given_")
+        if gender != kind and attempt < 2:
+            pool = GIVEN[(script, gender)]
+            return pool[next(numbers) % len(pool)].casefold()
+        syllables = SYLLABLES[script]
+        size = (3 if gender == kind else 2) + attempt // 2
+        made = "".join(syllables[next(numbers) % len(syllables)] for _ in range(size))
+        return made if gender == kind else made + ENDINGS[(script, gender)]
 
     def render(self, kind: str, value: str, attempt: int = 0) -> str:
         """Stand-in of a mention, in the mention's own format."""
         made = self.make(kind, canonical(kind, value), attempt)
         if kind == "email":
-            return "".join(m.upper() if v.isupper() else m for m, v in zip(made, value))
+            shown = [m.upper() if v.isupper() and len(m.upper()) == 1 else m for m, v in zip(made, value)]
+            return "".join(shown) if len(made) == len(value) else made
         if kind in ("card", "iban", "phone"):
             signs = iter(made)
-            return "".join(c if c in " .()-" else next(signs) for c in value)
-        if kind == "name":
-            title, rest = re.match(r"(\S+?\.?[ \u00a0]+)(.*)", value, re.S).groups()
-            return title + made.split(" ", 1)[1]
+            return "".join(c if c in _FORMAT else next(signs) for c in value) + "".join(signs)
+        if kind == "surname" or kind.startswith("given"):
+            return made.upper() if value.isupper() else made if value.islower() else made.capitalize()
         return made
 
+    def rewrite(self, text: str, parts: list[tuple[str, int, int]], attempts: dict | None = None) -> str:
+        """``text`` with the stand-ins of ``parts`` (type, start, end, in order); ``attempts``: (type, entity) -> attempt other than the first."""
+        at, out = 0, []
+        for kind, a, b in parts:
+            value = text[a:b]
+            attempt = attempts.get((kind, canonical(kind, value)), 0) if attempts else 0
+            out += [text[at:a], self.render(kind, value, attempt)]
+            at = b
+        return "".join([*out, text[at:]])
 
-_FOUND = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("entity", T.StringType())]))
+
+_PARTS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("entity", T.StringType())]))
+_FOUND = T.StructType([T.StructField("types", T.ArrayType(T.StringType())), T.StructField("parts", _PARTS)])
 
 
 @F.pandas_udf(_FOUND)
-def _entities(texts: pd.Series) -> pd.Series:
-    out = []
+def _entities(texts: pd.Series) -> pd.DataFrame:
+    kinds, parts = [], []
     for text in texts:
-        pairs = dict.fromkeys((k, canonical(k, text[a:b])) for a, b, k in detect(text))
-        out.append([{"type": k, "entity": e} for k, e in pairs])
-    return pd.Series(out, dtype="object")
+        found = find(text)
+        kinds.append([kind for _, _, kind, _ in found])
+        parts.append([{"type": k, "start": a, "end": b, "entity": canonical(k, text[a:b])} for *_, ps in found for k, a, b in ps])
+    return pd.DataFrame({"types": kinds, "parts": parts})
 
 
 def _maker(key: str):
@@ -235,25 +382,16 @@ def _maker(key: str):
     return make
 
 
-_REWRITTEN = T.StructType(
-    [T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType()), T.StructField("types", T.ArrayType(T.StringType()))]
-)
-
-
 def _rewriter(key: str):
-    @F.pandas_udf(_REWRITTEN)
-    def rewrite(texts: pd.Series, later: pd.Series) -> pd.DataFrame:
-        s, rows = Surrogates(key), []
-        for text, again in zip(texts, later):
-            attempts = {(x["type"], x["entity"]): x["attempt"] for x in again} if again is not None and len(again) else {}
-            at, out, kinds = 0, [], []
-            for a, b, kind in detect(text):
-                value = text[a:b]
-                out += [text[at:a], s.render(kind, value, attempts.get((kind, canonical(kind, value)), 0))]
-                at = b
-                kinds.append(kind)
-            rows.append((text if not out else "".join([*out, text[at:]]), len(kinds), kinds))
-        return pd.DataFrame(rows, columns=["text", "n_entities", "types"])
+    @F.pandas_udf(T.StringType())
+    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        s = Surrogates(key)
+        for texts, found, later in batches:
+            out = []
+            for text, parts, again in zip(texts, found, later):
+                attempts = {(x["type"], x["entity"]): x["attempt"] for x in again} if again is not None and len(again) else None
+                out.append(s.rewrite(text, [(p["type"], p["start"], p["end"]) for p in parts], attempts) if parts is not None and len(parts) else text)
+            yield pd.Series(out, dtype="object")
 
     return rewrite
 
@@ -265,37 +403,43 @@ def _text_key(text: Column) -> tuple[Column, Column]:
 def resolve(entities: DataFrame, key: str) -> DataFrame:
     """Distinct (type, entity) -> type, entity, attempt, surrogate, all surrogates different and none an entity.
 
-    Each round settles what collides with nothing; the rest goes on with the next attempt.
+    Each round settles what collides with nothing; the rest goes on with the next attempt. Rounds
+    end, as stand-ins grow with the attempt and so outnumber whatever there is.
     """
     make = _maker(key)
     real = entities.select("type", F.col("entity").alias("surrogate"))
     settled, open_ = None, entities.withColumn("attempt", F.lit(0))
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         tried = materialize(open_.withColumn("surrogate", make("type", "entity", "attempt")), "pii-tried")
+        release(open_)
         free = tried.join(real, ["type", "surrogate"], "left_anti")
         if settled is not None:
             free = free.join(settled.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
         won = free.groupBy("type", "surrogate").agg(F.min("entity").alias("entity"), F.min_by("attempt", "entity").alias("attempt"))
         won = won.select("type", "entity", "attempt", "surrogate")
-        settled = materialize(won if settled is None else settled.unionByName(won), "pii-settled")
+        before, settled = settled, materialize(won if settled is None else settled.unionByName(won), "pii-settled")
+        if before is not None:
+            release(before)
         open_ = tried.join(settled.select("type", "entity"), ["type", "entity"], "left_anti")
         open_ = materialize(open_.select("type", "entity", (F.col("attempt") + 1).alias("attempt")), "pii-open")
+        release(tried)
         if open_.isEmpty():
             return settled
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text_col``, and the columns ``n_entities`` and ``entity_types``."""
-    small_batches(docs.sparkSession)
+    docs = docs.drop("__k1", "__k2", "__later", "__found", "n_entities", "entity_types")
     k1, k2 = _text_key(F.col(text_col))
-    seen = docs.filter(F.col(text_col).isNotNull()).select(k1, k2, F.explode(_entities(F.col(text_col))).alias("x"))
-    seen = materialize(seen.select("__k1", "__k2", "x.type", "x.entity").distinct(), "pii-seen")
+    read = materialize(docs.withColumns({"__k1": k1, "__k2": k2, "__found": _entities(F.col(text_col))}), "pii-read")
+    seen = read.select("__k1", "__k2", F.explode("__found.parts").alias("x")).select("__k1", "__k2", "x.type", "x.entity").distinct()
+    seen = materialize(seen, "pii-seen")
     resolved = resolve(materialize(seen.select("type", "entity").distinct(), "pii-entities"), key)
     later = seen.join(resolved.filter("attempt > 0"), ["type", "entity"]).groupBy("__k1", "__k2").agg(
         F.collect_set(F.struct("type", "entity", "attempt")).alias("__later"))
     later = materialize(later, "pii-later")
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2}).join(broadcast_if_small(later, 100_000), ["__k1", "__k2"], "left")
-    out = keyed.withColumn("__new", _rewriter(key)(F.col(text_col), F.col("__later")))
-    out = out.withColumns({text_col: F.col("__new.text"), "n_entities": F.col("__new.n_entities"), "entity_types": F.col("__new.types")})
-    return out.drop("__k1", "__k2", "__later", "__new")
+    release(seen, resolved)
+    out = read.join(broadcast_if_small(later, 100_000), ["__k1", "__k2"], "left")
+    new = _rewriter(key)(F.col(text_col), F.col("__found.parts"), F.col("__later"))
+    out = out.withColumns({text_col: new, "n_entities": F.size("__found.types").cast("long"), "entity_types": F.col("__found.types")})
+    return out.drop("__k1", "__k2", "__later", "__found")
