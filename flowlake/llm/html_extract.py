@@ -2,16 +2,20 @@
 
 A page is read once into a light tree of block elements. Parts that are never article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are cut by
-element and by class, id or role. Every remaining paragraph earns points for its length and its
-commas and passes them to its ancestors (all to the parent, half to the grandparent, a third, ...
-further up). A container's points are discounted by its link density. The container with the most
-points is the article, or the ``article``/``main`` element around it; siblings with enough points,
-or plain paragraphs with few links, are kept with it.
+element and by class, id or role. A class name cuts only if it says nothing else: ``social`` and
+``social-links`` cut, ``social-science`` makes the part a suspect. Every remaining paragraph earns
+points for its length and its commas and passes them to its ancestors (all to the parent, half to
+the grandparent, a third, ... further up). A container's points are discounted by its link density.
+The container with the most points is the article, or the ``article``/``main`` element around it if
+that keeps ``WRAPPER_SHARE`` of the points. What lies beside it and beside the containers around it
+is kept where links are few; suspects need points besides, and beside an ``article`` element another
+one needs ``SIBLING_SHARE`` of its points.
 
 Defined results for odd input
 * Null, empty or text-free pages give the empty string.
 * Unclosed and badly nested markup is read as browsers do for the common cases: a block opening
-  closes an open paragraph, an end tag closes what is open inside it, a stray end tag is ignored.
+  closes an open paragraph, an end tag closes what is open inside it, a stray end tag is ignored, and
+  a slash before ``>`` closes nothing. A quote that is never closed ends with its tag.
 * Where no container scores, the text of the whole remaining body is the result.
 * Ties go to the container that opens first. Repeated rows give repeated results; other columns are
   carried along unread.
@@ -27,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import small_batches
 
 # HTML element groups.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,11 +56,23 @@ CUT_WORDS = set(
     "recommended recommendations newsletter subscribe subscription signup login popup modal overlay paywall pager "
     "pagination widget toolbar skip skiplink copyright legal form search hidden tags tagcloud outbrain taboola".split()
 )
+#: Words that go with those without giving them another meaning.
+NEUTRAL = set(
+    "area bar block bottom box button buttons card cards cell col column container content fixed global group holder home icon icons in inline "
+    "inner item items js layout left links list main meta mobile modern module nav new outer page panel part post primary public region right "
+    "row secondary section site slot small sticky to top ui unit user users reader readers view web wrap wrapper article story big".split()
+)
+#: Class names of which one beside a cutting one makes that a suspicion only.
+CONTENT = set("article content post entry story main body text prose".split())
 #: Elements that can be the article's container.
 CONTAINERS = set("html body main article section div center table ul ol dl details".split())
 KEPT_ALWAYS = {"html", "body", "main", "article"}
+WRAPPER_SHARE = 0.3
+SIBLING_SHARE = 0.2
+#: Link densities under which text beside the article is kept, and under which a strong container is.
+FEW_LINKS, SOME_LINKS = 0.25, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|<[!?][^>]*>?", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:[\"'][^>]*)?>?|<[!?][^>]*>?", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[a-z]+")
@@ -65,37 +80,49 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "points", "chars", "links", "order")
+    __slots__ = ("tag", "parent", "parts", "cut", "suspect", "points", "chars", "links", "order")
 
-    def __init__(self, tag: str, parent: "_Node | None", cut: bool, order: int):
-        self.tag, self.parent, self.cut, self.order = tag, parent, cut, order
+    def __init__(self, tag: str, parent: "_Node | None", cut: bool, order: int, suspect: bool = False):
+        self.tag, self.parent, self.cut, self.order, self.suspect = tag, parent, cut, order, suspect
         self.parts: list = []  # child nodes, and (text, is_link) pieces of inline text
         self.points = 0.0
         self.chars = self.links = 0
 
 
-def _names_cut_part(value: str) -> bool:
-    words = _WORD.findall(value.lower()) + _WORD.findall(_CAMEL.sub(" ", value).lower())
-    return not CUT_WORDS.isdisjoint(words)
+CUT_IT, SUSPECT, CLEAR = 2, 1, 0
+
 
+def _verdict_of_name(name: str) -> int:
+    """What a single class name, id or role says of its part."""
+    lowered, parted = set(_WORD.findall(name.lower())), set(_WORD.findall(_CAMEL.sub(" ", name).lower()))
+    for words in (lowered, parted):
+        if not CUT_WORDS.isdisjoint(words):
+            return CUT_IT if words <= CUT_WORDS | NEUTRAL else SUSPECT
+    return CLEAR
 
-def _is_cut(tag: str, attrs: str) -> bool:
+
+def _verdict(tag: str, attrs: str) -> int:
+    """Whether an element is cut, or suspected not to be article text."""
     if tag in CUT:
-        return True
+        return CUT_IT
     if not attrs or tag in ("html", "body"):
-        return False
+        return CLEAR
+    worst, content = CLEAR, False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return CUT_IT
         if name == "style":
             if "display:none" in value.lower().replace(" ", ""):
-                return True
-        elif name in ("class", "id", "role") and _names_cut_part(value):
+                return CUT_IT
+        elif name in ("class", "id", "role"):
+            names = value.split()
+            content = content or not CONTENT.isdisjoint(n.lower() for n in names)
+            worst = max([worst, *map(_verdict_of_name, names)])
             # an article or main element is cut only where it is marked as a reader comment
-            if tag not in KEPT_ALWAYS or "comment" in value.lower():
-                return True
-    return False
+            if tag in KEPT_ALWAYS and worst and "comment" not in value.lower():
+                worst = CLEAR
+    return min(worst, SUSPECT) if content else worst
 
 
 def _tree(page: str) -> _Node:
@@ -157,19 +184,17 @@ def _tree(page: str) -> _Node:
                     node, links = up.parent, 0
             if tag in ("html", "body"):
                 continue
-            if attrs.rstrip().endswith("/"):
-                continue
             order += 1
-            child = _Node(tag, node, node.cut or _is_cut(tag, attrs), order)
+            verdict = CUT_IT if node.cut else _verdict(tag, attrs)
+            child = _Node(tag, node, verdict == CUT_IT, order, verdict == SUSPECT)
             if not child.cut:
                 node.parts.append(child)
             node = child
         elif inline_cut:
-            if not attrs.rstrip().endswith("/"):
-                inline_cut.append(tag)
+            inline_cut.append(tag)
         elif tag == "a":
             links += 1
-        elif attrs and not attrs.rstrip().endswith("/") and _is_cut(tag, attrs):
+        elif attrs and _verdict(tag, attrs) == CUT_IT:
             inline_cut.append(tag)
     return root
 
@@ -223,18 +248,42 @@ def _score(root: _Node) -> list[_Node]:
     return found
 
 
+def _density(node: _Node) -> float:
+    return node.links / node.chars if node.chars else 1.0
+
+
+def _final(node: _Node) -> float:
+    return node.points * (1 - node.links / node.chars) if node.chars else 0.0
+
+
 def _emit(node: _Node, out: list[str]) -> None:
-    stack = list(reversed(node.parts))
+    _emit_parts(node.parts, out)
+
+
+def _emit_parts(parts: list, out: list[str]) -> None:
+    """All text of parts of a node but for suspects that have no prose."""
+    stack = list(reversed(parts))
     while stack:
         part = stack.pop()
-        if isinstance(part, _Node):
-            stack.extend(reversed(part.parts))
-        else:
+        if not isinstance(part, _Node):
             out.append(part[0])
+        elif not part.suspect or _is_prose(part):
+            stack.extend(reversed(part.parts))
 
 
-def _final(node: _Node) -> float:
-    return node.points * (1 - node.links / node.chars) if node.chars else 0.0
+def _is_prose(node: _Node) -> bool:
+    """A suspect is cleared by points and few links."""
+    return _density(node) < FEW_LINKS and node.points >= 1
+
+
+def _beside(part: _Node, best: _Node) -> bool:
+    """Whether a part that lies beside the best container, or beside one around it, is article text."""
+    strong = _final(part) >= max(1.0, SIBLING_SHARE * _final(best)) and _density(part) < SOME_LINKS
+    if part.tag == "article" and best.tag == "article":
+        return strong
+    if part.suspect:
+        return _is_prose(part)
+    return strong or _density(part) < FEW_LINKS
 
 
 def extract_main_text(page: str | None) -> str:
@@ -243,34 +292,38 @@ def extract_main_text(page: str | None) -> str:
         return ""
     root = _tree(page)
     nodes = _score(root)
-    containers = [x for x in nodes if x.tag in CONTAINERS]
-    best = max(containers, key=lambda x: (_final(x), -x.order), default=root)
+    best = max((x for x in nodes if x.tag in CONTAINERS), key=lambda x: (_final(x), -x.order), default=root)
     out: list[str] = []
     if _final(best) <= 0:
-        article = next((x for x in nodes if x.tag in ("article", "main") and x.chars), root)
-        _emit(article, out)
+        _emit(next((x for x in nodes if x.tag in ("article", "main") and x.chars), root), out)
         return "\n".join(out)
-    around, up = best, best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            around = up
-            break
+    up = best
+    while up is not None and not (up.tag in ("article", "main") and _final(up) >= WRAPPER_SHARE * _final(best)):
         up = up.parent
-    if around.tag in ("article", "main"):
-        best = around
-    parent = best.parent
-    if parent is None or best.tag == "main":
-        _emit(best, out)
-        return "\n".join(out)
-    least = max(1.0, 0.2 * _final(best))
-    for part in parent.parts:
+    best = up or best
+    path = [best]  # up to the outermost container whose other parts may belong to the article
+    while path[-1].parent is not None and path[-1].tag != "main":
+        path.append(path[-1].parent)
+        if best.tag == "article":
+            break  # beside an article element only further articles are article text
+    on_path = {x.order for x in path}
+    stack: list = [path[-1]]
+    while stack:
+        part = stack.pop()
         if not isinstance(part, _Node):
-            continue
-        density = part.links / part.chars if part.chars else 1.0
-        prose = part.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density < 0.25
-        strong = _final(part) >= least and density < 0.5
-        # beside an article element only further articles are article text
-        if part is best or (part.tag == "article" and strong if best.tag == "article" else prose or strong):
+            out.append(part[0])
+        elif part is best:
+            # in a container that the page does not call its article, blocks of links are menus
+            inside = part.parts if best.tag in ("article", "main") else [x for x in part.parts if not (isinstance(x, _Node) and x.tag in CONTAINERS and _density(x) >= SOME_LINKS)]
+            _emit_parts(inside, out)
+        elif part.order in on_path:
+            for x in reversed(part.parts):
+                if not isinstance(x, _Node):
+                    if best.tag != "article" and x[1] < FEW_LINKS * len(x[0]):
+                        stack.append(x)
+                elif x.order in on_path or ((best.tag != "article" or x.tag == "article") and _beside(x, best)):
+                    stack.append(x)
+        else:
             _emit(part, out)
     return "\n".join(out)
 
@@ -283,5 +336,4 @@ def main_text(page: pd.Series) -> pd.Series:
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with ``html_col`` replaced by the main text in ``out_col``; one map pass, no shuffle."""
-    small_batches(pages.sparkSession)
     return pages.withColumn(out_col, main_text(F.col(html_col)).alias(out_col)).drop(*({html_col} - {out_col}))
