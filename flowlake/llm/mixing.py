@@ -9,9 +9,9 @@ and a available tokens passes over its documents b div a times; of the next epoc
 longest prefix, in that epoch's seeded order, that fits the remaining b mod a tokens.
 
 Budgets are whole tokens and exact integer arithmetic. Sharing is done by windows over the nodes of
-one level; prefixes by two-level sums: the seeded order is cut into ``BUCKETS`` ranges per leaf,
+one level; prefixes by sums of sums: the seeded order is cut into 16 ** HEX_DIGITS ranges per leaf,
 ranges are summed, and only rows of one range are ordered together, so that no task sees a whole
-leaf, however large.
+leaf, however large. Ranges are summed in the same way, by their first digit.
 
 Defined results for odd input
 * A null language or source is the node '' of its level. A null text has no tokens.
@@ -129,9 +129,16 @@ def mix(
     drawn = rows.join(broadcast_if_small(plan), LEVELS).withColumn("order_key", order)
     drawn = drawn.withColumn("bucket", F.substring("order_key", 1, HEX_DIGITS))
 
-    ranges = drawn.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("t"))
-    before = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("start", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
+    ranges = drawn.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("t")).withColumn("coarse", F.substring("bucket", 1, 1))
+    ranges = materialize(ranges, "mix-ranges")
+
+    def sum_before(by: list[str], order: str) -> Column:
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("t").over(before), F.lit(0))
+
+    coarse = ranges.groupBy(*LEVELS, "coarse").agg(F.sum("t").alias("t")).withColumn("coarse_start", sum_before(LEVELS, "coarse")).drop("t")
+    starts = ranges.withColumn("start", sum_before([*LEVELS, "coarse"], "bucket")).join(coarse, [*LEVELS, "coarse"])
+    starts = starts.select(*LEVELS, "bucket", (F.col("coarse_start") + F.col("start")).alias("start"))
     inside = Window.partitionBy(*LEVELS, "bucket").orderBy("order_key", "id", "tokens", "text_hash")
     summed = drawn.withColumn("upto", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = summed.join(starts, [*LEVELS, "bucket"])
