@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from flowlake.llm import decontaminate, html_extract, langid, licenses, mixing, pii, quality_crf, sharding, simhash
+from flowlake.llm import decontaminate, html_extract, langid, licenses, mixing, pii, pipeline, quality_crf, simhash
 from flowlake.llm import exact_dedup as dedup
 from flowlake.llm.common import table
 
@@ -25,7 +24,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences stated in the lines and paragraphs of every document."""
+    """Licences stated anywhere in every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
@@ -33,18 +32,24 @@ _GRAM_WORDS = _WORDS.replace("coalesce(text, '')", "{}")
 
 
 def _op2_sql() -> str:
-    templates = ", ".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
-    grams = "list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])"
-    unit_words, template_words = _GRAM_WORDS.format("piece"), _GRAM_WORDS.format("text")
+    templates = ", ".join("(%d, '%s', '%s')" % (i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+    doc_words, template_words = _GRAM_WORDS.format("coalesce(text, '')"), _GRAM_WORDS.format("text")
+    grams = "SELECT *, unnest(range(1, len(w))) AS pos FROM"
     return f"""
-WITH t AS (SELECT license, {grams} AS b FROM (SELECT license, {template_words} AS w FROM (VALUES {templates}) AS v(license, text))),
-u AS (SELECT doc_id, generate_subscripts(p, 1) AS unit, unnest(p) AS piece FROM (
-        SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)),
-               list_filter(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n'), lambda x: contains(x, chr(10)))) AS p FROM documents)),
-g AS (SELECT doc_id, unit, {grams} AS a FROM (SELECT doc_id, unit, {unit_words} AS w FROM u)),
-h AS (SELECT doc_id, unit, license, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS dice
-      FROM g, t WHERE len(a) > 0 AND len(a) BETWEEN len(b) / 1.5 - 1e-9 AND len(b) * 1.5 + 1e-9)
-SELECT doc_id, license, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM h WHERE dice >= 0.8 GROUP BY doc_id, license
+WITH t AS (SELECT template, license, len(w) - 1 AS length, w FROM (SELECT template, license, {template_words} AS w FROM (VALUES {templates}) AS v(template, license, text))),
+tg AS (SELECT DISTINCT template, w[pos] || ' ' || w[pos + 1] AS g FROM ({grams} t)),
+tn AS (SELECT template, any_value(license) AS license, any_value(length) AS length, count(DISTINCT g) AS b FROM t JOIN tg USING (template) GROUP BY template),
+d AS (SELECT row_number() OVER () AS r, doc_id, {doc_words} AS w FROM documents),
+dg AS (SELECT r, pos, w[pos] || ' ' || w[pos + 1] AS g FROM ({grams} d)),
+m AS (SELECT r, template, pos, g FROM dg JOIN tg USING (g)),
+able AS (SELECT r, template, any_value(license) AS license, any_value(length) AS length, any_value(b) AS b FROM m JOIN tn USING (template)
+         GROUP BY r, template HAVING count(DISTINCT g) >= 0.8 / 1.2 * any_value(b) - 1e-9),
+k AS (SELECT * FROM m JOIN able USING (r, template)),
+win AS (SELECT x.r, x.template, x.license, x.b, x.pos AS s, max(y.pos) AS e, count(DISTINCT y.g) AS shared
+        FROM k x JOIN k y ON x.r = y.r AND x.template = y.template AND y.pos BETWEEN x.pos AND x.pos + x.length - 1 GROUP BY ALL),
+sized AS (SELECT win.*, (SELECT count(DISTINCT g) FROM dg WHERE dg.r = win.r AND dg.pos BETWEEN win.s AND win.e) AS a FROM win),
+scored AS (SELECT doc_id, license, round(2.0 * shared / (a + b), 6) AS dice, CAST(s AS INT) AS s FROM sized JOIN d USING (r))
+SELECT doc_id, license, max(dice) AS dice, CAST(arg_min(s, (-dice, s)) AS INT) AS first_word FROM scored WHERE dice >= 0.8 GROUP BY doc_id, license
 """
 
 
@@ -57,7 +62,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every draw of a document in the target mixture of domains, languages and sources."""
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, corpus_pipeline.domain_of(F.col("source")), corpus_pipeline.WEIGHTS)
+    mixed = mixing.mix(docs, pipeline.domain_of(F.col("source")), pipeline.WEIGHTS)
     return mixing.draws(mixed).withColumnRenamed("id", "doc_id")
 
 
@@ -70,7 +75,7 @@ def _op5_sql() -> str:
     for depth, level in enumerate(mixing.LEVELS):
         up, path = mixing.LEVELS[:depth], mixing.LEVELS[: depth + 1]
         by = f"PARTITION BY {', '.join(up)}" if up else ""
-        nodes = f"SELECT {', '.join(path)}, sum(4 * avail) AS cap, {case(level, corpus_pipeline.WEIGHTS.get(level, {}))} AS w FROM leaf WHERE avail > 0 GROUP BY {', '.join(path)}"
+        nodes = f"SELECT {', '.join(path)}, sum(4 * avail) AS cap, {case(level, pipeline.WEIGHTS.get(level, {}))} AS w FROM leaf WHERE avail > 0 GROUP BY {', '.join(path)}"
         budget = f"JOIN g{depth} USING ({', '.join(up)})" if up else "CROSS JOIN g0"
         ctes.append(f"""
 n{depth} AS (SELECT *, cap * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
@@ -151,7 +156,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes, over 4,096 virtual slots."""
-    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=40)
+    placed = pipeline.shard_by_map(spark, table(spark, sf_dir, "documents"))
     return placed.select(
         "doc_id",
         "size",
@@ -187,7 +192,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES = {
     "op2_license_scan": _op2_sql(),
