@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,9 +58,16 @@ SCRIPTS = [
     ("han", 0x3400, 0x9FFF), ("han", 0x20000, 0x2FA1F),
 ]
 
-#: Characters that patterns count as word characters, but that are neither letters nor decimal digits.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased."""
+    words = _WORD.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # the pattern also takes fractions, superscripts, roman numeral signs and the like
+    return "".join(c if c.isalpha() else " " for w in words for c in (*w, " ")).split()
 
 
 def script_of(word: str) -> str:
@@ -101,7 +107,7 @@ class WordModel:
         """Learn from (text, lang) pairs."""
         words: dict[str, Counter] = {}
         for text, lang in texts:
-            words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+            words.setdefault(lang, Counter()).update(words_of(text))
         counts = [(lang, kind, key, n) for lang, found in words.items() for (kind, key), n in _counts(found).items()]
         return cls.of_counts(counts, Counter(lang for _, lang in texts))
 
@@ -184,7 +190,7 @@ class WordModel:
 
     def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
         """Language, score and (lang, start, end) word spans of a text."""
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words:
             return "und", 0.0, []
         if len(self.langs) == 1:
@@ -218,7 +224,7 @@ def _count_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, texts in batch.groupby("lang")["text"]:
             words: Counter = Counter()
             for text in texts:
-                words.update(_WORD.findall(text.lower()))
+                words.update(words_of(text))
             found = _counts(words)
             yield pd.DataFrame([(lang, kind, key, n) for (kind, key), n in found.items()], columns=["lang", "kind", "key", "n"], dtype="object").astype({"n": "int64"})
 

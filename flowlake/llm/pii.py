@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import broadcast_if_small, materialize, release
+from flowlake.llm.common import broadcast_if_small, materialize, release, text_batches
 
 #: Attempts of an entity's own length; later ones grow by a sign every other attempt.
 WIDER = 6
@@ -431,7 +431,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with surrogates in ``text_col``, and the columns ``n_entities`` and ``entity_types``."""
     docs = docs.drop("__k1", "__k2", "__later", "__found", "n_entities", "entity_types")
     k1, k2 = _text_key(F.col(text_col))
-    read = materialize(docs.withColumns({"__k1": k1, "__k2": k2, "__found": _entities(F.col(text_col))}), "pii-read")
+    with text_batches(docs.sparkSession):
+        read = materialize(docs.withColumns({"__k1": k1, "__k2": k2, "__found": _entities(F.col(text_col))}), "pii-read")
     seen = read.select("__k1", "__k2", F.explode("__found.parts").alias("x")).select("__k1", "__k2", "x.type", "x.entity").distinct()
     seen = materialize(seen, "pii-seen")
     resolved = resolve(materialize(seen.select("type", "entity").distinct(), "pii-entities"), key)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import materialize, release
+from flowlake.llm.common import materialize, release, text_batches
 
 #: Labelled documents of each label that are learned from, at most.
 MAX_TRAIN_ROWS = 2000
@@ -371,7 +371,8 @@ def fit(docs: DataFrame, labels: DataFrame, trained_on: Column, id_col: str = "d
     texts = texts.join(F.broadcast(chosen.select("__id", "bad")), "__id")  # at most 2 * max_rows ids, each once
     texts = texts.groupBy("__id", "bad").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     table = texts.repartition(TRAIN_PARTS).select("__id", "bad", _features("text").alias("f")).select("__id", "bad", "f.*")
-    table = materialize(table, "quality-lines")
+    with text_batches(docs.sparkSession):
+        table = materialize(table, "quality-lines")
     if table.isEmpty():
         return None
     model = _train(table)

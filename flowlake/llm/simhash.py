@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import broadcast_if_small, materialize, release, single_rows
+from flowlake.llm.common import broadcast_if_small, materialize, release, single_rows, text_batches
 from flowlake.llm.graph import connected_components
 
 SHINGLE_WORDS = 3
@@ -125,7 +125,8 @@ def near_links(classes: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key (a hash of the text), fp of every row, written once so that the texts are read once."""
     key = text_hash(F.col(text_col)).alias("text_key")
-    return materialize(docs.select(F.col(id_col).alias("id"), key, simhash(F.col(text_col)).alias("fp")), "simhash-fp")
+    with text_batches(docs.sparkSession):
+        return materialize(docs.select(F.col(id_col).alias("id"), key, simhash(F.col(text_col)).alias("fp")), "simhash-fp")
 
 
 def text_hash(text: Column) -> Column:
