@@ -13,8 +13,8 @@ not with enough positions (README: measured recall).
 
 Texts of one shingle set are one class, named by a 64-bit hash of the set, so exact copies make no
 pairs. The members of a list are never paired with each other outright. They are paired with the
-list's least member first, and only with the least of all their lists to begin with; pairs inside a
-component that is known by then cannot change it and are left out. At the end members that are in
+list's centre first (the member that meets most texts in all), and only with the foremost of their
+lists' centres to begin with; pairs inside a component that is known by then cannot change it and are left out. At the end members that are in
 another component than most of their list are paired with the members of other components, so that
 every pair of a list has been looked at or is settled.
 
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import broadcast_if_small, materialize, release
+from flowlake.llm.common import broadcast_if_small, materialize, release, text_batches
 from flowlake.llm.graph import connected_components
 from flowlake.llm.simhash import HASH_SEED, keep_one, shingle_hashes, text_hash
 
@@ -150,7 +150,8 @@ class _Verifier:
         keys = materialize(keys, "similar-texts")
         held = self.docs.select(F.col(self.text_col).alias("__text")).join(broadcast_if_small(keys), text_hash(F.col("__text")) == F.col("__key"))
         held = held.groupBy("node").agg(F.first("__text").alias("__text")).select("node", _setter(self.k)("__text").alias("s"))
-        held = materialize(held, "similar-sets")
+        with text_batches(self.docs.sparkSession):
+            held = materialize(held, "similar-sets")
         side = lambda x: held.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
         both = F.size(F.array_intersect("s_u", "s_v"))
         alike = both >= self.similarity * (F.size("s_u") + F.size("s_v") - both) - 1e-9
@@ -172,13 +173,18 @@ def _components(classes: DataFrame, verify: _Verifier, positions: np.ndarray) ->
     # nearly all keys are of one class: dealt first, as merging them before the shuffle would save nothing
     lists = postings.repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("n > 1")
     lists = materialize(lists, "similar-lists")
-    longer = materialize(lists.filter("n > 2").select("key", "least"), "similar-longer")  # lists of two are known by their ends
+    longer = materialize(lists.filter("n > 2").select("key", "n"), "similar-longer")  # lists of two are known by their ends
     members = materialize(postings.join(broadcast_if_small(longer), "key"), "similar-members")
-    stars = lists.filter("n = 2").select(F.col("most").alias("u"), F.col("least").alias("v"))
-    stars = stars.union(members.filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))).distinct()
-    stars = materialize(stars, "similar-stars")
-
-    links = verify(stars.groupBy("u").agg(F.min("v").alias("v")))
+    # the text that copies were made from meets more of them than they meet each other: it is the centre of their lists
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    met = materialize(met, "similar-met")
+    centres = members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("centre"))
+    centres = materialize(centres, "similar-centres")
+    stars = members.join(broadcast_if_small(centres), "key").filter("node != centre").select(F.col("centre").alias("v"), F.col("node").alias("u"))
+    stars = stars.unionByName(lists.filter("n = 2").select(F.col("most").alias("u"), F.col("least").alias("v"))).distinct()
+    stars = materialize(stars.join(met.select(F.col("node").alias("v"), "met"), "v", "left"), "similar-stars")
+
+    links = verify(stars.groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v")))
     found = connected_components(links)
     links = links.union(verify(_apart(stars, found)))
     found = materialize(connected_components(links), "similar-found")
@@ -189,9 +195,9 @@ def _components(classes: DataFrame, verify: _Verifier, positions: np.ndarray) ->
     main = materialize(sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("cs")).filter("cs > 1"), "similar-main")
     outside = placed.join(main, "key").filter("c != main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
     rest = placed.join(outside, "key").filter("c != cx").select(*_ordered("node", "x")).distinct()
-    settled = stars.select("u", "v")
+    settled = stars.select(*_ordered("u", "v"))
     found = connected_components(links.union(verify(rest.join(settled, ["u", "v"], "left_anti"))))
-    release(lists, longer, members, stars, placed, main)
+    release(lists, longer, members, met, centres, stars, placed, main)
     return found
 
 
@@ -207,7 +213,8 @@ def drop_similar(
 ) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component of similar texts."""
     printed = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("text_key"), _printer(shingle_words)(F.col(text_col)).alias("p"))
-    rows = materialize(printed.select("id", "text_key", "p.node", "p.fp"), "similar-fp")
+    with text_batches(docs.sparkSession):
+        rows = materialize(printed.select("id", "text_key", "p.node", "p.fp"), "similar-fp")
     classes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp")), "similar-classes")
     rows = rows.drop("fp")
     verify = _Verifier(docs, rows, classes, text_col, shingle_words, min_shared, similarity)
