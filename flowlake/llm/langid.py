@@ -47,7 +47,7 @@ GRAM_SIZES = (1, 2, 3)
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.001
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 # First and last code point of the scripts told apart.
 SCRIPTS = [

@@ -5,18 +5,18 @@ shingles in common every seventh sign differs, and a byte of eight signs rarely
 the byte at a position is the number of the largest of ``DIRECTIONS`` projections of the text's
 shingle set, with its sign: at a Jaccard coefficient of 0.8 about 45 in 100 positions agree, of
 unlike texts hardly any. Texts are posted under ``KEYS`` choices of ``KEY_BYTES`` positions and their
-bytes. Pairs that meet in a list are candidates; the count filter tallies the positions that they
-share, retains those that reach ``MIN_SHARED`` (three and a half standard deviations under the mean
-at 0.8), and each of these is verified by the exact Jaccard coefficient of the shingle sets of the
-whole texts. What is linked is thus right; a similar pair is missed only if it meets in no list, or
-not with enough positions (README: measured recall).
+bytes. The count filter tallies the lists that a pair meets in and retains those that reach
+``MIN_LISTS``, then the positions that they share and retains those that reach ``MIN_SHARED`` (three
+and a half standard deviations under the mean at 0.8), and each of these is verified by the exact Jaccard coefficient of the shingle sets of the
+whole texts. What is linked is thus right; a similar pair is missed only if it meets in too few
+lists (README: measured recall).
 
 Texts of one shingle set are one class, named by a 64-bit hash of the set, so exact copies make no
-pairs. The members of a list are never paired with each other outright. They are paired with the
-list's centre first (the member that meets most texts in all), and only with the foremost of their
-lists' centres to begin with; pairs inside a component that is known by then cannot change it and are left out. At the end members that are in
-another component than most of their list are paired with the members of other components, so that
-every pair of a list has been looked at or is settled.
+pairs. The members of a list are never paired with each other outright. Under the first of the keys
+they are paired with their list's centre only (the member that meets most texts in all), and with
+the foremost of their centres to begin with, which settles groups of copies. Then all keys are
+looked at, but only lists that hold several components: there, members outside the component of most
+of the list are paired with the members of others. Pairs inside a component cannot change it.
 
 Defined results for odd input
 * A text of ``shingle_words`` words or fewer is one shingle. Null and wordless texts are copies of each other.
@@ -45,9 +45,12 @@ SHINGLE_WORDS = 5
 DIMENSIONS = 512
 POSITIONS = 64
 DIRECTIONS = 64
-#: Posting keys per text and positions per key. 28 bits a key: over some ten million classes take more bytes and more keys.
-KEYS = 128
+#: Posting keys per text, those of them that groups are settled by first, and positions per key. 28 bits a key: for over some ten million texts take more.
+KEYS = 256
+FIRST_KEYS = 48
 KEY_BYTES = 4
+#: Lists that a pair has to meet in, and positions that it has to share.
+MIN_LISTS = 2
 MIN_SHARED = 14
 
 
@@ -109,8 +112,12 @@ def _poster(positions: np.ndarray):
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(fps: pd.Series) -> pd.Series:
-        octets = np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(fps), -1).astype(np.int64)
-        return pd.Series(list((octets[:, positions] * places).sum(axis=2) + slots), dtype="object")
+        out = []
+        for at in range(0, len(fps), 256):
+            some = fps.iloc[at : at + 256]
+            octets = np.frombuffer(b"".join(some), dtype=np.uint8).reshape(len(some), -1).astype(np.int64)
+            out += list((octets[:, positions] * places).sum(axis=2) + slots)
+        return pd.Series(out, dtype="object")
 
     return keys
 
@@ -167,37 +174,62 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return placed.filter(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
 
 
-def _components(classes: DataFrame, verify: _Verifier, positions: np.ndarray) -> DataFrame:
-    """(node, component) of all that is linked over similar pairs that meet in a list."""
-    postings = classes.select("node", F.explode(_poster(positions)("fp")).alias("key"))
+def _lists(postings: DataFrame, *more: Column) -> DataFrame:
+    """key, n, least, most (node) and ``more`` of each list of two or more."""
     # nearly all keys are of one class: dealt first, as merging them before the shuffle would save nothing
-    lists = postings.repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("n > 1")
-    lists = materialize(lists, "similar-lists")
-    longer = materialize(lists.filter("n > 2").select("key", "n"), "similar-longer")  # lists of two are known by their ends
+    return postings.repartition("key").groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), *more).filter("n > 1")
+
+
+def _twos(lists: DataFrame) -> DataFrame:
+    """The pairs of lists of two, which are known by their ends."""
+    return lists.filter("n = 2").select(F.col("most").alias("u"), F.col("least").alias("v"))
+
+
+def _often(pairs: DataFrame) -> DataFrame:
+    """Count filter over the index: pairs that meet in MIN_LISTS lists at least."""
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("lists")).filter(F.col("lists") >= MIN_LISTS).drop("lists")
+
+
+def _settled(classes: DataFrame, verify: _Verifier, positions: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs looked at) of texts with the centres of their lists, under some of the keys."""
+    postings = classes.select("node", F.explode(_poster(positions)("fp")).alias("key"))
+    lists = materialize(_lists(postings), "similar-lists")
+    longer = materialize(lists.filter("n > 2").select("key", "n"), "similar-longer")
     members = materialize(postings.join(broadcast_if_small(longer), "key"), "similar-members")
     # the text that copies were made from meets more of them than they meet each other: it is the centre of their lists
-    met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    met = materialize(met, "similar-met")
+    met = materialize(members.groupBy("node").agg(F.sum("n").alias("met")), "similar-met")
     centres = members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("centre"))
     centres = materialize(centres, "similar-centres")
-    stars = members.join(broadcast_if_small(centres), "key").filter("node != centre").select(F.col("centre").alias("v"), F.col("node").alias("u"))
-    stars = stars.unionByName(lists.filter("n = 2").select(F.col("most").alias("u"), F.col("least").alias("v"))).distinct()
-    stars = materialize(stars.join(met.select(F.col("node").alias("v"), "met"), "v", "left"), "similar-stars")
-
-    links = verify(stars.groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v")))
+    stars = members.join(broadcast_if_small(centres), "key").filter("node != centre").select(*_ordered("node", "centre"))
+    stars = materialize(_often(stars.unionByName(_twos(lists))), "similar-stars")
+    ends = stars.select(F.col("u").alias("x"), F.col("v").alias("y")).union(stars.select(F.col("v").alias("x"), F.col("u").alias("y")))
+    foremost = ends.join(met.select(F.col("node").alias("y"), "met"), "y", "left").groupBy("x").agg(
+        F.max_by("y", F.struct(F.coalesce("met", F.lit(0)), "y")).alias("y"))
+    links = verify(foremost.select(*_ordered("x", "y")).distinct())
     found = connected_components(links)
     links = links.union(verify(_apart(stars, found)))
-    found = materialize(connected_components(links), "similar-found")
+    release(lists, longer, members, met, centres)
+    return links, stars
+
 
-    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    placed = materialize(placed, "similar-placed")
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
-    main = materialize(sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("cs")).filter("cs > 1"), "similar-main")
-    outside = placed.join(main, "key").filter("c != main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    rest = placed.join(outside, "key").filter("c != cx").select(*_ordered("node", "x")).distinct()
-    settled = stars.select(*_ordered("u", "v"))
-    found = connected_components(links.union(verify(rest.join(settled, ["u", "v"], "left_anti"))))
-    release(lists, longer, members, met, centres, stars, placed, main)
+def _components(classes: DataFrame, verify: _Verifier, positions: np.ndarray, first_keys: int) -> DataFrame:
+    """(node, component) of all that is linked over similar pairs that meet often enough."""
+    links, tried = _settled(classes, verify, positions[:first_keys])
+    found = materialize(connected_components(links), "similar-found")
+    placed = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.explode(_poster(positions)("fp")).alias("key"))
+    # a list inside one component has nothing to add
+    lists = materialize(_lists(placed, F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 != c2"), "similar-lists")
+    longer = materialize(lists.filter("n > 2").select("key"), "similar-longer")
+    members = materialize(placed.join(broadcast_if_small(longer), "key"), "similar-members")
+    sizes = members.groupBy("key", "c").agg(F.count("*").alias("m"))
+    main = materialize(sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main")), "similar-main")
+    outside = members.join(main, "key").filter("c != main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+    rest = members.join(outside, "key").filter("c != cx")
+    rest = rest.select(*_ordered("node", "x"), "key").distinct().drop("key")
+    rest = _often(rest.unionByName(_twos(lists))).join(tried, ["u", "v"], "left_anti")
+    found = connected_components(links.union(verify(materialize(rest, "similar-rest"))))
+    release(lists, longer, members, main, tried)
     return found
 
 
@@ -206,6 +238,7 @@ def drop_similar(
     similarity: float = SIMILARITY,
     shingle_words: int = SHINGLE_WORDS,
     keys: int = KEYS,
+    first_keys: int = FIRST_KEYS,
     key_bytes: int = KEY_BYTES,
     min_shared: int = MIN_SHARED,
     id_col: str = "doc_id",
@@ -218,6 +251,6 @@ def drop_similar(
     classes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp")), "similar-classes")
     rows = rows.drop("fp")
     verify = _Verifier(docs, rows, classes, text_col, shingle_words, min_shared, similarity)
-    found = _components(classes, verify, key_positions(keys, key_bytes))
+    found = _components(classes, verify, key_positions(keys, key_bytes), first_keys)
     release(classes)
     return keep_one(docs, rows.join(found, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component")), id_col, text_col)
