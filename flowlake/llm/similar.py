@@ -47,7 +47,7 @@ POSITIONS = 64
 DIRECTIONS = 64
 #: Posting keys per text, those of them that groups are settled by first, and positions per key. 28 bits a key: for over some ten million texts take more.
 KEYS = 256
-FIRST_KEYS = 48
+FIRST_KEYS = 96
 KEY_BYTES = 4
 #: Lists that a pair has to meet in, and positions that it has to share.
 MIN_LISTS = 2
