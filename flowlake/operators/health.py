@@ -53,7 +53,7 @@ def node_availability(h: DataFrame, as_of) -> DataFrame:
     """AGG19: whether the last hour, day, 7, 14 and 30 days have checks."""
     spans = {"has_hour": HOUR, "has_day": DAY, "has_7_days": 7 * DAY, "has_14_days": 14 * DAY, "has_30_days": 30 * DAY}
     at = F.col("checked_at")
-    return h.agg(*[(F.count(F.when((at > ago(as_of, s)) & (at <= instant(as_of)), 1)) > 0).alias(name) for name, s in spans.items()])
+    return h.filter(at > ago(as_of, 30 * DAY)).agg(*[(F.count(F.when((at > ago(as_of, s)) & (at <= instant(as_of)), 1)) > 0).alias(name) for name, s in spans.items()])
 
 
 def probe_rollup(probes: DataFrame) -> DataFrame:

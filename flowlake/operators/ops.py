@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions.columns import instant
@@ -55,10 +55,17 @@ def log_rollup(logs: DataFrame, window: str = "1 second", ties: str = "seq") ->
 
     One entry stays as it is, up to three are joined, of more the first, the number between and the last are shown.
     """
-    in_order = F.array_sort(F.collect_list(F.struct("ts", ties, "message")))
-    grouped = logs.groupBy(F.window("ts", window).alias("w"), "component", "level").agg(in_order.alias("e"))
-    n, text = F.size("e"), F.transform("e", lambda x: x["message"])
-    few = F.array_join(text, "; ")
-    many = F.concat(F.element_at(text, 1), F.lit(" ... (+"), (n - 2).cast("string"), F.lit(" similar) ... "), F.element_at(text, -1))
-    return grouped.select(
-        F.col("w.start").alias("window_start"), "component", "level", n.cast("long").alias("entries"), F.when(n <= 3, few).otherwise(many).alias("summary"))
+    keyed = logs.select(F.window("ts", window)["start"].alias("window_start"), "component", "level", F.struct("ts", ties).alias("at"), "message")
+    keys = ["window_start", "component", "level"]
+    # of a group only its first and its last are held, and the one between of groups of three, however many entries it has
+    ends = keyed.groupBy(*keys).agg(
+        F.count("*").alias("entries"), F.min_by("message", F.struct("at", "message")).alias("first"), F.max_by("message", F.struct("at", "message")).alias("last"))
+    three = ends.filter("entries = 3").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    inner = keyed.join(three, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_semi")
+    second = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "message"))  # of groups of three
+    middle = inner.withColumn("r", second).filter("r = 2").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("message").alias("middle"))
+    joined = ends.join(middle, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    n = F.col("entries")
+    summary = F.when(n == 1, F.col("first")).when(n == 2, F.concat_ws("; ", "first", "last")).when(n == 3, F.concat_ws("; ", "first", "middle", "last")).otherwise(
+        F.concat("first", F.lit(" ... (+"), (n - 2).cast("string"), F.lit(" similar) ... "), "last"))
+    return joined.select(*keys, n.alias("entries"), summary.alias("summary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.functions.columns import PERIODS, RATE_PERIODS, ago, in_prev_window, in_window, instant, percent_change, period_rank
+from flowlake.functions.columns import PERIODS, RATE_PERIODS, ago, in_prev_window, in_window, instant, percent_change, period_rank, since
 
 
 def _count(condition) -> F.Column:
@@ -39,7 +39,7 @@ def transfer_rate_changes(t: DataFrame, as_of) -> DataFrame:
         counters += [_count(in_window(F.col("timestamp"), as_of, p)).alias(f"cur_{p}"), _count(in_prev_window(F.col("timestamp"), as_of, p)).alias(f"prev_{p}")]
     base = (F.col("timestamp") > ago(as_of, 1800)) & (F.col("timestamp") <= ago(as_of, PERIODS["5m"]))
     counters.append(_count(base).alias("base"))
-    wide = t.agg(*counters)
+    wide = since(t, as_of, 2 * PERIODS["30d"]).agg(*counters)
     rows = [
         F.struct(
             F.lit(p).alias("period"),
@@ -61,4 +61,4 @@ def data_availability(t: DataFrame, as_of) -> DataFrame:
     """AGG19: whether each trailing period has transfers, and the 30-day flag served for all of them."""
     names = {"1m": "has_minute", "1h": "has_hour", "1d": "has_day", "7d": "has_7_days", "14d": "has_14_days", "30d": "has_30_days"}
     flags = [(_count(in_window(F.col("timestamp"), as_of, p)) > 0).alias(name) for p, name in names.items()]
-    return t.agg(*flags).withColumn("served", F.col("has_30_days"))
+    return since(t, as_of, PERIODS["30d"]).agg(*flags).withColumn("served", F.col("has_30_days"))

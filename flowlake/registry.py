@@ -163,8 +163,14 @@ def _change_sql(p: str) -> str:
 _add("agg3_transfer_rate_changes", _on(RT, rates.transfer_rate_changes),
      f"SELECT period, cur AS current_count, prev AS prev_count, round(CASE WHEN period = '5m' THEN {_pct('cur', 'base')} ELSE {_pct('cur', 'prev')} END, 6) AS change_pct "
      f"FROM ({_union(_change_sql)})", _RT)
-_add("top1_period_order", _on(RT, lambda t, a: rates.order_periods(rates.transfer_rates(t, a)).select("period", "count")),
-     f"SELECT 'all' AS period, count(*) AS count FROM t UNION ALL " + _union(lambda p: f"SELECT '{p}', count(*) FILTER ({_in(p)}) FROM t"), _RT)
+def _in_order(df: DataFrame) -> DataFrame:
+    """An ordered result with the place of each row, numbered in the order that it comes in."""
+    return df.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)  # ranked lists: a few rows
+
+
+_add("top1_period_order", _on(RT, lambda t, a: _in_order(rates.order_periods(rates.transfer_rates(t, a))).select("place", "period", "count")),
+     f"SELECT row_number() OVER (ORDER BY list_position(['30d', '14d', '7d', '1d', '1h', '5m', 'all'], period)) AS place, * FROM ("
+     f"SELECT 'all' AS period, count(*) AS count FROM t UNION ALL " + _union(lambda p: f"SELECT '{p}', count(*) FILTER ({_in(p)}) FROM t") + ")", _RT)
 _FLAGS = {"1m": "has_minute", "1h": "has_hour", "1d": "has_day", "7d": "has_7_days", "14d": "has_14_days", "30d": "has_30_days"}
 _add("agg19_data_availability", _on(RT, rates.data_availability),
      "SELECT " + ", ".join(f"count(*) FILTER ({_in(p)}) > 0 AS {n}" for p, n in _FLAGS.items()) + f", count(*) FILTER ({_in('30d')}) > 0 AS served FROM t", _RT)
@@ -304,6 +310,10 @@ _add("win4_route_share", _on(STAR, lambda t, a: ranking.share_of_listed(
         routes.popular_routes(t, a).select("route", "transfer_count"), F.col("transfer_count"), 10, ["route"], 1)),
      f"SELECT route, transfer_count, {_pc('transfer_count', 'greatest(sum(transfer_count) OVER (), 1)')} AS share "
      f"FROM (SELECT * FROM ({_routes_sql(_in('30d'), 50)}) ORDER BY transfer_count DESC, route LIMIT 10)", _TRANSFERS)
+_add("win4_asset_share", _on(STAR, lambda t, a: ranking.share_of_listed(
+        assets.asset_volumes(t, a).select("asset_symbol", "transfer_count"), F.col("transfer_count"), 10, ["asset_symbol"])),
+     f"SELECT asset_symbol, transfer_count, {_pc('transfer_count', 'sum(transfer_count) OVER ()')} AS share "
+     "FROM (SELECT * FROM av ORDER BY transfer_count DESC, asset_symbol LIMIT 10)", f"{_TRANSFERS},{_ASSETS}")
 _add("win4_chain_share", _on(RT, lambda t, a: ranking.share_of_listed(
         flows.chain_flows(t, a).select("universal_chain_id", "net_flow"), F.col("net_flow"), 5, ["universal_chain_id"])),
      f"SELECT universal_chain_id, net_flow, {_pc('abs(net_flow)', 'sum(abs(net_flow)) OVER ()')} AS share FROM (SELECT * FROM flows ORDER BY abs(net_flow) DESC, universal_chain_id LIMIT 5)", f"{_RT},{_FLOWS}")
@@ -330,10 +340,10 @@ _FLAT = [f"{e}.{s} AS {e}_{s}" for e in latency.EVENTS for s in latency.STATS]
 _add("doc3_latency_document", lambda spark, sf_dir: latency.latency_document(fx.latency_data(spark, sf_dir)).selectExpr("source_chain", "dest_chain", "source_name", "dest_name", *_FLAT),
      f"SELECT source_chain, dest_chain, source_name, dest_name, {_VALUES} FROM ll", _LATENCY)
 _add("top3_latency_ranking", _lat(latency.latency_ranking), "SELECT * FROM ll ORDER BY packet_ack_median, source_chain, dest_chain LIMIT 4", _LATENCY)
-_add("top3_latency_ranking_of_source", _lat(lambda l: latency.latency_ranking(l, source="FRANCE")),
-     "SELECT * FROM ll WHERE source_name = 'FRANCE' ORDER BY packet_ack_median, source_chain, dest_chain LIMIT 12", _LATENCY)
-_add("set3_latency_endpoints", _lat(lambda l: latency.latency_endpoints(l, "FRANCE")),
-     "SELECT DISTINCT 'source' AS kind, source_name AS name FROM ll WHERE source_name <> '' UNION SELECT DISTINCT 'destination', dest_name FROM ll WHERE source_name = 'FRANCE' AND dest_name <> ''", _LATENCY)
+_add("top3_latency_ranking_of_source", _lat(lambda l: latency.latency_ranking(l, source="NATION_7")),
+     "SELECT * FROM ll WHERE source_name = 'NATION_7' ORDER BY packet_ack_median, source_chain, dest_chain LIMIT 12", _LATENCY)
+_add("set3_latency_endpoints", _lat(lambda l: latency.latency_endpoints(l, "NATION_7")),
+     "SELECT DISTINCT 'source' AS kind, source_name AS name FROM ll WHERE source_name <> '' UNION SELECT DISTINCT 'destination', dest_name FROM ll WHERE source_name = 'NATION_7' AND dest_name <> ''", _LATENCY)
 _MELT = " UNION ALL ".join(f"SELECT source_chain, dest_chain, '{e}' AS event, '{s}' AS stat, {e}_{s} AS value FROM ll" for e in latency.EVENTS for s in latency.STATS)
 _add("scl1_latency_scale", _lat(latency.latency_scale),
      "SELECT source_chain, dest_chain, event, stat, value, lo AS route_min, hi AS route_max, "
@@ -376,9 +386,15 @@ _add("agg24_endpoint_counts", lambda spark, sf_dir: health.endpoint_counts(fx.ch
 _add("win3_node_uptime", lambda spark, sf_dir: health.node_uptime(NODES(spark, sf_dir)),
      "SELECT rpc_url, checked_at, status, coalesce(lag(CASE WHEN status <> 'unhealthy' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY rpc_url ORDER BY checked_at, latest_block_height), 0) AS uptime, "
      "round(avg(CASE WHEN status <> 'unhealthy' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY rpc_url ORDER BY checked_at RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW), 6) AS uptime_24h FROM h", _NODES)
-for _sort in ("chain", "status", "response", "uptime"):
-    _add(f"top4_node_list_by_{_sort}", _on(NODES, lambda h, a, s=_sort: health.node_list(health.latest_node_health(h, a), "all", s).select("rpc_url", "status", "response_time_ms", "uptime")),
-         "SELECT rpc_url, status, response_time_ms, uptime FROM latest", _NODES)
+_NODE_ORDER = {
+    "chain": "chain_name", "status": "list_position(['healthy', 'degraded', 'unhealthy'], status)",
+    "response": "nullif(response_time_ms, 0) ASC NULLS LAST", "uptime": "uptime DESC",
+}
+for _sort, _status in [*((s, "all") for s in _NODE_ORDER), ("response", "healthy"), ("uptime", "unhealthy")]:
+    _add(f"top4_node_list_by_{_sort}" + (f"_of_{_status}" if _status != "all" else ""),
+         _on(NODES, lambda h, a, s=_sort, k=_status: _in_order(health.node_list(health.latest_node_health(h, a), k, s)).select("place", "rpc_url", "status", "response_time_ms", "uptime")),
+         f"SELECT row_number() OVER (ORDER BY {_NODE_ORDER[_sort]}, rpc_url, checked_at) AS place, rpc_url, status, response_time_ms, uptime FROM latest"
+         + (f" WHERE status = '{_status}'" if _status != "all" else ""), _NODES)
 
 # operations -------------------------------------------------------------------------------------------------
 
@@ -591,8 +607,21 @@ def _dashboard_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("doc5_dashboard_routes", _dashboard_routes, f"SELECT time_scale, rank, source_chain, dest_chain, transfer_count FROM ({_SCALED_ROUTES})", _RT)
-_add("snk4_chart_message", _on(RT, lambda t, a: sinks.chart_message(documents.chain_flow_document(t, a).agg(F.count("*").alias("doc")))),
-     """SELECT '{"type":"chartData","data":' || count(*) || '}' AS value FROM (SELECT * FROM flows LIMIT 10)""", f"{_RT},{_FLOWS}")
+
+
+def _flow_message(t: DataFrame, as_of) -> DataFrame:
+    """The chain flows and their top assets as a document in the message envelope."""
+    top = F.transform("top_assets", lambda x: F.struct(x["rank"].alias("rank"), x["asset"].alias("asset"), x["net_flow"].alias("net_flow")))
+    rows = documents.chain_flow_document(t, as_of).select("universal_chain_id", "outgoing_count", "incoming_count", "net_flow", top.alias("top_assets"))
+    return sinks.chart_message(rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("doc")))
+
+
+_add("snk4_chart_message", _on(RT, _flow_message),
+     """SELECT '{"type":"chartData","data":[' || string_agg('{"universal_chain_id":"' || universal_chain_id || '","outgoing_count":' || outgoing_count || ',"incoming_count":' || incoming_count
+     || ',"net_flow":' || f.net_flow || ',"top_assets":[' || a.list || ']}', ',' ORDER BY universal_chain_id) || ']}' AS value
+     FROM (SELECT * FROM flows ORDER BY outgoing_count + incoming_count DESC, universal_chain_id, chain_name LIMIT 10) f
+     JOIN (SELECT chain_id, string_agg('{"rank":' || rank || ',"asset":"' || asset || '","net_flow":' || net_flow || '}', ',' ORDER BY rank) AS list FROM top_assets GROUP BY chain_id) a
+     ON chain_id = universal_chain_id""", f"{_RT},{_FLOWS},{_TOP_ASSETS}")
 _add("snk5_summary_rows", _on(RT, lambda t, a: sinks.summary_rows(
         wallets.active_wallets(t, a, "sender", 10).select(F.lpad(F.col("count").cast("string"), 9, "0").alias("n"), "address"), "active_senders", "30d", a)),
      """SELECT 'active_senders' AS chart_type, '30d' AS time_scale, (SELECT max(as_of) FROM t) AS updated_at,

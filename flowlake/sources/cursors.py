@@ -9,14 +9,18 @@ from flowlake.functions.columns import DAY, ago
 
 
 def read_forward(src: DataFrame, cursor: str | None, limit: int) -> tuple[DataFrame, str | None]:
-    """SRC5: the next rows after ``cursor``; without one, the latest. Returns the rows and the new cursor."""
+    """SRC5: the next rows after ``cursor``; without one, the latest. Returns the rows and the new cursor.
+
+    A page ends with all rows of its last sort key, which may be more than ``limit``: the cursor is a
+    sort key, so rows of an equal one would be passed over by the next page.
+    """
     keyed = src.filter(F.col("sort_order").isNotNull())
-    if cursor is None:
-        page = keyed.orderBy(F.desc("sort_order")).limit(limit)
-    else:
-        page = keyed.filter(F.col("sort_order") > cursor).orderBy("sort_order").limit(limit)
-    last = page.agg(F.max("sort_order")).first()[0]
-    return page, last if last is not None else cursor
+    key = F.col("sort_order")
+    ahead = keyed if cursor is None else keyed.filter(key > cursor)
+    edges = ahead.select(key).orderBy(key.desc() if cursor is None else key.asc()).limit(limit).agg(F.min(key), F.max(key)).first()
+    if edges[1] is None:
+        return ahead.limit(0), cursor
+    return (keyed.filter(key >= edges[0]), keyed.agg(F.max(key)).first()[0]) if cursor is None else (ahead.filter(key <= edges[1]), edges[1])
 
 
 def read_backward(src: DataFrame, cursor: str, as_of, depth_days: int = 30) -> DataFrame:
