@@ -12,10 +12,14 @@ def _count(condition) -> F.Column:
     return F.count(F.when(condition, 1))
 
 
-def transfer_rates(t: DataFrame, as_of) -> DataFrame:
-    """AGG1: period, count, calculated_at for all time and six trailing periods."""
-    counters = [F.count("*").alias("all")] + [_count(in_window(F.col("timestamp"), as_of, p)).alias(p) for p in RATE_PERIODS]
-    wide = t.agg(*counters)
+def transfer_rates(t: DataFrame, as_of, everything: DataFrame | None = None) -> DataFrame:
+    """AGG1: period, count, calculated_at for all time and six trailing periods.
+
+    Where ``t`` holds the rows of 30 days only, ``everything`` is the whole table: its rows are counted without reading a column.
+    """
+    total = F.count("*").alias("all")
+    counters = [_count(in_window(F.col("timestamp"), as_of, p)).alias(p) for p in RATE_PERIODS]
+    wide = t.agg(total, *counters) if everything is None else everything.agg(total).crossJoin(F.broadcast(t.agg(*counters)))  # one row each
     return wide.unpivot([], wide.columns, "period", "count").withColumn("calculated_at", instant(as_of))
 
 

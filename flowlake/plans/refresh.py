@@ -14,11 +14,13 @@ from flowlake.operators import assets, flows, rates, routes, wallets
 
 COLUMNS = ["source_chain", "dest_chain", "source_name", "dest_name", "sender", "receiver", "amount", "token_symbol", "canonical_token_symbol", "timestamp"]
 
+VIEWS = ["transfer_rates", "wallet_stats", "popular_routes", "chain_flows", "asset_volumes", "active_senders", "active_receivers"]
+
 
 def summaries(t: DataFrame, recent: DataFrame, as_of) -> dict[str, DataFrame]:
     """The seven summary tables; only the all-time count needs more than ``recent``."""
     return {
-        "transfer_rates": rates.transfer_rates(t, as_of),
+        "transfer_rates": rates.transfer_rates(recent, as_of, t),
         "wallet_stats": wallets.wallet_stats(recent, as_of),
         "popular_routes": routes.popular_routes(recent, as_of),
         "chain_flows": flows.chain_flows(recent, as_of),
@@ -54,7 +56,17 @@ def refresh_analytics(t: DataFrame, as_of: datetime, out: str) -> DataFrame:
     return spark.createDataFrame(report, "view string, rows long, seconds double").withColumn("class", speed_class(F.col("seconds")))
 
 
+def _newest(spark: SparkSession, out: str) -> str:
+    versions = spark.read.schema("version string").json(f"{out}/current")
+    return versions.agg(F.max_by("version", F.split_part("version", F.lit("-"), F.lit(2)).cast("long"))).first()[0]
+
+
 def read_summary(spark: SparkSession, out: str, view: str) -> DataFrame:
     """A summary table of the newest finished version."""
-    version = spark.read.schema("version string").json(f"{out}/current").agg(F.max_by("version", F.split_part("version", F.lit("-"), F.lit(2)).cast("long"))).first()[0]
-    return spark.read.parquet(f"{out}/{version}/{view}")
+    return spark.read.parquet(f"{out}/{_newest(spark, out)}/{view}")
+
+
+def read_all_summaries(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """All summary tables, of one version."""
+    version = _newest(spark, out)
+    return {view: spark.read.parquet(f"{out}/{version}/{view}") for view in VIEWS}

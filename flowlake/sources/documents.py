@@ -15,6 +15,19 @@ def read_transfers(spark: SparkSession, path: str, as_of=None, days: int | None
     return stored if as_of is None or days is None else since(stored, as_of, days * DAY)
 
 
+def stream_forward(spark: SparkSession, path: str, cursor: str | None = None, max_files: int | None = None) -> DataFrame:
+    """SRC5 as a stream: stored transfers after ``cursor``, each file once as it arrives, ``max_files`` per batch.
+
+    The checkpoint remembers the files that were read, so no batch reads earlier ones again and rows of
+    equal sort keys all arrive.
+    """
+    reader = spark.readStream.schema(schemas.TRANSFERS)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stored = reader.parquet(path)
+    return stored if cursor is None else stored.filter(F.col("sort_order") > cursor)
+
+
 def _accepted(docs: DataFrame) -> DataFrame:
     """Responses without errors; one error rejects its whole response."""
     return docs.filter(F.coalesce(F.size("errors"), F.lit(0)) <= 0)

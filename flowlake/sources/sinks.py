@@ -60,6 +60,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def _pending(spark: SparkSession, path: str) -> bool:
     return _exists(spark, f"{path}/_pending")
 

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowlake.functions.columns import PERIODS, RATE_PERIODS
+from flowlake import schemas
+from flowlake.functions.columns import PERIODS, RATE_PERIODS, since
 from flowlake.operators import enrich
-from flowlake.plans.refresh import refresh_analytics
+from flowlake.plans.documents import dashboard
+from flowlake.plans.refresh import COLUMNS, read_all_summaries, refresh_analytics
 from flowlake.sources import sinks
 from flowlake.sources.cursors import latest_cursor
 from flowlake.sources.documents import stream_transfer_docs
@@ -77,15 +79,36 @@ def refresh_stream(spark: SparkSession, store: str, out: str, checkpoint: str, i
     return ticks.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _newest_instant(spark: SparkSession, facts: DataFrame, path: str):
+    """The newest timestamp, of the newest date alone where the facts are partitioned by date."""
+    dates = [c[5:] for c in sinks.children(spark, path) if c.startswith("date=") and not c.endswith("__")]
+    newest = facts.filter(F.col("date") == F.lit(max(dates)).cast("date")) if dates else facts
+    return newest.agg(F.max("timestamp")).first()[0]
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if sinks.children(spark, path) else spark.createDataFrame([], schema)
+
+
 def refresh_now(spark: SparkSession, store: str, out: str) -> None:
-    """One refresh, and its report as a message under ``out``/messages."""
+    """One refresh; then its dashboard, read from the new summaries, as a message under ``out``/messages.
+
+    The report of the refresh goes to ``out``/reports. Latency and node records are those in
+    ``store``/latency and ``store``/health; their sections are empty where there are none.
+    """
     facts = spark.read.parquet(f"{store}/facts")
-    as_of = facts.agg(F.max("timestamp")).first()[0]
+    as_of = _newest_instant(spark, facts, f"{store}/facts")
     if as_of is None:
         return
     report = refresh_analytics(facts, as_of, out)
-    rows = report.agg(F.array_sort(F.collect_list(F.struct(*report.columns))).alias("doc"))
-    sinks.chart_message(rows).write.mode("append").text(f"{out}/messages")
+    report.withColumn("as_of", F.lit(as_of)).coalesce(1).write.mode("append").json(f"{out}/reports")
+    recent = since(facts, as_of, 2 * PERIODS["30d"]).select(*COLUMNS).persist()
+    try:
+        latency_data, health = _stored(spark, f"{store}/latency", schemas.LATENCY), _stored(spark, f"{store}/health", schemas.NODE_HEALTH)
+        doc = dashboard(recent, latency_data, health, as_of, stored=read_all_summaries(spark, out))
+        sinks.chart_message(doc).write.mode("append").text(f"{out}/messages")
+    finally:
+        recent.unpersist()
 
 
 def window_partials(df: DataFrame) -> DataFrame:
@@ -106,26 +129,47 @@ def rates_from_partials(partials: DataFrame, as_of: Column) -> DataFrame:
     start = F.col("window_start")
     sums = []
     for p in RATE_PERIODS:
-        since = floor - F.expr(f"INTERVAL {PERIODS[p]} SECONDS")
-        sums.append(F.coalesce(F.sum(F.when((start >= since) & (start < floor), F.col("n"))), F.lit(0)).alias(p))
+        start_at = floor - F.expr(f"INTERVAL {PERIODS[p]} SECONDS")
+        sums.append(F.coalesce(F.sum(F.when((start >= start_at) & (start < floor), F.col("n"))), F.lit(0)).alias(p))
     wide = partials.agg(*sums)
     return wide.unpivot([], RATE_PERIODS, "period", "count")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of the stored windows, oldest first."""
+    found = [c[8:] for c in sinks.children(spark, path) if c.startswith("version=")]
+    return sorted(int(v) for v in found if "_SUCCESS" in sinks.children(spark, f"{path}/version={v}"))
+
+
 def upsert_partials(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: keep the newest value of each window, by version of the whole small table."""
+    """``foreachBatch`` function: replace the windows of the batch among those stored.
+
+    Every batch writes the whole table (one row for five minutes) as the version of its id and removes
+    all before the last, which readers may still have open; so the store does not grow with the number
+    of batches. A repeated batch starts from the version before its own. One ``path`` per checkpoint.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        older = [v for v in _versions(spark, path) if v < batch_id]
+        batch = batch.persist()
+        try:
+            merged = batch
+            if older:
+                kept = spark.read.parquet(f"{path}/version={older[-1]}").join(batch.select("window_start"), "window_start", "left_anti")
+                merged = kept.unionByName(batch)
+            merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        finally:
+            batch.unpersist()
+        for v in older[:-1]:
+            sinks.remove(spark, f"{path}/version={v}")
 
     return write
 
 
 def read_partials(spark: SparkSession, path: str) -> DataFrame:
-    """The newest value of each window."""
-    stored = spark.read.parquet(path)
-    newest = F.max_by(F.struct("n", "volume"), "batch").alias("x")
-    return stored.groupBy("window_start").agg(newest).select("window_start", "x.*")
+    """The stored windows, of the newest finished version."""
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}").select("window_start", "n", "volume")
 
 
 def resume_cursor(t: DataFrame) -> str | None:

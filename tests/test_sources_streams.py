@@ -11,7 +11,6 @@ from flowlake import fixtures as fx
 from flowlake.operators import latency, rates, routes, wallets
 from flowlake.plans import documents, refresh
 from flowlake.sources import documents as src
-from flowlake.sources.paged import COLUMNS, PagedTransferSource
 from flowlake.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -44,19 +43,32 @@ def test_latency_docs(spark, tmp_path):
     assert len(got) == 1 and got[0]["packet_ack_median"] == 2.0
 
 
-def test_paged_source(spark, tmp_path):
-    rows = [(f"p{i}", f"{i:05}", "a", "b", "s", "r", "t", datetime(2024, 1, 1) + timedelta(seconds=i)) for i in range(250)]
-    schema = ", ".join(f"{c} {'timestamp' if c == 'timestamp' else 'string'}" for c in COLUMNS)
-    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/t")
-    spark.dataSource.register(PagedTransferSource)
-    stream = spark.readStream.format("paged_transfers").option("path", f"{tmp_path}/t").option("page", 100).load()
-    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="0 seconds").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    out = spark.read.parquet(f"{tmp_path}/out")
-    assert out.count() == 250 and out.select("sort_order").distinct().count() == 250
+def test_forward_stream(spark, tmp_path):
+    def arrive(ids):
+        rows = [(f"p{i}", f"{i // 2:05}", datetime(2024, 1, 1) + timedelta(seconds=i)) for i in ids]  # two rows a sort key
+        spark.createDataFrame(rows, "packet_hash string, sort_order string, timestamp timestamp").repartition(3).write.mode("append").parquet(f"{tmp_path}/t")
+
+    def run():
+        stream = src.stream_forward(spark, f"{tmp_path}/t", "00009", max_files=1).select("packet_hash", "sort_order")
+        write = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+        write.trigger(availableNow=True).start().awaitTermination()
+        return sorted(int(r[0][1:]) for r in spark.read.parquet(f"{tmp_path}/out").select("packet_hash").collect())
+
+    arrive(range(250))
+    assert run() == list(range(20, 250))
+    arrive(range(250, 300))
+    assert run() == list(range(20, 300))
+
+
+def test_partials_keep_the_last_two_versions(spark, tmp_path):
+    write = ingest.upsert_partials(f"{tmp_path}/p")
+    batch = lambda *rows: spark.createDataFrame([(datetime(2024, 1, 1, 0, m), n, float(n)) for m, n in rows], "window_start timestamp, n long, volume double")
+    for i in range(5):
+        write(batch((0, i + 1), (5 * i + 5, 1)), i)
+    write(batch((0, 7), (25, 2)), 4)  # a batch that is repeated
+    got = {r["window_start"].minute: r["n"] for r in ingest.read_partials(spark, f"{tmp_path}/p").collect()}
+    assert got == {0: 7, 5: 1, 10: 1, 15: 1, 20: 1, 25: 2}
+    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["version=3", "version=4"]
 
 
 def test_stream_dedup(spark, tmp_path):
@@ -70,10 +82,16 @@ def test_stream_dedup(spark, tmp_path):
 
 def test_refresh_now(spark, tmp_path):
     t = fx.transfers_rt(spark, SF)
-    t.write.parquet(f"{tmp_path}/store/facts")
+    t.withColumn("date", F.to_date("timestamp")).write.partitionBy("date").parquet(f"{tmp_path}/store/facts")
+    h, latencies = fx.node_health(spark, SF), fx.latency_data(spark, SF)
+    h.write.parquet(f"{tmp_path}/store/health")
+    latencies.write.parquet(f"{tmp_path}/store/latency")
     ingest.refresh_now(spark, f"{tmp_path}/store", f"{tmp_path}/out")
     message = json.loads(spark.read.text(f"{tmp_path}/out/messages").first()[0])
-    assert message["type"] == "chartData" and len(message["data"]) == 7
+    # the dashboard from the stored summaries is that from the facts
+    whole = documents.dashboard(t, latencies, h, fx.latest(t)).select(F.to_json("doc")).first()[0]
+    assert message == {"type": "chartData", "data": json.loads(whole)}
+    assert spark.read.json(f"{tmp_path}/out/reports").count() == 7
     want = routes.popular_routes(t, fx.latest(t)).count()
     assert refresh.read_summary(spark, f"{tmp_path}/out", "popular_routes").count() == want
 
