@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import chat, decontaminate, html_extract, langid, licenses, mixing, pii, pipeline, quality_crf, simhash
+from flowlake.llm import chat, decontaminate, html_extract, langid, licenses, merkle, mixing, pii, pipeline, quality_crf, simhash
 from flowlake.llm import exact_dedup as dedup
 from flowlake.llm.common import table
 
@@ -181,6 +181,45 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and what the proofs say of documents of which half lost their line ends."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    loses = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(loses, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    presented = merkle.leaf_digest(*[text if f == "text" else F.col(f) for f in merkle.FIELDS])
+    found = merkle.manifest(docs, carry={"presented": presented}).withColumn("folded_root", merkle.fold(F.col("presented"), F.col("proof")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _op12_sql() -> str:
+    written = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(written(text if f == "text" else f) for f in merkle.FIELDS) + ")"
+    climb = lambda start: f"""{start} UNION ALL
+        SELECT tree, level + 1, pos // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM {{}} WHERE size > 1 GROUP BY tree, level, pos // 3, size"""
+    siblings = lambda own, tree, nodes: f"""SELECT r, level, coalesce(string_agg(digest, '' ORDER BY n.pos) FILTER (n.pos < {own} // CAST(3 ** level AS BIGINT)), '') AS l,
+        coalesce(string_agg(digest, '' ORDER BY n.pos) FILTER (n.pos > {own} // CAST(3 ** level AS BIGINT)), '') AS h
+        FROM d JOIN {nodes} n ON n.size > 1 AND n.tree = {tree} AND n.pos // 3 = {own} // CAST(3 ** (level + 1) AS BIGINT) GROUP BY r, level"""
+    return f"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c
+         FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+h AS (SELECT row_number() OVER () AS r, *, {leaf("text")} AS leaf, xor(list_reduce(list_prepend(4294967295, list_transform(split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, x: xor(t[xor(a % 256, x) + 1], a // 256)), 4294967295) % 2 = 0 AS loses FROM documents, crc),
+d AS (SELECT r, doc_id, leaf, CASE WHEN loses THEN {leaf("replace(text, chr(10), '')")} ELSE leaf END AS presented, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+      row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM h),
+nodes AS ({climb("SELECT tree, 0 AS level, pos, size, leaf AS digest FROM d").format("nodes")}),
+tops AS ({climb("SELECT 0 AS tree, 0 AS level, tree AS pos, (SELECT count(DISTINCT tree) FROM d) AS size, digest FROM nodes WHERE size = 1").format("tops")}),
+e AS (SELECT r, l, h, row_number() OVER (PARTITION BY r ORDER BY part, level) AS k FROM (
+      SELECT 0 AS part, * FROM ({siblings("d.pos", "d.tree", "nodes")}) UNION ALL SELECT 1, * FROM ({siblings("d.tree", "0", "tops")}))),
+f AS (SELECT r, 0 AS k, presented AS digest FROM d UNION ALL SELECT r, e.k, sha256(l || digest || h) FROM f JOIN e USING (r) WHERE e.k = f.k + 1),
+folded AS (SELECT r, arg_max(digest, k) AS folded_root FROM f GROUP BY r),
+p AS (SELECT r, string_agg(l || h, '' ORDER BY k) AS proof FROM e GROUP BY r)
+SELECT doc_id, leaf, nodes.digest AS subroot, tops.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = tops.digest AS verified
+FROM d JOIN folded USING (r) LEFT JOIN p USING (r) JOIN nodes ON nodes.tree = d.tree AND nodes.size = 1 JOIN tops ON tops.size = 1
+"""
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations in the chat template, and what reading them back gives; one more, -7, holds control strings."""
     hostile = spark.range(2).select(
@@ -225,6 +264,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op12_merkle": op12_merkle,
     "op13_chat_format": op13_chat_format,
     "pipeline": pipeline.run,
 }
@@ -233,5 +273,6 @@ ORACLES = {
     "op4_decontamination": OP4_SQL,
     "op5_mixing": _op5_sql(),
     "op6_exact_dedup": OP6_SQL,
+    "op12_merkle": _op12_sql(),
     "op13_chat_format": OP13_SQL,
 }
