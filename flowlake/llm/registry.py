@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import chat, decontaminate, html_extract, langid, licenses, merkle, mixing, pii, pipeline, quality_crf, simhash
+from flowlake.llm import chat, decontaminate, html_extract, langid, licenses, merkle, mixing, pii, pipeline, quality_crf, search, simhash
 from flowlake.llm import exact_dedup as dedup
 from flowlake.llm.common import table
 
@@ -181,6 +181,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+z AS (SELECT count(*) AS big_n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, w, 75 + CAST(25 * CAST(len(w) AS HUGEINT) * big_n // l AS BIGINT) AS m FROM d, z),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, z GROUP BY t),
+qt AS (SELECT i, item_id, t, count(*) AS n FROM (SELECT i, item_id, unnest(w) AS t FROM q) GROUP BY ALL),
+s AS (SELECT i, item_id, r, m.doc_id, CAST(sum(qt.n * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM qt JOIN df USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY i, item_id, r, m.doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and root of every document, and what the proofs say of documents of which half lost their line ends."""
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
@@ -264,6 +284,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_search": op11_search,
     "op12_merkle": op12_merkle,
     "op13_chat_format": op13_chat_format,
     "pipeline": pipeline.run,
@@ -273,6 +294,7 @@ ORACLES = {
     "op4_decontamination": OP4_SQL,
     "op5_mixing": _op5_sql(),
     "op6_exact_dedup": OP6_SQL,
+    "op11_search": OP11_SQL,
     "op12_merkle": _op12_sql(),
     "op13_chat_format": OP13_SQL,
 }
