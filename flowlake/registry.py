@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake import fixtures as fx, schemas
+from flowlake.files import shared_path
 from flowlake.functions import columns as col
 from flowlake.operators import assets, enrich, flows, health, latency, ops, ranking, rates, routes, wallets
 from flowlake.plans import documents
 from flowlake.plans.refresh import read_summary, refresh_analytics, summaries
-from flowlake.scratch import shared_path
 from flowlake.sources import cursors, sinks
 from flowlake.sources.documents import transfer_rows
 from flowlake.streaming import ingest

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowlake.files import children, exists, read_text, remove, shared_path, write_text
+from flowlake.sources.segments import KeyStore
+
 
 def new_rows(keys: DataFrame, batch: DataFrame, key_columns: list[str], order: list | None = None) -> DataFrame:
     """Rows of ``batch`` whose key is new: one per key (the first by ``order``), none that ``keys`` has.
@@ -30,63 +34,78 @@ def append_snapshot(existing: DataFrame, batch: DataFrame, keys: list[str]) -> D
 
 
 def store_transfers(spark: SparkSession, path: str, batch: DataFrame) -> int:
-    """SNK1 at rest: append what is new to ``path``/facts (by date) and its keys to ``path``/keys.
+    """SNK1 at rest: append what is new to ``path``/facts (by date, in the order of the sort key) and its keys to ``path``/keys.
 
-    A marker stands while a batch is being written. Where a batch finds the marker of a failed one,
-    it also takes the keys of the facts themselves into account, so nothing is appended twice.
+    The key store opens only what the batch's keys may be in. A marker with the dates of a batch stands
+    while it is being written. Where a batch finds the marker of a failed one, it also takes the keys
+    of the facts of those dates into account, so nothing is appended twice.
     """
-    facts, keys = f"{path}/facts", f"{path}/keys"
-    known = _read_keys(spark, keys).unionByName(_read_keys(spark, facts)).distinct() if _pending(spark, path) else _read_keys(spark, keys)
-    _mark(spark, path, True)
-    fresh = new_rows(known, batch, ["packet_hash"]).withColumn("date", F.to_date("timestamp")).persist()
+    facts, marker, key = f"{path}/facts", f"{path}/_pending", ["packet_hash"]
+    keys = KeyStore(spark, f"{path}/keys", key)
+    batch = batch.persist()
     try:
-        n = fresh.count()
-        if n:
-            fresh.write.mode("append").partitionBy("date").parquet(facts)
-            fresh.select("packet_hash").write.mode("append").parquet(keys)
+        known = keys.known(batch)
+        lost = _lost_keys(spark, facts, marker)
+        if lost is not None:
+            known = lost if known is None else known.unionByName(lost)
+        fresh = new_rows(batch.select(*key).limit(0) if known is None else known, batch, key).withColumn("date", F.to_date("timestamp")).persist()
+        try:
+            dates = [str(r[0]) for r in fresh.select("date").distinct().collect()]
+            n = fresh.count()
+            if n:
+                write_text(spark, marker, json.dumps(dates))
+                clustered = [F.col(c) for c in ("date", "sort_order") if c in fresh.columns]
+                fresh.repartition("date").sortWithinPartitions(*clustered).write.mode("append").partitionBy("date").parquet(facts)
+            if n or lost is not None:
+                found = fresh.select(*key) if lost is None else fresh.select(*key).unionByName(lost)
+                keys.add(found)
+        finally:
+            fresh.unpersist()
     finally:
-        fresh.unpersist()
-    _mark(spark, path, False)
+        batch.unpersist()
+    remove(spark, marker)
     return n
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def children(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none where it is missing."""
-    fs, p = _fs(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
+def _lost_keys(spark: SparkSession, facts: str, marker: str) -> DataFrame | None:
+    """Keys of the facts that a failed batch may have written, which are those of its dates."""
+    if not exists(spark, marker) or not children(spark, facts):
+        return None
+    stored, dates = spark.read.parquet(facts), json.loads(read_text(spark, marker) or "null")
+    return (stored if dates is None else stored.filter(F.col("date").cast("string").isin(dates))).select("packet_hash").distinct()
 
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
 
+#: Unique keys and the time of the snapshot tables.
+SNAPSHOTS = {"latency": (["source_chain", "dest_chain", "fetched_at"], "fetched_at"), "health": (["rpc_url", "checked_at"], "checked_at")}
 
-def _pending(spark: SparkSession, path: str) -> bool:
-    return _exists(spark, f"{path}/_pending")
 
+def store_snapshot(spark: SparkSession, path: str, batch: DataFrame, table: str) -> int:
+    """SNK7 at rest: merge ``batch`` into ``path``/table, by date; stored rows win. Returns the number of new rows.
 
-def _mark(spark: SparkSession, path: str, on: bool) -> None:
-    fs, p = _fs(spark, f"{path}/_pending")
-    if on:
-        fs.create(p, True).close()
-    else:
-        fs.delete(p, False)
-
-
-def _read_keys(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "packet_hash string")
-    return spark.read.schema("packet_hash string").parquet(path).select("packet_hash")
+    Only the dates of the batch are read. Dates that get rows are written anew as a whole, in one
+    exchange of partitions, so a repeated or failed batch leaves no row twice and dates stay few files.
+    """
+    keys, time = SNAPSHOTS[table]
+    at, batch = f"{path}/{table}", batch.withColumn("date", F.to_date(time)).persist()
+    try:
+        dates = [r[0] for r in batch.select("date").distinct().collect()]
+        there = [f"{at}/date={d}" for d in dates if d is not None and exists(spark, f"{at}/date={d}")]
+        stored = spark.read.schema(batch.schema).option("basePath", at).parquet(*there) if there else batch.limit(0)
+        fresh = new_rows(stored.select(*keys), batch, keys).persist()
+        try:
+            n = fresh.count()
+            if n:
+                touched = fresh.select("date").distinct()
+                merged = stored.join(F.broadcast(touched), "date", "left_semi").select(*batch.columns).unionByName(fresh)  # a batch has few dates
+                draft = shared_path(spark, "snapshot")
+                merged.repartition("date").write.parquet(draft)
+                spark.read.schema(batch.schema).parquet(draft).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(at)
+                remove(spark, draft)
+        finally:
+            fresh.unpersist()
+    finally:
+        batch.unpersist()
+    return n
 
 
 def transfer_messages(df: DataFrame) -> DataFrame:

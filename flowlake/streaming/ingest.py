@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlake import schemas
+from flowlake.files import children, remove
 from flowlake.functions.columns import PERIODS, RATE_PERIODS, since
 from flowlake.operators import enrich
 from flowlake.plans.documents import dashboard
@@ -81,13 +82,13 @@ def refresh_stream(spark: SparkSession, store: str, out: str, checkpoint: str, i
 
 def _newest_instant(spark: SparkSession, facts: DataFrame, path: str):
     """The newest timestamp, of the newest date alone where the facts are partitioned by date."""
-    dates = [c[5:] for c in sinks.children(spark, path) if c.startswith("date=") and not c.endswith("__")]
+    dates = [c[5:] for c in children(spark, path) if c.startswith("date=") and not c.endswith("__")]
     newest = facts.filter(F.col("date") == F.lit(max(dates)).cast("date")) if dates else facts
     return newest.agg(F.max("timestamp")).first()[0]
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if sinks.children(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if children(spark, path) else spark.createDataFrame([], schema)
 
 
 def refresh_now(spark: SparkSession, store: str, out: str) -> None:
@@ -137,8 +138,8 @@ def rates_from_partials(partials: DataFrame, as_of: Column) -> DataFrame:
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Finished versions of the stored windows, oldest first."""
-    found = [c[8:] for c in sinks.children(spark, path) if c.startswith("version=")]
-    return sorted(int(v) for v in found if "_SUCCESS" in sinks.children(spark, f"{path}/version={v}"))
+    found = [c[8:] for c in children(spark, path) if c.startswith("version=")]
+    return sorted(int(v) for v in found if "_SUCCESS" in children(spark, f"{path}/version={v}"))
 
 
 def upsert_partials(path: str) -> Callable[[DataFrame, int], None]:
@@ -162,7 +163,7 @@ def upsert_partials(path: str) -> Callable[[DataFrame, int], None]:
         finally:
             batch.unpersist()
         for v in older[:-1]:
-            sinks.remove(spark, f"{path}/version={v}")
+            remove(spark, f"{path}/version={v}")
 
     return write
 
