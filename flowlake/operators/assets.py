@@ -16,13 +16,19 @@ def asset_volumes(t: DataFrame, as_of, n: int = 50) -> DataFrame:
     """AGG11: count, sum, largest and mean amount per asset in 30 days, most transfers first."""
     keyed = t.filter(in_window(F.col("timestamp"), as_of, "30d")).withColumn("asset_symbol", asset_key()).filter("asset_symbol IS NOT NULL")
     grouped = keyed.groupBy("asset_symbol").agg(
-        F.count("*").alias("transfer_count"),
-        _sum().alias("total_volume"),
-        F.coalesce(F.max("amount"), F.lit(0)).cast("decimal(28,2)").alias("largest_transfer"),
-        F.round(F.coalesce(F.sum("amount").cast("double") / F.count("amount"), F.lit(0.0)), 6).alias("average_amount"),
-        F.max("timestamp").alias("last_activity"),
-    )
-    return grouped.orderBy(F.desc("transfer_count"), "asset_symbol").limit(n)
+        F.count("*").alias("transfer_count"), F.sum("amount").alias("total_volume"), F.max("amount").alias("largest"),
+        F.count("amount").alias("amounts"), F.max("timestamp").alias("last_activity"))
+    return listed(grouped, n)
+
+
+def listed(grouped: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of assets with their count, volume, largest amount, number of amounts and last activity."""
+    money = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(28,2)")
+    mean = F.when(F.col("amounts") > 0, F.col("total_volume").cast("double") / F.col("amounts")).otherwise(0.0)
+    rows = grouped.select(
+        "asset_symbol", "transfer_count", money("total_volume").alias("total_volume"), money("largest").alias("largest_transfer"),
+        F.round(mean, 6).alias("average_amount"), "last_activity")
+    return rows.orderBy(F.desc("transfer_count"), "asset_symbol").limit(n)
 
 
 def asset_top_routes(t: DataFrame, as_of, n: int = 5) -> DataFrame:

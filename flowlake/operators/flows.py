@@ -14,10 +14,15 @@ def chain_flows(t: DataFrame, as_of) -> DataFrame:
     Grouped by id and name, joined by id only, so a chain of several names gives a row for each pairing.
     """
     recent = t.filter(in_window(F.col("timestamp"), as_of, "30d"))
+    by_route = recent.groupBy("source_chain", "dest_chain", "source_name", "dest_name")
+    return flows_of(by_route.agg(F.count("*").alias("transfer_count"), F.max("timestamp").alias("last_activity")), as_of)
 
+
+def flows_of(by_route: DataFrame, as_of) -> DataFrame:
+    """AGG8 of routes with their count and last activity: what is grouped twice are routes, not transfers."""
     def half(side: str, count: str) -> DataFrame:
-        return recent.groupBy(F.col(f"{side}_chain").alias(f"{side}_id"), F.col(f"{side}_name").alias(f"{side}_nm")).agg(
-            F.count("*").alias(count), F.max(F.col("timestamp")).alias(f"{side}_last"))
+        return by_route.groupBy(F.col(f"{side}_chain").alias(f"{side}_id"), F.col(f"{side}_name").alias(f"{side}_nm")).agg(
+            F.sum("transfer_count").alias(count), F.max("last_activity").alias(f"{side}_last"))
 
     out, inc = half("source", "out"), half("dest", "inc")
     o, i = F.coalesce("out", F.lit(0)), F.coalesce("inc", F.lit(0))

@@ -84,6 +84,25 @@ def probe_rollup(probes: DataFrame) -> DataFrame:
     )
 
 
+def health_checks(probes: DataFrame, chains: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of the node-health table from probes: AGG23 with names, and the uptime of WIN3 going on from what is ``stored``.
+
+    Of the stored checks only those of the day before the probes' first run are looked at.
+    """
+    first = F.broadcast(probes.agg((F.min("run") - F.expr("INTERVAL 1 DAY")).alias("since")))  # one row
+    names = chains.select("universal_chain_id", F.coalesce(F.nullif("display_name", F.lit("")), "universal_chain_id").alias("chain_name"), F.col("rpc_type")).dropDuplicates(["universal_chain_id"])
+    found = probe_rollup(probes).select(
+        "chain_id", "rpc_url", "status", F.col("response_time_ms").cast("int").alias("response_time_ms"), "latest_block_height", "error_message",
+        F.col("run").alias("checked_at"), F.lit(True).alias("new"))
+    found = found.join(names, found["chain_id"] == names["universal_chain_id"], "left").drop("universal_chain_id")
+    found = found.withColumn("chain_name", F.coalesce("chain_name", "chain_id"))
+    before = stored.join(first, F.col("checked_at") >= F.col("since"), "left_semi").select("rpc_url", "status", "checked_at", F.lit(False).alias("new"))
+    both = found.unionByName(before, allowMissingColumns=True)
+    up = F.when(F.col("status").isin("healthy", "degraded"), 100.0).otherwise(0.0)
+    last = F.lag(up).over(Window.partitionBy("rpc_url").orderBy("checked_at", F.desc("new")))
+    return both.withColumn("uptime", F.coalesce(last, F.lit(0.0))).filter("new").drop("new")
+
+
 def probe_status_counts(probes: DataFrame) -> DataFrame:
     """AGG24: nodes by status per run."""
     return probe_rollup(probes).groupBy("run").agg(F.count("*").alias("total_nodes"), *[_count(s).alias(f"{s}_nodes") for s in STATUSES])

@@ -25,6 +25,15 @@ def latency_percentiles(packets: DataFrame, approximate: bool = False) -> DataFr
     return grouped.select(*ROUTE, "source_name", "dest_name", *values)
 
 
+def with_names(latency: DataFrame, chains: DataFrame) -> DataFrame:
+    """Latency rows with the display names of their chains; a chain without one goes by its id."""
+    names = chains.select("universal_chain_id", F.nullif("display_name", F.lit("")).alias("name")).dropDuplicates(["universal_chain_id"])
+    for side in ("source", "dest"):
+        own = names.select(F.col("universal_chain_id").alias(f"{side}_chain"), F.col("name").alias(f"{side}_name"))
+        latency = latency.join(own, f"{side}_chain", "left").withColumn(f"{side}_name", F.coalesce(f"{side}_name", f"{side}_chain"))
+    return latency
+
+
 def latest_latency(latency: DataFrame) -> DataFrame:
     """JN2: rows of the newest snapshot of each route; equal instants are all kept, equal rows once."""
     newest = Window.partitionBy(*ROUTE).orderBy(F.desc("fetched_at"))

@@ -11,25 +11,24 @@ KEYS = ["source_chain", "dest_chain", "source_name", "dest_name"]
 
 
 def _grouped(t: DataFrame) -> DataFrame:
-    return t.groupBy(*KEYS).agg(
-        F.count("*").alias("transfer_count"),
-        F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("total_volume"),
-        F.max("timestamp").alias("last_activity"),
-    )
+    return t.groupBy(*KEYS).agg(F.count("*").alias("transfer_count"), F.sum("amount").alias("total_volume"), F.max("timestamp").alias("last_activity"))
 
 
-def _top(grouped: DataFrame, n: int) -> DataFrame:
-    return grouped.orderBy(F.desc("transfer_count"), *KEYS).limit(n).withColumn("route", route_label())
+def listed(grouped: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of routes with their count, volume and last activity."""
+    volume = F.coalesce("total_volume", F.lit(0)).cast("decimal(28,2)").alias("total_volume")
+    top = grouped.select(*KEYS, "transfer_count", volume, "last_activity").orderBy(F.desc("transfer_count"), *KEYS).limit(n)
+    return top.withColumn("route", route_label())
 
 
 def popular_routes(t: DataFrame, as_of, n: int = 50) -> DataFrame:
     """AGG14: routes with most transfers in 30 days."""
-    return _top(_grouped(t.filter(in_window(F.col("timestamp"), as_of, "30d"))), n)
+    return listed(_grouped(t.filter(in_window(F.col("timestamp"), as_of, "30d"))), n)
 
 
 def top_routes(t: DataFrame, since, limit: int) -> DataFrame:
     """AGG15: routes with most transfers since an instant."""
-    return _top(_grouped(t.filter(F.col("timestamp") > instant(since))), limit)
+    return listed(_grouped(t.filter(F.col("timestamp") > instant(since))), limit)
 
 
 def popular_routes_by_scale(t: DataFrame, as_of, n: int = 10) -> DataFrame:

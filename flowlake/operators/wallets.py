@@ -54,8 +54,13 @@ def _per_wallet(t: DataFrame, as_of) -> DataFrame:
 
 def wallet_stats(t: DataFrame, as_of) -> DataFrame:
     """AGG4: unique senders and receivers per period and the estimated total."""
+    return stats_of(_per_wallet(t, as_of), as_of)
+
+
+def stats_of(per_wallet: DataFrame, as_of) -> DataFrame:
+    """AGG4 of wallets with the instants ``s`` and ``r`` that they last sent and received at."""
     counters = [_seen(c, as_of, PERIODS[p]).alias(f"{name}_{p}") for p in RATE_PERIODS for c, name in (("s", "unique_senders"), ("r", "unique_receivers"))]
-    rows = _to_rows(_per_wallet(t, as_of).agg(*counters), RATE_PERIODS, ["unique_senders", "unique_receivers"])
+    rows = _to_rows(per_wallet.agg(*counters), RATE_PERIODS, ["unique_senders", "unique_receivers"])
     total = overlap_total(F.col("unique_senders"), F.col("unique_receivers"))
     return rows.withColumn("unique_total", total).withColumn("calculated_at", instant(as_of))
 
@@ -141,7 +146,11 @@ def _side(side: str) -> str:
 def active_wallets(t: DataFrame, as_of, side: str, n: int = 50) -> DataFrame:
     """AGG16: the most active senders or receivers of 30 days."""
     recent = t.filter(in_window(F.col("timestamp"), as_of, "30d")).filter(F.col(_side(side)).isNotNull())
-    grouped = recent.groupBy(F.col(_side(side)).alias("address")).agg(F.count("*").alias("count"), F.max("timestamp").alias("last_activity"))
+    return listed(recent.groupBy(F.col(_side(side)).alias("address")).agg(F.count("*").alias("count"), F.max("timestamp").alias("last_activity")), n)
+
+
+def listed(grouped: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of wallets with their count and last activity."""
     top = grouped.orderBy(F.desc("count"), "address").limit(n)
     return top.select("address", shorten_address(F.col("address")).alias("display_address"), "count", "last_activity")
 

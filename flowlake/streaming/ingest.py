@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from flowlake import schemas
 from flowlake.files import children, remove
 from flowlake.functions.columns import PERIODS, RATE_PERIODS, since
-from flowlake.operators import enrich
+from flowlake.operators import enrich, latency
+from flowlake.operators.health import health_checks
 from flowlake.plans.documents import dashboard
-from flowlake.plans.refresh import COLUMNS, read_all_summaries, refresh_analytics
+from flowlake.plans.refresh import COLUMNS, current, read_all_summaries, refresh_incremental
 from flowlake.sources import sinks
 from flowlake.sources.cursors import latest_cursor
 from flowlake.sources.documents import stream_transfer_docs
@@ -70,46 +72,85 @@ def dedup_stream(stream: DataFrame, horizon: str = WATERMARK) -> DataFrame:
 
 
 def refresh_stream(spark: SparkSession, store: str, out: str, checkpoint: str, interval: str = "60 seconds", once: bool = False) -> StreamingQuery:
-    """STR5: refresh the summaries of the stored facts at once and then every ``interval``; publish after success."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    """STR5: whenever facts have arrived, at most every ``interval``, fold them into the partials and publish the summaries.
+
+    The checkpoint knows the files that were folded, so a refresh reads new facts only. ``once`` does it
+    for all that is there and ends.
+    """
+    facts = f"{store}/facts"
+    arrived = spark.readStream.schema(spark.read.parquet(facts).schema).parquet(facts)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        refresh_now(batch.sparkSession, store, out)
+        batch = batch.persist()
+        try:
+            refresh_batch(batch, batch_id, store, out)
+        finally:
+            batch.unpersist()
 
-    trigger = {"once": True} if once else {"processingTime": interval}
-    return ticks.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    trigger = {"availableNow": True} if once else {"processingTime": interval}
+    return arrived.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _newest_instant(spark: SparkSession, facts: DataFrame, path: str):
-    """The newest timestamp, of the newest date alone where the facts are partitioned by date."""
-    dates = [c[5:] for c in children(spark, path) if c.startswith("date=") and not c.endswith("__")]
-    newest = facts.filter(F.col("date") == F.lit(max(dates)).cast("date")) if dates else facts
-    return newest.agg(F.max("timestamp")).first()[0]
+def refresh_now(spark: SparkSession, store: str, out: str) -> None:
+    """One refresh of all facts that have not been folded yet; the checkpoint is ``out``/checkpoint."""
+    refresh_stream(spark, store, out, f"{out}/checkpoint", once=True).awaitTermination()
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if children(spark, path) else spark.createDataFrame([], schema)
 
 
-def refresh_now(spark: SparkSession, store: str, out: str) -> None:
-    """One refresh; then its dashboard, read from the new summaries, as a message under ``out``/messages.
+def refresh_batch(batch: DataFrame, number: int, store: str, out: str) -> None:
+    """One refresh; then its dashboard, read from the new summaries, as a message in the version's folder.
 
-    The report of the refresh goes to ``out``/reports. Latency and node records are those in
-    ``store``/latency and ``store``/health; their sections are empty where there are none.
+    Latency and node records are those in ``store``/latency and ``store``/health (``store_latency``,
+    ``store_probes``); their sections are empty where there are none.
     """
+    spark = batch.sparkSession
     facts = spark.read.parquet(f"{store}/facts")
-    as_of = _newest_instant(spark, facts, f"{store}/facts")
-    if as_of is None:
+    if refresh_incremental(facts, batch, number, out) is None:
         return
-    report = refresh_analytics(facts, as_of, out)
-    report.withColumn("as_of", F.lit(as_of)).coalesce(1).write.mode("append").json(f"{out}/reports")
-    recent = since(facts, as_of, 2 * PERIODS["30d"]).select(*COLUMNS).persist()
-    try:
-        latency_data, health = _stored(spark, f"{store}/latency", schemas.LATENCY), _stored(spark, f"{store}/health", schemas.NODE_HEALTH)
-        doc = dashboard(recent, latency_data, health, as_of, stored=read_all_summaries(spark, out))
-        sinks.chart_message(doc).write.mode("append").text(f"{out}/messages")
-    finally:
-        recent.unpersist()
+    now = current(spark, out)
+    as_of = datetime.fromisoformat(now["as_of"])
+    latency_data, health = _stored(spark, f"{store}/latency", schemas.LATENCY), _stored(spark, f"{store}/health", schemas.NODE_HEALTH)
+    doc = dashboard(since(facts, as_of, 2 * PERIODS["30d"]).select(*COLUMNS), latency_data, health, as_of, stored=read_all_summaries(spark, out))
+    sinks.chart_message(doc).coalesce(1).write.mode("overwrite").text(f"{out}/{now['version']}/message")
+
+
+def read_message(spark: SparkSession, out: str) -> DataFrame:
+    """SNK4: the message of the last refresh."""
+    return spark.read.text(f"{out}/{current(spark, out)['version']}/message")
+
+
+def store_latency(path: str, chains: DataFrame) -> Callable[[DataFrame, int], None]:
+    """SRC4 into SNK7: a ``foreachBatch`` function that stores latency rows under the names of their chains.
+
+    The instant of the batch is in the column ``fetched_at`` of its rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sinks.store_snapshot(batch.sparkSession, path, latency.with_names(batch, chains).select(*_columns(schemas.LATENCY)), "latency")
+
+    return write
+
+
+def store_probes(path: str, chains: DataFrame) -> Callable[[DataFrame, int], None]:
+    """AGG23 into SNK7: a ``foreachBatch`` function that rolls probes up and stores the checks of nodes with their uptime.
+
+    A run's probes come in one batch. Uptime follows the check before, which is looked up among those
+    that are stored.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        checks = health_checks(batch, chains, _stored(spark, f"{path}/health", schemas.NODE_HEALTH))
+        sinks.store_snapshot(spark, path, checks.select(*_columns(schemas.NODE_HEALTH)), "health")
+
+    return write
+
+
+def _columns(ddl: str) -> list[str]:
+    return [part.split()[0] for part in ddl.split(", ")]
 
 
 def window_partials(df: DataFrame) -> DataFrame:

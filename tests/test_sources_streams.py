@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from flowlake import fixtures as fx
-from flowlake.operators import latency, rates, routes, wallets
-from flowlake.plans import documents, refresh
+from flowlake import schemas
+from flowlake.operators import health, latency, rates, routes, wallets
+from flowlake.plans import documents, partials, refresh
 from flowlake.sources import documents as src
+from flowlake.sources import segments, sinks
 from flowlake.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -80,20 +83,96 @@ def test_stream_dedup(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("packet_hash").collect()) == sorted(p for p, _ in base)
 
 
+def _facts(spark, path, t):
+    t.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").parquet(f"{path}/facts")
+
+
 def test_refresh_now(spark, tmp_path):
-    t = fx.transfers_rt(spark, SF)
-    t.withColumn("date", F.to_date("timestamp")).write.partitionBy("date").parquet(f"{tmp_path}/store/facts")
+    t, store, out = fx.transfers_rt(spark, SF), f"{tmp_path}/store", f"{tmp_path}/out"
+    _facts(spark, store, t)
     h, latencies = fx.node_health(spark, SF), fx.latency_data(spark, SF)
-    h.write.parquet(f"{tmp_path}/store/health")
-    latencies.write.parquet(f"{tmp_path}/store/latency")
-    ingest.refresh_now(spark, f"{tmp_path}/store", f"{tmp_path}/out")
-    message = json.loads(spark.read.text(f"{tmp_path}/out/messages").first()[0])
+    sinks.store_snapshot(spark, store, h, "health")
+    sinks.store_snapshot(spark, store, latencies, "latency")
+    ingest.refresh_now(spark, store, out)
+    message = json.loads(ingest.read_message(spark, out).first()[0])
     # the dashboard from the stored summaries is that from the facts
     whole = documents.dashboard(t, latencies, h, fx.latest(t)).select(F.to_json("doc")).first()[0]
     assert message == {"type": "chartData", "data": json.loads(whole)}
-    assert spark.read.json(f"{tmp_path}/out/reports").count() == 7
-    want = routes.popular_routes(t, fx.latest(t)).count()
-    assert refresh.read_summary(spark, f"{tmp_path}/out", "popular_routes").count() == want
+    assert refresh.report_of(spark, refresh.current(spark, out)["report"]).count() == 7
+    ingest.refresh_now(spark, store, out)  # nothing has arrived: nothing is published
+    assert len([c for c in os.listdir(out) if c.startswith("v")]) == 1
+
+
+def _rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_incremental_refresh_equals_a_full_one(spark, tmp_path, monkeypatch):
+    """Batches in time order, a late one, one of a single row, and repeated ones; windows begin inside hours."""
+    monkeypatch.setattr(segments, "FAN", 3)
+    t, out = fx.transfers_rt(spark, SF).persist(), f"{tmp_path}/out"
+    at = lambda *cuts: [t.filter((F.col("ingest_seq") % 7 != 3) & F.col("timestamp").between(*[F.lit(datetime(2024, 1, d)) for d in cuts]))]
+    last = t.orderBy(F.desc("timestamp")).limit(1)
+    batches = at(1, 9) + at(10, 19) + at(20, 25) + at(26, 31) + [t.filter("ingest_seq % 7 = 3"), last.withColumn("timestamp", F.expr("timestamp + INTERVAL 47 MINUTES 3 SECONDS"))]
+    facts = None
+    for number, batch in enumerate(batches):
+        facts = batch if facts is None else facts.unionByName(batch)
+        refresh.refresh_incremental(facts, batch, number, out)
+        refresh.refresh_incremental(facts, batch, number, out)  # repeated: folded once
+    as_of = fx.latest(facts)
+    for view, want in refresh.summaries(facts, facts, as_of).items():
+        got = refresh.read_summary(spark, out, view)
+        assert _rows(got.select(*want.columns)) == _rows(want), view
+    assert len([c for c in os.listdir(out) if c.startswith("v")]) == 2  # the version before stays
+    assert len(partials.store_of(spark, out, "routes").live()) < len(batches)
+    t.unpersist()
+
+
+def test_a_refresh_reads_new_facts_and_the_edges_of_windows_only(spark, tmp_path):
+    t, store, out = fx.transfers_rt(spark, SF), f"{tmp_path}/store", f"{tmp_path}/out"
+    _facts(spark, store, t.filter("timestamp < '2024-01-29'"))
+    ingest.refresh_now(spark, store, out)
+    new = t.filter("timestamp >= '2024-01-29'")
+    _facts(spark, store, new)
+    ingest.refresh_now(spark, store, out)
+    progress = sorted(os.listdir(f"{out}/checkpoint/sources/0"))
+    assert "1" in progress
+    files = [line for line in open(f"{out}/checkpoint/sources/0/1").read().splitlines() if "parquet" in line]
+    assert files and all("date=2024-01-29" in f or "date=2024-01-3" in f for f in files)
+    as_of = fx.latest(t)
+    edge = partials._at_edges(spark.read.parquet(f"{store}/facts"), as_of, [partials.LONGEST])
+    plan = _plan(edge)
+    assert "PartitionFilters: [isnotnull(date" in plan and plan.split("PartitionFilters")[1].split("PushedFilters")[0].count("2024-01-") <= 2 or "2023-12-" in plan
+    want = wallets.wallet_stats(t, as_of)
+    assert _rows(refresh.read_summary(spark, out, "wallet_stats").select(*want.columns)) == _rows(want)
+
+
+def _stream_of(spark, path, df, write, checkpoint):
+    df.write.mode("append").parquet(path)
+    spark.readStream.schema(df.schema).parquet(path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_documents_and_probes_reach_the_dashboard(spark, tmp_path):
+    """Latency documents and probes in, dashboard sections out; repeated input changes nothing."""
+    store = f"{tmp_path}/store"
+    chains = spark.createDataFrame([(f"chain-{i}", f"c{i}", f"Chain {i}" if i else "", False, "cosmos", "x") for i in range(7)], "universal_chain_id string, chain_id string, display_name string, testnet boolean, rpc_type string, addr_prefix string")
+    stats = {"p5": 1, "median": 2, "p95": 3}
+    item = {k: stats for k in ("secs_until_packet_ack", "secs_until_packet_recv", "secs_until_write_ack")}
+    docs = [{"source_chain": f"chain-{i}", "dest_chain": "chain-1", "data": {"v2_stats_latency": [item]}} for i in (0, 2)]
+    latencies = src.read_latency_docs(spark, _write(tmp_path / "l.json", *docs)).withColumn("fetched_at", F.lit(datetime(2024, 1, 30)))
+    probes = fx.probes(spark, SF)
+    for again in range(2):
+        _stream_of(spark, f"{tmp_path}/l", latencies, ingest.store_latency(store, chains), f"{tmp_path}/cl")
+        _stream_of(spark, f"{tmp_path}/p", probes, ingest.store_probes(store, chains), f"{tmp_path}/cp")
+    checks = spark.read.schema(schemas.NODE_HEALTH).parquet(f"{store}/health")
+    assert checks.count() == health.probe_rollup(probes).count() and spark.read.parquet(f"{store}/latency").count() == 2
+    # uptime goes on over batches as over all checks at once
+    want = {(r["rpc_url"], r["checked_at"]): r["uptime"] for r in health.node_uptime(checks).collect()}
+    assert {(r["rpc_url"], r["checked_at"]): r["uptime"] for r in checks.collect()} == want and len(set(want.values())) == 2
+    as_of = checks.agg(F.max("checked_at")).first()[0]
+    doc = json.loads(documents.dashboard(fx.transfers_rt(spark, SF), spark.read.schema(schemas.LATENCY).parquet(f"{store}/latency"), checks, as_of).select(F.to_json("doc")).first()[0])
+    assert {(x["source_name"], x["dest_name"], x["packet_ack"]["median"]) for x in doc["latency"]} == {("chain-0", "Chain 1", 2.0), ("Chain 2", "Chain 1", 2.0)}
+    assert doc["nodeHealth"]["total_nodes"] == len(doc["nodeHealth"]["nodes"]) > 0
 
 
 def test_partials_give_the_batch_counts(spark):
