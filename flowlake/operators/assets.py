@@ -35,7 +35,12 @@ def asset_top_routes(t: DataFrame, as_of, n: int = 5) -> DataFrame:
     """AGG12: the first ``n`` routes of every asset; ``percentage`` is of the asset's listed volume."""
     keys = ["asset", "source_chain", "dest_chain", "source_name", "dest_name"]
     keyed = t.filter(in_window(F.col("timestamp"), as_of, "30d")).withColumn("asset", asset_key()).filter("asset IS NOT NULL")
-    grouped = keyed.groupBy(*keys).agg(F.count("*").alias("count"), _sum().alias("volume"), F.max("timestamp").alias("last_activity"))
+    return top_routes_of(keyed.groupBy(*keys).agg(F.count("*").alias("count"), _sum().alias("volume"), F.max("timestamp").alias("last_activity")), n)
+
+
+def top_routes_of(grouped: DataFrame, n: int = 5) -> DataFrame:
+    """AGG12 of assets and routes with their count, volume and last activity."""
+    keys = ["asset", "source_chain", "dest_chain", "source_name", "dest_name"]
     rank = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("count"), *keys[1:]))
     listed = grouped.withColumn("rank", rank).filter(F.col("rank") <= n)
     whole = F.sum("volume").over(Window.partitionBy("asset")).cast("double")

@@ -48,22 +48,27 @@ def chain_flow_ranking(flows: DataFrame, mode: str = "total", n: int = 10) -> Da
     return flows.orderBy(measure.desc(), "universal_chain_id", "chain_name").limit(n)
 
 
-def _directed(t: DataFrame) -> DataFrame:
-    """Each transfer once for its source and once for its destination."""
+def _directed(by_route: DataFrame) -> DataFrame:
+    """Each route once for its source and once for its destination."""
     end = lambda side: F.struct(F.col(f"{side}_chain").alias("chain_id"), F.col(f"{side}_name").alias("chain_name"), F.lit(side).alias("side"))
-    return t.withColumn("end", F.explode(F.array(end("source"), end("dest")))).select("*", "end.*").drop("end")
+    return by_route.withColumn("end", F.explode(F.array(end("source"), end("dest")))).select("*", "end.*").drop("end")
+
+
+ROUTE = ["source_chain", "dest_chain", "source_name", "dest_name"]
 
 
 def chain_flows_by_scale(t: DataFrame, as_of, n: int = 10) -> DataFrame:
     """AGG9: flows per time scale with net = out - in, the first ``n`` chains of each scale."""
+    counts = [F.count(F.when(in_window(F.col("timestamp"), as_of, p), 1)).alias(p) for p in SCALE_PERIODS]
+    return by_scale_of(t.filter(in_window(F.col("timestamp"), as_of, "30d")).groupBy(*ROUTE).agg(*counts), n)
+
+
+def by_scale_of(by_route: DataFrame, n: int) -> DataFrame:
+    """AGG9 of routes with the count of each time scale."""
     out, inc = F.col("side") == "source", F.col("side") == "dest"
-    counts = []
-    for p in SCALE_PERIODS:
-        counts += [
-            F.count(F.when(out & in_window(F.col("timestamp"), as_of, p), 1)).alias(f"out_{p}"),
-            F.count(F.when(inc & in_window(F.col("timestamp"), as_of, p), 1)).alias(f"in_{p}"),
-        ]
-    grouped = _directed(t.filter(in_window(F.col("timestamp"), as_of, "30d"))).groupBy("chain_id").agg(F.min("chain_name").alias("chain_name"), *counts)
+    total = lambda side, p: F.coalesce(F.sum(F.when(side, F.col(p))), F.lit(0))
+    counts = [total(side, p).alias(f"{name}_{p}") for p in SCALE_PERIODS for name, side in (("out", out), ("in", inc))]
+    grouped = _directed(by_route).groupBy("chain_id").agg(F.min("chain_name").alias("chain_name"), *counts)
     rows = [
         F.struct(F.lit(p).alias("time_scale"), F.col(f"out_{p}").alias("outgoing_count"), F.col(f"in_{p}").alias("incoming_count"))
         for p in SCALE_PERIODS
@@ -81,14 +86,21 @@ def chain_top_assets(t: DataFrame, as_of, n: int = 5) -> DataFrame:
     ``percentage`` is of the volume of the listed rows of the chain.
     """
     keyed = t.filter(in_window(F.col("timestamp"), as_of, "30d")).withColumn("asset", asset_key()).filter("asset IS NOT NULL")
+    grouped = keyed.groupBy(*ROUTE, "asset").agg(F.count("*").alias("n"), F.sum("amount").alias("volume"), F.max("timestamp").alias("last"))
+    return top_assets_of(grouped, n)
+
+
+def top_assets_of(by_route: DataFrame, n: int = 5) -> DataFrame:
+    """AGG10 of routes and assets with their count ``n``, ``volume`` and ``last`` activity."""
     out, inc = F.col("side") == "source", F.col("side") == "dest"
-    volume = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0)).cast("decimal(28,2)")
-    grouped = _directed(keyed).groupBy("chain_id", "asset").agg(
-        F.count(F.when(out, 1)).alias("outgoing_count"),
-        F.count(F.when(inc, 1)).alias("incoming_count"),
+    volume = lambda c: F.coalesce(F.sum(F.when(c, F.col("volume"))), F.lit(0)).cast("decimal(28,2)")
+    number = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    grouped = _directed(by_route).groupBy("chain_id", "asset").agg(
+        number(out).alias("outgoing_count"),
+        number(inc).alias("incoming_count"),
         volume(out).alias("outgoing_volume"),
         volume(inc).alias("incoming_volume"),
-        F.max("timestamp").alias("last_activity"),
+        F.max("last").alias("last_activity"),
     )
     total = F.col("outgoing_count") + F.col("incoming_count")
     rank = F.row_number().over(Window.partitionBy("chain_id").orderBy(total.desc(), "asset"))

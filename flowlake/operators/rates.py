@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.functions.columns import PERIODS, RATE_PERIODS, ago, in_prev_window, in_window, instant, percent_change, period_rank, since
+from flowlake.functions.columns import PERIODS, RATE_PERIODS, SCALE_PERIODS, ago, in_prev_window, in_window, instant, percent_change, period_rank, since
 
 
 def _count(condition) -> F.Column:
@@ -38,12 +38,20 @@ def transfer_rate_changes(t: DataFrame, as_of) -> DataFrame:
 
     Five minutes are compared with a fifth of the 25 minutes before them; no earlier rows, no change.
     """
-    counters = []
+    return changes_of(since(t, as_of, 2 * PERIODS["30d"]).agg(*change_counters(as_of)))
+
+
+def change_counters(as_of) -> list[F.Column]:
+    """cur_ and prev_ count of each period, and base: the 25 minutes before the last five."""
+    ts, counters = F.col("timestamp"), []
     for p in RATE_PERIODS:
-        counters += [_count(in_window(F.col("timestamp"), as_of, p)).alias(f"cur_{p}"), _count(in_prev_window(F.col("timestamp"), as_of, p)).alias(f"prev_{p}")]
-    base = (F.col("timestamp") > ago(as_of, 1800)) & (F.col("timestamp") <= ago(as_of, PERIODS["5m"]))
-    counters.append(_count(base).alias("base"))
-    wide = since(t, as_of, 2 * PERIODS["30d"]).agg(*counters)
+        counters += [_count(in_window(ts, as_of, p)).alias(f"cur_{p}"), _count(in_prev_window(ts, as_of, p)).alias(f"prev_{p}")]
+    base = (ts > ago(as_of, 1800)) & (ts <= ago(as_of, PERIODS["5m"]))
+    return [*counters, _count(base).alias("base")]
+
+
+def changes_of(wide: DataFrame) -> DataFrame:
+    """AGG3 of one row of its counters."""
     rows = [
         F.struct(
             F.lit(p).alias("period"),
@@ -63,6 +71,11 @@ def order_periods(df: DataFrame, column: str = "period") -> DataFrame:
 
 def data_availability(t: DataFrame, as_of) -> DataFrame:
     """AGG19: whether each trailing period has transfers, and the 30-day flag served for all of them."""
+    counts = [_count(in_window(F.col("timestamp"), as_of, p)).alias(p) for p in SCALE_PERIODS]
+    return availability_of(since(t, as_of, PERIODS["30d"]).agg(*counts))
+
+
+def availability_of(counts: DataFrame) -> DataFrame:
+    """AGG19 of one row with the count of each time scale."""
     names = {"1m": "has_minute", "1h": "has_hour", "1d": "has_day", "7d": "has_7_days", "14d": "has_14_days", "30d": "has_30_days"}
-    flags = [(_count(in_window(F.col("timestamp"), as_of, p)) > 0).alias(name) for p, name in names.items()]
-    return since(t, as_of, PERIODS["30d"]).agg(*flags).withColumn("served", F.col("has_30_days"))
+    return counts.select(*[(F.col(p) > 0).alias(name) for p, name in names.items()]).withColumn("served", F.col("has_30_days"))

@@ -35,6 +35,11 @@ def popular_routes_by_scale(t: DataFrame, as_of, n: int = 10) -> DataFrame:
     """AGG15 for every time scale: one grouping, then the top of each scale."""
     counts = [F.count(F.when(in_window(F.col("timestamp"), as_of, p), 1)).alias(p) for p in SCALE_PERIODS]
     grouped = t.filter(in_window(F.col("timestamp"), as_of, "30d")).groupBy(*KEYS).agg(*counts)
+    return by_scale_of(grouped, n)
+
+
+def by_scale_of(grouped: DataFrame, n: int) -> DataFrame:
+    """AGG15 of routes with the count of each time scale."""
     long = grouped.unpivot(KEYS, SCALE_PERIODS, "time_scale", "transfer_count").filter("transfer_count > 0")
     rank = F.row_number().over(Window.partitionBy("time_scale").orderBy(F.desc("transfer_count"), *KEYS))
     return long.withColumn("rank", rank).filter(F.col("rank") <= n).withColumn("route", route_label())

@@ -100,10 +100,14 @@ def wallet_rate_changes(t: DataFrame, as_of) -> DataFrame:
     """
     span = F.col("timestamp") > ago(as_of, 2 * PERIODS["30d"])
     ends = _ends(t.filter(span & (F.col("timestamp") <= instant(as_of))))
+    by_side = ends.groupBy("wallet", "side").agg(F.max("ts").alias("now"), *[_last(F.col("ts") <= ago(as_of, PERIODS[p])).alias(p) for p in RATE_PERIODS])
+    return changes_of(by_side, as_of)
+
+
+def changes_of(by_side: DataFrame, as_of) -> DataFrame:
+    """AGG7 of wallet and side ('s', 'r') with the last instant of all (now) and before each period."""
     sides = {"s": F.col("side") == "s", "r": F.col("side") == "r", "a": F.lit(True)}
-    per = [_last(c).alias(f"{k}_now") for k, c in sides.items()]
-    per += [_last(c & (F.col("ts") <= ago(as_of, PERIODS[p]))).alias(f"{k}_{p}") for k, c in sides.items() for p in RATE_PERIODS]
-    wallets = ends.groupBy("wallet").agg(*per)
+    wallets = by_side.groupBy("wallet").agg(*[F.max(F.when(c, F.col(x))).alias(f"{k}_{x}") for k, c in sides.items() for x in ("now", *RATE_PERIODS)])
     counters = []
     for p in RATE_PERIODS:
         for k in sides:
@@ -168,6 +172,11 @@ def active_wallets_by_scale(t: DataFrame, as_of, side: str, n: int = 10) -> Data
     recent = t.filter(in_window(ts, as_of, "30d")).filter(F.col(_side(side)).isNotNull())
     grouped = recent.groupBy(F.col(_side(side)).alias("address")).agg(
         *[F.count(F.when(in_window(ts, as_of, p), 1)).alias(p) for p in SCALE_PERIODS], F.max("timestamp").alias("last_activity"))
+    return by_scale_of(grouped, n)
+
+
+def by_scale_of(grouped: DataFrame, n: int) -> DataFrame:
+    """AGG17 of wallets with their last activity and the count of each time scale."""
     long = grouped.unpivot(["address", "last_activity"], SCALE_PERIODS, "time_scale", "count").filter("count > 0")
     rank = F.row_number().over(Window.partitionBy("time_scale").orderBy(F.desc("count"), "address"))
     return long.withColumn("rank", rank).filter(F.col("rank") <= n)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.columns import rfc3339
-from flowlake.operators import assets, flows, health, latency, rates, routes, wallets
-from flowlake.plans.refresh import summaries
+from flowlake.operators import assets, flows, health, latency, routes
+from flowlake.plans.cube import cube
 
 
 def ranked_list(df: DataFrame, keys: list[str], name: str, order: str = "rank") -> DataFrame:
@@ -22,19 +22,29 @@ def _with_rank(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def chain_flow_document(t: DataFrame, as_of, n: int = 10, n_assets: int = 5, stored: DataFrame | None = None) -> DataFrame:
-    """DOC1: the first ``n`` chains with their top assets. ``stored`` flows stand for those of ``t``."""
-    listed = flows.chain_flow_ranking(flows.chain_flows(t, as_of) if stored is None else stored, "total", n)
-    top = flows.chain_top_assets(t, as_of, n_assets).withColumn("last_activity", rfc3339(F.col("last_activity")))
+def chain_flow_document(t: DataFrame, as_of, n: int = 10, n_assets: int = 5) -> DataFrame:
+    """DOC1: the first ``n`` chains with their top assets."""
+    return chain_flow_document_of(flows.chain_flows(t, as_of), flows.chain_top_assets(t, as_of, n_assets), n)
+
+
+def chain_flow_document_of(chain_flows: DataFrame, top_assets: DataFrame, n: int = 10) -> DataFrame:
+    """DOC1 of flows and top assets."""
+    listed = flows.chain_flow_ranking(chain_flows, "total", n)
+    top = top_assets.withColumn("last_activity", rfc3339(F.col("last_activity")))
     nested = ranked_list(top, ["chain_id"], "top_assets")
     joined = F.broadcast(listed).join(nested, F.col("universal_chain_id") == F.col("chain_id"), "left").drop("chain_id")
     return joined.withColumn("last_activity", rfc3339(F.col("last_activity")))
 
 
-def asset_document(t: DataFrame, as_of, n: int = 10, n_routes: int = 5, stored: DataFrame | None = None) -> DataFrame:
-    """DOC2: the first ``n`` assets with their top routes. ``stored`` volumes stand for those of ``t``."""
-    listed = assets.asset_volumes(t, as_of, n) if stored is None else stored.orderBy(F.desc("transfer_count"), "asset_symbol").limit(n)
-    top = assets.asset_top_routes(t, as_of, n_routes).withColumn("last_activity", rfc3339(F.col("last_activity")))
+def asset_document(t: DataFrame, as_of, n: int = 10, n_routes: int = 5) -> DataFrame:
+    """DOC2: the first ``n`` assets with their top routes."""
+    return asset_document_of(assets.asset_volumes(t, as_of, n), assets.asset_top_routes(t, as_of, n_routes), n)
+
+
+def asset_document_of(volumes: DataFrame, top_routes: DataFrame, n: int = 10) -> DataFrame:
+    """DOC2 of volumes and top routes."""
+    listed = volumes.orderBy(F.desc("transfer_count"), "asset_symbol").limit(n)
+    top = top_routes.withColumn("last_activity", rfc3339(F.col("last_activity")))
     nested = ranked_list(top, ["asset"], "top_routes")
     joined = F.broadcast(listed).join(nested, F.col("asset_symbol") == F.col("asset"), "left").drop("asset")
     return joined.withColumn("last_activity", rfc3339(F.col("last_activity")))
@@ -72,32 +82,34 @@ def _first(df: DataFrame, n: int, *order: Column) -> DataFrame:
 def dashboard(t: DataFrame, latency_data: DataFrame, h: DataFrame, as_of, n: int = 10, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """DOC5: the whole dashboard as one row with one struct ``doc``.
 
-    ``stored`` holds the summary tables of a refresh at ``as_of``: routes, wallets, flows and assets are
-    then read from them, and ``t`` serves the changes, time scales and drill-downs only. Give it a
-    persisted projection of the recent transfers (60 days, for the changes).
+    All sections of transfers come from one cube of 60 days. ``stored`` holds the summary tables of a
+    refresh at ``as_of``: routes, wallets, flows and assets are then read from them.
     """
-    views = stored or summaries(t, t, as_of)
+    c = cube(t, as_of)
+    views = stored or {
+        "popular_routes": c.popular_routes(), "chain_flows": c.chain_flows(), "asset_volumes": c.asset_volumes(),
+        "active_senders": c.active_wallets("sender"), "active_receivers": c.active_wallets("receiver")}
     by_count = F.desc("count"), F.asc("address")
     row = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
-    ranked = chain_flow_document(t, as_of, n, stored=views["chain_flows"]), asset_document(t, as_of, n, stored=views["asset_volumes"])
+    ranked = chain_flow_document_of(views["chain_flows"], c.chain_top_assets(), n), asset_document_of(views["asset_volumes"], c.asset_top_routes(), n)
     top_routes = _first(views["popular_routes"], n, F.desc("transfer_count"), *[F.asc(c) for c in routes.KEYS])
     sections = [
-        row(rates.transfer_rate_changes(t, as_of), "transferRates"),
-        row(wallets.wallet_rate_changes(t, as_of), "activeWalletRates"),
+        row(c.transfer_rate_changes(), "transferRates"),
+        row(c.wallet_rate_changes(), "activeWalletRates"),
         _list(top_routes, "popularRoutes", F.desc("transfer_count"), F.asc("route")),
-        _scales(routes.popular_routes_by_scale(t, as_of, n), "popularRoutesTimeScale"),
+        _scales(c.popular_routes_by_scale(n), "popularRoutesTimeScale"),
         _list(_first(views["active_senders"], n, *by_count), "activeSenders", *by_count),
         _list(_first(views["active_receivers"], n, *by_count), "activeReceivers", *by_count),
-        _scales(wallets.active_wallets_by_scale(t, as_of, "sender", n), "activeSendersTimeScale"),
-        _scales(wallets.active_wallets_by_scale(t, as_of, "receiver", n), "activeReceiversTimeScale"),
+        _scales(c.active_wallets_by_scale("sender", n), "activeSendersTimeScale"),
+        _scales(c.active_wallets_by_scale("receiver", n), "activeReceiversTimeScale"),
         _list(ranked[0], "chainFlows", (F.col("outgoing_count") + F.col("incoming_count")).desc(), F.asc("universal_chain_id"), F.asc("chain_name")),
-        _scales(flows.chain_flows_by_scale(t, as_of, n), "chainFlowsTimeScale"),
+        _scales(c.chain_flows_by_scale(n), "chainFlowsTimeScale"),
         row(flows.flow_totals(views["chain_flows"], n), "chainFlowTotals"),
         _list(ranked[1], "assets", F.desc("transfer_count"), F.asc("asset_symbol")),
         row(assets.asset_totals(views["asset_volumes"], n), "assetTotals"),
         row(latency.latency_document(latency_data), "latency"),
         node_health_document(h, as_of).select(F.struct("*").alias("nodeHealth")),
-        rates.data_availability(t, as_of).select(F.struct("*").alias("dataAvailability")),
+        c.data_availability().select(F.struct("*").alias("dataAvailability")),
     ]
     out = sections[0]
     for s in sections[1:]:

@@ -13,6 +13,7 @@ from flowlake.files import shared_path
 from flowlake.functions import columns as col
 from flowlake.operators import assets, enrich, flows, health, latency, ops, ranking, rates, routes, wallets
 from flowlake.plans import documents
+from flowlake.plans.cube import cube
 from flowlake.plans.refresh import read_summary, refresh_analytics, summaries
 from flowlake.sources import cursors, sinks
 from flowlake.sources.documents import transfer_rows
@@ -590,7 +591,7 @@ _add("doc4_node_health_document", _on(NODES, lambda h, a: documents.node_health_
 
 
 def _dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = RT(spark, sf_dir).persist()
+    t = RT(spark, sf_dir)
     doc = documents.dashboard(t, fx.latency_data(spark, sf_dir), NODES(spark, sf_dir), fx.latest(t))
     return doc.select(F.to_json("doc").alias("doc"))
 
@@ -609,6 +610,31 @@ def _dashboard_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("doc5_dashboard_routes", _dashboard_routes, f"SELECT time_scale, rank, source_chain, dest_chain, transfer_count FROM ({_SCALED_ROUTES})", _RT)
 
 
+def _from_cube(section):
+    """Query: a section of the dashboard as its cube gives it."""
+    return _on(RT, lambda t, a: section(cube(t, a)))
+
+
+#: Sections of the dashboard beside the queries of the operators that they stand for, on the same rows.
+for _name, _section, _same in [
+    ("rate_changes", lambda c: c.transfer_rate_changes(), "agg3_transfer_rate_changes"),
+    ("wallet_changes", lambda c: c.wallet_rate_changes(), "agg7_wallet_rate_changes"),
+    ("routes_by_scale", lambda c: c.popular_routes_by_scale(), "agg15_popular_routes_by_scale"),
+    ("senders_by_scale", lambda c: c.active_wallets_by_scale("sender"), "agg17_active_senders_by_scale"),
+    ("receivers_by_scale", lambda c: c.active_wallets_by_scale("receiver"), "agg17_active_receivers_by_scale"),
+    ("chain_flows", lambda c: c.chain_flows(), "agg8_chain_flows"),
+    ("flows_by_scale", lambda c: c.chain_flows_by_scale(), "agg9_chain_flows_by_scale"),
+    ("data_availability", lambda c: c.data_availability(), "agg19_data_availability"),
+]:
+    _add(f"doc5_{_name}", _from_cube(_section), ORACLES[_same])
+_add("doc5_popular_routes", _from_cube(lambda c: c.popular_routes()), _routes_sql(_in("30d"), 50), _RT)
+_add("doc5_asset_volumes", _from_cube(lambda c: c.asset_volumes()), "SELECT * FROM av", f"{_RT},{_ASSETS}")
+_add("doc5_chain_top_assets", _from_cube(lambda c: c.chain_top_assets()), "SELECT * FROM top_assets", f"{_RT},{_TOP_ASSETS}")
+_add("doc5_asset_top_routes", _from_cube(lambda c: c.asset_top_routes()), "SELECT * FROM asset_routes", f"{_RT},{_ASSET_ROUTES.format(n=5)}")
+for _side in ("sender", "receiver"):
+    _add(f"doc5_active_{_side}s", _from_cube(lambda c, s=_side: c.active_wallets(s)), _active_sql(_side, _in("30d"), 50, 8, 16), _RT)
+
+
 def _flow_message(t: DataFrame, as_of) -> DataFrame:
     """The chain flows and their top assets as a document in the message envelope."""
     top = F.transform("top_assets", lambda x: F.struct(x["rank"].alias("rank"), x["asset"].alias("asset"), x["net_flow"].alias("net_flow")))
