@@ -159,7 +159,10 @@ def format_address(address: Column, rpc_type: Column, prefix: Column) -> Column:
     cosmos = F.when(F.coalesce(prefix, F.lit("")) == "", address).when(done | bech32_like, clean).otherwise(
         F.coalesce(_to_bech32(F.when(kind.isin("cosmos", "cosmos-sdk") & convertible, bare), prefix), address))
     padded = F.lpad(bare, F.greatest(F.length(bare), F.lit(40)), F.lit("0"))
-    evm = F.when(is_hex & ~bech32_like, F.lower(F.concat(F.lit("0x"), padded))).otherwise(address)
+    pairs = is_hex & (F.length(bare) % 2 == 0)
+    # an address of the right form may look like bech32 by chance: forms come first
+    evm = F.when(clean.startswith("0x") & (F.length(clean) == 42), F.lower(clean)).when(
+        pairs & ((F.length(clean) == 40) | ~bech32_like), F.lower(F.concat(F.lit("0x"), padded))).otherwise(address)
     return F.when(F.coalesce(address, F.lit("")) == "", F.lit("")).when(kind.isin("cosmos", "cosmos-sdk"), cosmos).when(
         kind.isin("evm", "ethereum"), evm).otherwise(address)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +113,10 @@ def dashboard(t: DataFrame, latency_data: DataFrame, h: DataFrame, as_of, n: int
         node_health_document(h, as_of).select(F.struct("*").alias("nodeHealth")),
         c.data_availability().select(F.struct("*").alias("dataAvailability")),
     ]
-    out = sections[0]
-    for s in sections[1:]:
-        out = out.crossJoin(F.broadcast(s))  # one row each
-    return out.select(F.struct("*").alias("doc"))
+    return _side_by_side(sections).select(F.struct("*").alias("doc"))
+
+
+def _side_by_side(rows: list[DataFrame]) -> DataFrame:
+    """Tables of one row as one row with all their columns: stacked, and of each column the row that has it."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])

@@ -19,6 +19,11 @@ from flowlake.sources.segments import Segments
 
 #: Keys of each kind of partial, beside the hour.
 KEYS = {"hours": [], "routes": routes.KEYS, "assets": ["asset_symbol"], "wallets": ["side", "address"]}
+#: The kind of partial that each summary is made of.
+KIND_OF = {
+    "transfer_rates": "hours", "wallet_stats": "wallets", "active_senders": "wallets", "active_receivers": "wallets",
+    "popular_routes": "routes", "chain_flows": "routes", "asset_volumes": "assets",
+}
 #: How measures of partials are merged; others by the greatest.
 SUMS = ["n", "volume", "amounts"]
 LONGEST = PERIODS["30d"]
@@ -71,9 +76,9 @@ def newest(spark: SparkSession, out: str):
     return None if hours is None else hours.agg(F.max("last")).first()[0]
 
 
-def fold(spark: SparkSession, rows: DataFrame, out: str, number: int) -> None:
-    """Add the partials of new rows. ``number`` is the batch's; a batch that was folded is passed over."""
-    for kind in KEYS:
+def fold(spark: SparkSession, rows: DataFrame, out: str, number: int, kinds: set[str] | None = None) -> None:
+    """Add the partials of new rows, of all kinds or those given. ``number`` is the batch's; a batch that was folded is passed over."""
+    for kind in [k for k in KEYS if kinds is None or k in kinds]:
         at = newest(spark, out) if kind != "hours" else None
         store_of(spark, out, kind, at).add(hourly(rows, kind), "facts", number)
 
@@ -108,24 +113,27 @@ def _rates(hours: DataFrame, facts: DataFrame, as_of) -> DataFrame:
 
 
 def summaries_of(parts: dict[str, DataFrame], facts: DataFrame, as_of) -> dict[str, DataFrame]:
-    """The seven summary tables of partials."""
+    """The summary tables of partials, as far as their kinds are given; of all kinds the seven."""
     recent = {kind: window_parts(df, facts, as_of, kind) for kind, df in parts.items() if kind != "hours"}
+    made = {}
     measured = lambda df: df.withColumnsRenamed({"n": "transfer_count", "volume": "total_volume", "last": "last_activity"})
-    ends = recent["wallets"]
     last = lambda side: F.max(F.when(F.col("side") == side, F.col("last")))
-    per_wallet = ends.groupBy("address").agg(last("sender").alias("s"), last("receiver").alias("r"))
-    active = lambda side: wallets.listed(ends.filter(F.col("side") == side).select("address", F.col("n").alias("count"), F.col("last").alias("last_activity")), 50)
-    return {
-        "transfer_rates": _rates(parts["hours"], facts, as_of),
-        "wallet_stats": wallets.stats_of(per_wallet, as_of),
-        "popular_routes": routes.listed(measured(recent["routes"]), 50),
-        "chain_flows": flows.flows_of(measured(recent["routes"]), as_of),
-        "asset_volumes": assets.listed(measured(recent["assets"]), 50),
-        "active_senders": active("sender"),
-        "active_receivers": active("receiver"),
-    }
-
-
-def stored_summaries(spark: SparkSession, facts: DataFrame, out: str, as_of) -> dict[str, DataFrame]:
+    if "hours" in parts:
+        made["transfer_rates"] = _rates(parts["hours"], facts, as_of)
+    if "wallets" in recent:
+        ends = recent["wallets"]
+        made["wallet_stats"] = wallets.stats_of(ends.groupBy("address").agg(last("sender").alias("s"), last("receiver").alias("r")), as_of)
+        for side in ("sender", "receiver"):
+            own = ends.filter(F.col("side") == side).select("address", F.col("n").alias("count"), F.col("last").alias("last_activity"))
+            made[f"active_{side}s"] = wallets.listed(own, 50)
+    if "routes" in recent:
+        made["popular_routes"] = routes.listed(measured(recent["routes"]), 50)
+        made["chain_flows"] = flows.flows_of(measured(recent["routes"]), as_of)
+    if "assets" in recent:
+        made["asset_volumes"] = assets.listed(measured(recent["assets"]), 50)
+    return made
+
+
+def stored_summaries(spark: SparkSession, facts: DataFrame, out: str, as_of, kinds: set[str] | None = None) -> dict[str, DataFrame]:
     """The summaries of what was folded into ``out``; of ``facts`` only the hours at the windows' edges are read."""
-    return summaries_of({kind: store_of(spark, out, kind).read() for kind in KEYS}, facts, as_of)
+    return summaries_of({kind: store_of(spark, out, kind).read() for kind in KEYS if kinds is None or kind in kinds}, facts, as_of)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowlake.files import Manifest, children, remove
 from flowlake.functions.columns import DAY, since
 from flowlake.operators import assets, flows, rates, routes, wallets
-from flowlake.plans.partials import fold, newest, stored_summaries
+from flowlake.plans.partials import KIND_OF, fold, newest, stored_summaries
 
 COLUMNS = ["source_chain", "dest_chain", "source_name", "dest_name", "sender", "receiver", "amount", "token_symbol", "canonical_token_symbol", "timestamp"]
 
@@ -81,11 +81,12 @@ def refresh_incremental(facts: DataFrame, new: DataFrame, number: int, out: str,
     newest instant; None is returned as long as there is none.
     """
     spark = facts.sparkSession
-    fold(spark, new, out, number)
+    kinds = None if views is None else {"hours", *[KIND_OF[v] for v in views]}
+    fold(spark, new, out, number, kinds)
     as_of = newest(spark, out)
     if as_of is None:
         return None
-    found = stored_summaries(spark, facts, out, as_of)
+    found = stored_summaries(spark, facts, out, as_of, kinds)
     return publish({v: found[v] for v in views or VIEWS}, out, as_of)
 
 

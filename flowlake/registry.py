@@ -14,9 +14,9 @@ from flowlake.functions import columns as col
 from flowlake.operators import assets, enrich, flows, health, latency, ops, ranking, rates, routes, wallets
 from flowlake.plans import documents
 from flowlake.plans.cube import cube
-from flowlake.plans.refresh import read_summary, refresh_analytics, summaries
+from flowlake.plans.refresh import read_all_summaries, read_summary, refresh_analytics, refresh_incremental
 from flowlake.sources import cursors, sinks
-from flowlake.sources.documents import transfer_rows
+from flowlake.sources.documents import read_chains, read_latency_docs, read_transfers, transfer_rows
 from flowlake.streaming import ingest
 
 QUERIES: dict = {}
@@ -401,7 +401,10 @@ for _sort, _status in [*((s, "all") for s in _NODE_ORDER), ("response", "healthy
 
 
 def _status(t: DataFrame, as_of) -> DataFrame:
-    s = summaries(t, t, as_of)
+    """AGG26 over the stored summaries of a refresh."""
+    out = shared_path(t.sparkSession, "refresh")
+    refresh_analytics(t, as_of, out)
+    s = read_all_summaries(t.sparkSession, out)
     return ops.analytics_status(s["transfer_rates"], s["wallet_stats"], s["popular_routes"], s["chain_flows"], s["asset_volumes"], as_of)
 
 
@@ -657,3 +660,121 @@ _add("str6_window_partials", lambda spark, sf_dir: ingest.window_partials(RT(spa
      "SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) AS window_start, count(*) AS n, CAST(sum(amount) AS DECIMAL(28,2)) AS volume FROM t GROUP BY 1", _RT)
 _add("str6_rates_from_partials", _on(RT, lambda t, a: ingest.rates_from_partials(ingest.window_partials(t), F.lit(a))),
      "SELECT period, count FROM (" + _union(lambda p: f"SELECT '{p}' AS period, count(*) AS count FROM t WHERE timestamp < time_bucket(INTERVAL 5 MINUTES, as_of) AND timestamp >= time_bucket(INTERVAL 5 MINUTES, as_of) - {_SECONDS[p]}") + ")", _RT)
+
+# stores at rest ---------------------------------------------------------------------------------------------
+
+
+def _refreshed_twice(view: str):
+    """Query: a summary table after two refreshes, the second of which reads only the quarter of the rows that is new."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, out = RT(spark, sf_dir), shared_path(spark, "refresh")
+        old, new = t.filter("ingest_seq % 4 <> 1"), t.filter("ingest_seq % 4 = 1")
+        refresh_incremental(old, old, 0, out, [view])
+        refresh_incremental(t, new, 1, out, [view])
+        return read_summary(spark, out, view)
+
+    return query
+
+
+for _view, _sql, _with in [
+    ("transfer_rates", ORACLES["agg1_transfer_rates"], None),
+    ("wallet_stats", ORACLES["agg4_wallet_stats"], None),
+    ("popular_routes", _routes_sql(_in("30d"), 50), _RT),
+    ("chain_flows", ORACLES["agg8_chain_flows"], None),
+    ("asset_volumes", "SELECT * FROM av", f"{_RT},{_ASSETS}"),
+    *[(f"active_{s}s", _active_sql(s, _in("30d"), 50, 8, 16), _RT) for s in ("sender", "receiver")],
+]:
+    _add(f"snk6_{_view}", _refreshed_twice(_view), _sql, _with)
+
+
+def _stored_twice(spark: SparkSession, sf_dir: str) -> str:
+    """A store of the transfers: the even ones, then all of them, each twice."""
+    t, path = RT(spark, sf_dir), shared_path(spark, "store")
+    sinks.store_transfers(spark, path, t.filter("ingest_seq % 2 = 0"))
+    sinks.store_transfers(spark, path, t.unionByName(t))
+    return path
+
+
+_add("snk1_store_transfers", lambda spark, sf_dir: spark.read.parquet(f"{_stored_twice(spark, sf_dir)}/facts").drop("date", "created_at"),
+     "SELECT * EXCLUDE (as_of, asset) FROM t", _RT)
+
+
+def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1: a week of the stored table."""
+    path = shared_path(spark, "store")
+    sinks.store_transfers(spark, path, RT(spark, sf_dir).withColumn("amount", F.col("amount").cast("decimal(38,18)")))
+    recent = read_transfers(spark, f"{path}/facts", fx.latest(RT(spark, sf_dir)), 7)
+    return recent.withColumn("amount", F.col("amount").cast("decimal(18,2)")).drop("date", "created_at")
+
+
+_add("src1_read_transfers", _recent, f"SELECT * EXCLUDE (as_of, asset) FROM t WHERE {_in('7d')}", _RT)
+
+
+def _stored_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK7 at rest: the first snapshot, then both."""
+    data, path = fx.latency_data(spark, sf_dir), shared_path(spark, "store")
+    for batch in (data.filter(F.col("fetched_at") == F.lit(fx.FETCHED[0])), data):
+        sinks.store_snapshot(spark, path, batch, "latency")
+    return spark.read.parquet(f"{path}/latency").drop("date")
+
+
+_add("snk7_store_snapshot", _stored_snapshots, "SELECT * FROM lat", _LATENCY)
+
+
+def _chain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3: chains written as one response and read as a source."""
+    path, c = shared_path(spark, "chains"), fx.chains(spark, sf_dir)
+    c.agg(F.struct(F.array_sort(F.collect_list(F.struct(*c.columns))).alias("v2_chains")).alias("data")).write.json(path)
+    return read_chains(spark, path).select("universal_chain_id", "chain_id", "display_name", "testnet", F.size("rpcs").alias("endpoints"), F.col("rpcs")[0]["url"].alias("first_url"))
+
+
+_add("src3_read_chains", _chain_docs,
+     "SELECT universal_chain_id, chain_id, display_name, CAST(split_part(universal_chain_id, '-', 2) AS INT) % 2 = 1 AS testnet, CAST(3 AS INT) AS endpoints, 'https://' || host || '.example/rpc' AS first_url FROM c", _CHAINS)
+
+
+def _latency_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4: the first snapshot as responses, streamed into the store and read back."""
+    base = shared_path(spark, "latency")
+    rows = fx.latency_data(spark, sf_dir).filter(F.col("fetched_at") == F.lit(fx.FETCHED[0]))
+    wire = {"packet_ack": "secs_until_packet_ack", "packet_recv": "secs_until_packet_recv", "write_ack": "secs_until_write_ack"}
+    stats = F.struct(*[F.struct(*[F.col(f"{e}_{s}").alias(s) for s in latency.STATS]).alias(field) for e, field in wire.items()])
+    rows.select("source_chain", "dest_chain", F.struct(F.array(stats).alias("v2_stats_latency")).alias("data")).write.json(f"{base}/in")
+    found = read_latency_docs(spark, f"{base}/in").withColumn("fetched_at", F.lit(fx.FETCHED[0]))
+    chains = fx.chains(spark, sf_dir)
+    for number in range(2):  # the second time nothing is new
+        ingest.store_latency(f"{base}/store", chains)(found, number)
+    return spark.read.parquet(f"{base}/store/latency").drop("date")
+
+
+_NAME = lambda side: f"(SELECT coalesce(nullif(display_name, ''), universal_chain_id) FROM c WHERE universal_chain_id = {side}_chain)"
+_add("src4_latency_docs", _latency_docs,
+     f"SELECT * REPLACE ({_NAME('source')} AS source_name, {_NAME('dest')} AS dest_name) FROM lat WHERE fetched_at = TIMESTAMP '2024-01-01'", f"{_LATENCY},{_CHAINS}")
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG23 into the store: probes of even days and then all of them, as a stream's batches."""
+    path, probes, chains = shared_path(spark, "store"), fx.probes(spark, sf_dir), fx.chains(spark, sf_dir)
+    store = ingest.store_probes(path, chains)
+    for number, batch in enumerate((probes.filter("run < '2024-01-15'"), probes.filter("run >= '2024-01-15'"), probes)):
+        store(batch, number)
+    return spark.read.parquet(f"{path}/health").select("rpc_url", "chain_id", "checked_at", "status", "response_time_ms", "latest_block_height", "uptime")
+
+
+_add("agg23_store_checks", _checks,
+     "SELECT rpc_url, chain_id, run AS checked_at, status, CAST(response_time_ms AS INT) AS response_time_ms, CASE WHEN status <> 'unhealthy' THEN height END AS latest_block_height, "
+     "coalesce(lag(CASE WHEN status <> 'unhealthy' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY rpc_url ORDER BY run), 0) AS uptime FROM rollup_", _PROBES)
+
+
+def _other_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ13 but for its bech32 branch: chains of hexadecimal addresses."""
+    evm = fx.chains(spark, sf_dir).filter("rpc_type = 'evm'").select("universal_chain_id")
+    return _addresses(spark, sf_dir).join(F.broadcast(evm), "universal_chain_id", "left_semi")  # a chain is a nation
+
+
+_add("prj13_address_dim_evm", _other_addresses,
+     "SELECT DISTINCT address, universal_chain_id, lower(CASE WHEN starts_with(address, '0x') THEN address ELSE '0x' || address END) AS formatted FROM ("
+     "SELECT sha1(sender) AS address, source_chain AS universal_chain_id FROM t UNION SELECT '0x' || upper(sha1(receiver)), dest_chain FROM t) "
+     "WHERE CAST(split_part(universal_chain_id, '-', 2) AS INT) % 2 = 1", _TRANSFERS)
+_add("doc4_nodes", _on(NODES, lambda h, a: documents.node_health_document(h, a).select(F.explode("nodes").alias("x")).select("x.*")),
+     "SELECT chain_id, rpc_url, chain_name, rpc_type, status, response_time_ms, latest_block_height, uptime, CAST(floor(epoch(checked_at)) AS BIGINT) AS last_check_time, coalesce(error_message, '') AS error FROM latest", _NODES)

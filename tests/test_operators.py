@@ -175,6 +175,12 @@ def test_address_forms(spark):
     assert got[7] == "zz"
 
 
+def test_hexadecimal_forms_come_before_the_look_of_bech32(spark):
+    rows = [("0x0133FFE04405EE086A8F3BAC5C526247CFFACD8C", "0x0133ffe04405ee086a8f3bac5c526247cffacd8c"), ("abc", "abc"), ("cosmos1" + "Q" * 38, "cosmos1" + "Q" * 38)]
+    df = spark.createDataFrame(rows, "a string, want string")
+    assert df.filter(enrich.format_address(F.col("a"), F.lit("evm"), F.lit("")) != F.col("want")).count() == 0
+
+
 def test_append_is_idempotent(spark):
     t = transfers(spark, (1, {}), (2, {}))
     twice = sinks.append_transfers(sinks.append_transfers(t.limit(0), t), t.unionByName(t))
