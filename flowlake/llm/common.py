@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlake.files import remove, shared_path
+
 #: Most rows that may be broadcast. Callers broadcast a few numbers or short strings per row, so
 #: this bounds a broadcast to roughly 100 MB; anything larger is joined by shuffling instead.
 MAX_BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where that setting is missing, a local session takes a temporary folder (driver and tasks are
-    one process), any other one a folder in the warehouse, which all machines of a cluster reach.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowlake-") if local else f"{warehouse}/_flowlake")
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a reader of it.
 
@@ -38,7 +22,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     ``release`` once nothing that is still to run reads it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._flowlake_path = path
@@ -57,29 +41,12 @@ def text_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _file_system(spark, path)
-    return fs.exists(at)
-
-
-def list_folder(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none if it is not there."""
-    fs, at = _file_system(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-
-
 def release(*written: DataFrame) -> None:
     """Delete the files of tables of ``materialize`` that have served; other frames are left alone."""
     for df in written:
         path = getattr(df, "_flowlake_path", None)
         if path is not None:
-            fs, at = _file_system(df.sparkSession, path)
-            fs.delete(at, True)
+            remove(df.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

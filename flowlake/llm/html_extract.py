@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,7 +73,7 @@ SIBLING_SHARE = 0.2
 #: Link densities under which text beside the article is kept, and under which a strong container is.
 FEW_LINKS, SOME_LINKS = 0.25, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:[\"'][^>]*)?>?|<[!?][^>]*>?", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:[\"'][^>]*)?>?|<[!?][^>]*>?", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[a-z]+")
@@ -128,6 +129,16 @@ def _verdict(tag: str, attrs: str) -> int:
 def _tree(page: str) -> _Node:
     root = node = _Node("html", None, False, 0)
     links, order, at, inline_cut = 0, 0, 0, []
+    opened: Counter = Counter()  # open elements by name, so that stray end tags need no look at all of them
+
+    def closed(node: _Node, last: _Node) -> _Node:
+        """What is open once the elements from ``node`` up to ``last`` are closed."""
+        while node is not last:
+            opened[node.tag] -= 1
+            node = node.parent
+        opened[last.tag] -= 1
+        return last.parent
+
     n = len(page)
     search = _TOKEN.search
     while at < n:
@@ -153,11 +164,11 @@ def _tree(page: str) -> _Node:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK or tag in CUT:
-                up = node
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                if up is not None and up.parent is not None:
-                    node, links, inline_cut = up.parent, 0, []
+                if opened[tag]:
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
+                    node, links, inline_cut = closed(node, up), 0, []
             continue
         attrs = m.group(3) or ""
         if tag in RAW_TEXT:
@@ -170,18 +181,18 @@ def _tree(page: str) -> _Node:
             continue
         if tag in BLOCK or tag in CUT:
             inline_cut = []
-            if tag in SAME:
+            if tag in SAME and any(opened[t] for t in SAME[tag]):
                 up = node
                 while up.parent is not None and up.tag not in SCOPE[tag] and up.tag not in SAME[tag]:
                     up = up.parent
                 if up.tag in SAME[tag] and up.parent is not None:
-                    node, links = up.parent, 0
-            if tag in CLOSES_P:
+                    node, links = closed(node, up), 0
+            if tag in CLOSES_P and opened["p"]:
                 up = node
                 while up is not None and up.tag != "p" and up.tag not in CLOSES_P:
                     up = up.parent
                 if up is not None and up.tag == "p":
-                    node, links = up.parent, 0
+                    node, links = closed(node, up), 0
             if tag in ("html", "body"):
                 continue
             order += 1
@@ -190,6 +201,7 @@ def _tree(page: str) -> _Node:
             if not child.cut:
                 node.parts.append(child)
             node = child
+            opened[tag] += 1
         elif inline_cut:
             inline_cut.append(tag)
         elif tag == "a":

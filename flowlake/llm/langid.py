@@ -30,12 +30,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,7 +176,7 @@ class WordModel:
         run = np.concatenate([[0.0], np.cumsum(others.max(axis=1))])
         if (run - np.minimum.accumulate(run)).max() < penalty:
             return np.full(n, best)
-        came, score = bytearray(), emitted[0].tolist()  # a byte a word and language: up to 256 languages
+        came, score = array("B" if k <= 2**8 else "H" if k <= 2**16 else "L"), emitted[0].tolist()
         for row in emitted[1:].tolist():
             switched = max(score)
             top = score.index(switched)
@@ -263,12 +264,13 @@ def _hold(model: WordModel) -> WordModel:
     return _held[model.key]
 
 
-def labeller(model: WordModel | None):
+def labeller(spark: SparkSession, model: WordModel | None):
     """Pandas UDF: text -> struct of lang_pred, score and word spans."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(LABELS)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        held = _hold(model) if model else None
+        held = _hold(shared.value) if shared.value else None
         for texts in batches:
             found = [held.label(t) if held else ("und", 0.0, []) for t in texts]
             yield pd.DataFrame(
@@ -290,7 +292,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with the struct ``language``: lang_pred, score, spans."""
     model = fit(docs, ~held_out(id_col), text_col, lang_col)
-    return docs.withColumn("language", labeller(model)(F.col(text_col)))
+    return docs.withColumn("language", labeller(docs.sparkSession, model)(F.col(text_col)))
 
 
 def keep_identified(docs: DataFrame, min_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -299,7 +301,7 @@ def keep_identified(docs: DataFrame, min_share: float = 0.5, id_col: str = "doc_
     A text of one language stays however short it is and however close another language comes.
     """
     model = fit(docs, ~held_out(id_col), text_col, lang_col)
-    found = docs.withColumn("__language", labeller(model)(F.col(text_col)))
+    found = docs.withColumn("__language", labeller(docs.sparkSession, model)(F.col(text_col)))
     return found.filter(is_identified(F.col("__language"), min_share)).drop("__language")
 
 

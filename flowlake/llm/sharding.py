@@ -21,12 +21,12 @@ Defined results for odd input
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import exists, list_folder, materialize, shared_dir
+from flowlake.files import children, exists, shared_path
+from flowlake.llm.common import materialize
 
 N_SLOTS = 4096
 OVERHEAD_BYTES = 16
@@ -130,7 +130,7 @@ def rebalance(slot_map: DataFrame, sizes: DataFrame, n_shards: int) -> DataFrame
 
 def stored_versions(spark: SparkSession, path: str) -> list[int]:
     """Versions of a stored map that were written to their end, in order."""
-    named = [n for n in list_folder(spark, path) if n.startswith("version=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+    named = [n for n in children(spark, path) if n.startswith("version=") and exists(spark, f"{path}/{n}/_SUCCESS")]
     return sorted(int(n.removeprefix("version=")) for n in named)
 
 
@@ -203,5 +203,5 @@ def shard_documents(
     """
     rows = materialize(slot_rows(docs, id_col, text_col, n_slots), "shard-rows")
     sizes = materialize(slot_sizes(rows, n_slots), "shard-sizes")
-    path = map_path or f"{shared_dir(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}"
+    path = map_path or shared_path(docs.sparkSession, "slot-map")
     return assign(rows, _current_map(sizes, n_shards, n_slots, path, move), sizes).withColumnRenamed("id", id_col)

@@ -11,6 +11,9 @@ and a half standard deviations under the mean at 0.8), and each of these is veri
 whole texts. What is linked is thus right; a similar pair is missed only if it meets in too few
 lists (README: measured recall).
 
+A set of too few shingles is similar to no other (of three shared shingles of four, 0.75 is left): such
+texts are in no list. Of 0.8 that is sets of up to three shingles.
+
 Texts of one shingle set are one class, named by a 64-bit hash of the set, so exact copies make no
 pairs. The members of a list are never paired with each other outright. Under the first of the keys
 they are paired with their list's centre only (the member that meets most texts in all), and with
@@ -93,14 +96,16 @@ def key_positions(keys: int = KEYS, key_bytes: int = KEY_BYTES) -> np.ndarray:
 _PRINT = T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType())])
 
 
-def _printer(k: int):
+def _printer(k: int, similarity: float):
+    few = similarity / (1 - similarity) - 1e-9 if similarity < 1 else float("inf")
+
     @F.pandas_udf(_PRINT)
     def printed(texts: pd.Series) -> pd.DataFrame:
         nodes, prints = [], []
         for at in range(0, len(texts), 128):
             sets = [shingle_set(t, k) for t in texts.iloc[at : at + 128]]
             nodes += [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets]
-            prints += [row.tobytes() for row in positional_bytes(sets)]
+            prints += [row.tobytes() if len(s) >= few else None for s, row in zip(sets, positional_bytes(sets))]
         return pd.DataFrame({"node": nodes, "fp": prints})
 
     return printed
@@ -245,12 +250,12 @@ def drop_similar(
     text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each component of similar texts."""
-    printed = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("text_key"), _printer(shingle_words)(F.col(text_col)).alias("p"))
+    printed = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("text_key"), _printer(shingle_words, similarity)(F.col(text_col)).alias("p"))
     with text_batches(docs.sparkSession):
         rows = materialize(printed.select("id", "text_key", "p.node", "p.fp"), "similar-fp")
     classes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp")), "similar-classes")
     rows = rows.drop("fp")
     verify = _Verifier(docs, rows, classes, text_col, shingle_words, min_shared, similarity)
-    found = _components(classes, verify, key_positions(keys, key_bytes), first_keys)
+    found = _components(classes.filter("fp IS NOT NULL"), verify, key_positions(keys, key_bytes), first_keys)
     release(classes)
     return keep_one(docs, rows.join(found, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component")), id_col, text_col)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from flowlake.llm import pipeline, similar
+from flowlake.llm.common import materialize
 
 
 def _brute_kept(rows, similarity=0.8):
@@ -66,3 +67,23 @@ def test_near_dedup_stage_takes_five_words_and_four_fifths(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     stage = dict(pipeline.STAGES)["simhash_near_dedup"]
     assert sorted(r["doc_id"] for r in stage(spark, df, "").collect()) == [1, 3]
+
+
+def test_short_texts_make_no_pairs(spark):
+    """Of texts of one to eight words only those of four shingles and more can be similar to others; all pairs of these lists are few."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(1 + i % 8))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    printed = df.select(similar._printer(5, 0.8)("text").alias("p")).select("p.*").filter("fp IS NOT NULL").distinct()
+    assert printed.count() <= 2500
+    printed = materialize(printed, "test")
+    looked_at = []
+    similar._components(printed, lambda pairs: looked_at.append(pairs.count()) or pairs.limit(0), similar.key_positions(), similar.FIRST_KEYS)
+    assert sum(looked_at) < 10 * len(rows)
+    assert similar.drop_similar(df).count() == len({t for _, t in rows})
+
+
+def test_short_texts_that_are_equal_are_one(spark):
+    rows = [(1, "a b c"), (2, "A  b c"), (3, "a b d"), (4, "a b c d e f g"), (5, "a b c d e f"), (6, None), (7, " "), (8, "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in similar.drop_similar(df).collect()) == [1, 3, 4, 5, 6, 8]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from itertools import product
 
@@ -76,6 +77,18 @@ def test_extract_long_and_deep_pages():
     extract_main_text("<" * 20_000 + "a" * 1000 + '"' * 999)
 
 
+def test_extract_stray_end_tags_in_linear_time():
+    began = time.perf_counter()
+    page = "<div>" * 20_000 + "</nav></li></p><li>" * 20_000 + "<p>The end, at last.</p>"
+    assert "The end, at last." in extract_main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("empty", ["<!-->", "<!--->", "<!-- -->", "<!---->", "<!-- a --!>"])
+def test_extract_empty_comments_end_at_once(empty):
+    assert extract_main_text(f"<p>One, two.</p>{empty}<p>Three, four.</p><!-- x --><p>Five.</p>") == "One, two.\nThree, four.\nFive."
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>", "old", 7), (1, "u", "<p>é</p>", "old", 7), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
     got = html_extract.extract_pages(pages).collect()
@@ -123,6 +136,14 @@ def test_scripts_narrow_candidates():
     model = langid.WordModel.fit([("the of and", "en"), ("мир и война", "ru"), ("και το", "el")])
     assert model.label("неведомое слово")[0] == "ru" and model.label("άγνωστο")[0] == "el" and model.label("zzz qqq")[0] == "en"
     assert langid.WordModel.fit([("la le", "a")]).label("xx")[:2] == ("a", 1.0)
+
+
+def test_more_languages_than_a_byte_numbers():
+    syllable = lambda i: "bcdfghjklmnpqrstvwxz"[i % 20] + "aeiou"[i // 20 % 5] + "bdgkm"[i // 100 % 5]
+    model = langid.WordModel.fit([(" ".join([syllable(i) * 2] * 20), f"l{i:03}") for i in range(300)])
+    text = " ".join([syllable(3) * 2] * 30 + [syllable(290) * 2] * 40)
+    lang, _, spans = model.label(text)
+    assert lang == "l290" and [s[0] for s in spans] == ["l003", "l290"]
     for text in ("½ ²", "Ⅷ", "٣ 7", "_"):
         assert model.label(text) == ("und", 0.0, [])
     assert model.label("漢字")[1] == 0.0 and langid.WordModel.fit([]) is None
