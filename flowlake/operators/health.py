@@ -109,14 +109,25 @@ def probe_status_counts(probes: DataFrame) -> DataFrame:
 
 
 def node_uptime(h: DataFrame) -> DataFrame:
-    """WIN3: 100 where the check before was healthy or degraded, else 0; and the share over 24 hours."""
-    up = F.col("status").isin("healthy", "degraded")
-    runs = Window.partitionBy("rpc_url").orderBy("checked_at", "latest_block_height")
-    before = F.lag(F.when(up, 100.0).otherwise(0.0)).over(runs)
-    epoch_us = F.unix_micros("checked_at")
-    day = Window.partitionBy("rpc_url").orderBy(epoch_us).rangeBetween(-DAY * 1_000_000, 0)
-    share = F.avg(F.when(up, 100.0).otherwise(0.0)).over(day)
-    return h.select("rpc_url", "checked_at", "status", F.coalesce(before, F.lit(0.0)).alias("uptime"), F.round(share, 6).alias("uptime_24h"))
+    """WIN3: 100 where the check before was healthy or degraded, else 0; and the share over 24 hours.
+
+    Windows hold a node's checks of a day and of the day before, however long its history is. The last
+    state before a gap of a day and more comes from a narrow window over one row for each node and day.
+    """
+    at = F.unix_micros("checked_at")
+    up = F.when(F.col("status").isin("healthy", "degraded"), 100.0).otherwise(0.0)
+    rows = h.select("rpc_url", "checked_at", "status", "latest_block_height", up.alias("up"), at.alias("at"), F.floor(at / (DAY * 1_000_000)).alias("day"))
+    ends = rows.groupBy("rpc_url", "day").agg(F.max_by("up", F.struct("at", "latest_block_height")).alias("up"))
+    carried = F.lag("up").over(Window.partitionBy("rpc_url").orderBy("day"))
+    carried = ends.select(F.col("rpc_url").alias("node"), F.col("day").alias("of"), carried.alias("carried"))
+    seen = lambda day, own: F.struct(day.alias("of"), F.lit(own).alias("own"))
+    both = rows.withColumn("x", F.explode(F.array(seen(F.col("day"), True), seen(F.col("day") + 1, False)))).select("*", "x.*").filter("own OR of IS NOT NULL")
+    near = Window.partitionBy("rpc_url", "of")
+    both = both.withColumns({
+        "before": F.lag("up").over(near.orderBy("at", "latest_block_height")),
+        "share": F.avg("up").over(near.orderBy("at").rangeBetween(-DAY * 1_000_000, 0))})
+    found = both.filter("own").join(carried, F.col("rpc_url").eqNullSafe(F.col("node")) & both["of"].eqNullSafe(carried["of"]), "left")
+    return found.select("rpc_url", "checked_at", "status", F.coalesce("before", "carried", F.lit(0.0)).alias("uptime"), F.round("share", 6).alias("uptime_24h"))
 
 
 def node_list(h: DataFrame, status: str = "all", sort: str = "chain") -> DataFrame:

@@ -25,6 +25,29 @@ def latency_percentiles(packets: DataFrame, approximate: bool = False) -> DataFr
     return grouped.select(*ROUTE, "source_name", "dest_name", *values)
 
 
+#: Size of a quantile sketch: of 1,000, the rank of a quantile is off by at most RANK_ERROR with 99 % confidence.
+SKETCH_SIZE = 1000
+RANK_ERROR = 0.005
+_NAMED = [*ROUTE, "source_name", "dest_name"]
+
+
+def latency_sketches(packets: DataFrame, by: list[str]) -> DataFrame:
+    """AGG25 as stored state: a quantile sketch of each event per route and ``by`` (a day, say). Memory per group is that of the sketches."""
+    return packets.groupBy(*_NAMED, *by).agg(*[F.kll_sketch_agg_double(SECONDS[e], SKETCH_SIZE).alias(e) for e in EVENTS])
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of the same route and ``by`` as one."""
+    return sketches.groupBy(*_NAMED, *by).agg(*[F.kll_merge_agg_double(e, SKETCH_SIZE).alias(e) for e in EVENTS])
+
+
+def percentiles_of(sketches: DataFrame) -> DataFrame:
+    """AGG25 of stored sketches: those of a route are merged, no packet is read. With ``packets``, their number."""
+    merged = merged_sketches(sketches, [])
+    quantiles = [F.kll_sketch_get_quantile_double(F.col(e), F.lit(q)).alias(f"{e}_{s}") for e in EVENTS for s, q in zip(STATS, (0.05, 0.5, 0.95))]
+    return merged.select(*_NAMED, F.kll_sketch_get_n_double(EVENTS[0]).alias("packets"), *quantiles)
+
+
 def with_names(latency: DataFrame, chains: DataFrame) -> DataFrame:
     """Latency rows with the display names of their chains; a chain without one goes by its id."""
     names = chains.select("universal_chain_id", F.nullif("display_name", F.lit("")).alias("name")).dropDuplicates(["universal_chain_id"])

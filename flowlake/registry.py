@@ -16,6 +16,7 @@ from flowlake.plans import documents
 from flowlake.plans.cube import cube
 from flowlake.plans.refresh import read_all_summaries, read_summary, refresh_analytics, refresh_incremental
 from flowlake.sources import cursors, sinks
+from flowlake.sources.segments import Segments
 from flowlake.sources.documents import read_chains, read_latency_docs, read_transfers, transfer_rows
 from flowlake.streaming import ingest
 
@@ -766,6 +767,63 @@ _add("agg23_store_checks", _checks,
      "coalesce(lag(CASE WHEN status <> 'unhealthy' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY rpc_url ORDER BY run), 0) AS uptime FROM rollup_", _PROBES)
 
 
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG25 from stored sketches, in batches by line number, beside the exact ranks of what they give."""
+    base, packets = shared_path(spark, "latency"), fx.packets(spark, sf_dir)
+    store = Segments(spark, base, lambda rows: latency.merged_sketches(rows, ["line"]))
+    for number, part in enumerate((packets.filter("line <= 3"), packets.filter("line > 3"))):
+        store.add(latency.latency_sketches(part, ["line"]), "packets", number)
+    found = latency.percentiles_of(store.read())
+    route = found.select(*latency.ROUTE, "packets", *latency.VALUES)
+    ranked = packets.join(F.broadcast(route), latency.ROUTE)  # a row for each pair of nations
+    off = []
+    for e in latency.EVENTS:
+        for s, q in zip(latency.STATS, (0.05, 0.5, 0.95)):
+            share = lambda c: F.count(F.when(c, 1)) / F.count("*")
+            x, v = F.col(latency.SECONDS[e]), F.col(f"{e}_{s}")
+            off.append((share(x < v) <= q + latency.RANK_ERROR) & (share(x <= v) >= q - latency.RANK_ERROR))
+    within = off[0]
+    for o in off[1:]:
+        within = within & o
+    return ranked.groupBy(*latency.ROUTE, "packets").agg(within.alias("within_rank_error"))
+
+
+_add("agg25_latency_sketches", _sketched, "SELECT source_chain, dest_chain, count(*) AS packets, true AS within_rank_error FROM packets GROUP BY ALL", _PACKETS)
+
+
+def _estimated(t: DataFrame, as_of) -> DataFrame:
+    """AGG4 and AGG7 from stored distinct sketches: estimates that are within four standard deviations of the exact numbers."""
+    store = Segments(t.sparkSession, shared_path(t.sparkSession, "wallets"), wallets.merged_sketches)
+    for number, half in enumerate((t.filter("ingest_seq % 2 = 0"), t.filter("ingest_seq % 2 = 1"))):
+        store.add(wallets.wallet_sketches(half), "facts", number)
+    found = wallets.wallet_stats_of_sketches(store.read(), as_of)
+    floor = F.floor(F.unix_timestamp(F.lit(as_of)) / 300) * 300
+    # windows of whole buckets: [from, to) is the operator's (from, to] moved by a microsecond
+    shifted = t.withColumn("timestamp", F.timestamp_micros(F.unix_micros("timestamp") + 1))
+    exact = wallets.wallet_rate_changes(shifted, F.timestamp_seconds(floor)).select("period", "senders", "receivers")
+    close = lambda a, b: F.abs(F.col(f"f.{a}") - F.col(f"e.{b}")) <= 2 + 0.035 * F.col(f"e.{b}")
+    both = found.alias("f").join(F.broadcast(exact.alias("e")), F.col("f.period") == F.col("e.period"))  # six rows
+    return both.select("f.period", "e.senders", "e.receivers", (close("senders", "senders") & close("receivers", "receivers")).alias("within_error"))
+
+
+_FLOORED = lambda c, p: f"count(DISTINCT {c}) FILTER (timestamp >= time_bucket(INTERVAL 5 MINUTES, as_of) - {_SECONDS[p]} AND timestamp < time_bucket(INTERVAL 5 MINUTES, as_of))"
+_add("agg4_wallet_sketches", _on(RT, _estimated),
+     _union(lambda p: f"SELECT '{p}' AS period, {_FLOORED('sender', p)} AS senders, {_FLOORED('receiver', p)} AS receivers, true AS within_error FROM t"), _RT)
+
+
+def _once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR3: every transfer twice, in shuffled files, through the deduplicating stream."""
+    base, rt = shared_path(spark, "dedup"), RT(spark, sf_dir).select("packet_hash", "timestamp")
+    rt.unionByName(rt).repartition(3, "timestamp").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rt.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    write = ingest.dedup_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    write.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rt.schema).parquet(f"{base}/out")
+
+
+_add("str3_dedup_stream", _once, "SELECT packet_hash, timestamp FROM t", _RT)
+
+
 def _other_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ13 but for its bech32 branch: chains of hexadecimal addresses."""
     evm = fx.chains(spark, sf_dir).filter("rpc_type = 'evm'").select("universal_chain_id")

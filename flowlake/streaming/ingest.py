@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlake import schemas
-from flowlake.files import children, remove
+from flowlake.files import children
 from flowlake.functions.columns import PERIODS, RATE_PERIODS, since
 from flowlake.operators import enrich, latency
 from flowlake.operators.health import health_checks
@@ -19,6 +19,7 @@ from flowlake.plans.refresh import COLUMNS, current, read_all_summaries, refresh
 from flowlake.sources import sinks
 from flowlake.sources.cursors import latest_cursor
 from flowlake.sources.documents import stream_transfer_docs
+from flowlake.sources.segments import Segments
 
 #: Rows come late by the depth of the backfill; a watermark of less would drop them.
 WATERMARK = "31 days"
@@ -177,41 +178,28 @@ def rates_from_partials(partials: DataFrame, as_of: Column) -> DataFrame:
     return wide.unpivot([], RATE_PERIODS, "period", "count")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of the stored windows, oldest first."""
-    found = [c[8:] for c in children(spark, path) if c.startswith("version=")]
-    return sorted(int(v) for v in found if "_SUCCESS" in children(spark, f"{path}/version={v}"))
+def _windows(spark: SparkSession, path: str) -> Segments:
+    last = lambda rows: rows.groupBy("window_start").agg(F.max_by(F.struct("n", "volume", "batch"), "batch").alias("x")).select("window_start", "x.*")
+    return Segments(spark, path, last)
 
 
 def upsert_partials(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: replace the windows of the batch among those stored.
+    """``foreachBatch`` function: store the windows of the batch; of a window the last batch counts.
 
-    Every batch writes the whole table (one row for five minutes) as the version of its id and removes
-    all before the last, which readers may still have open; so the store does not grow with the number
-    of batches. A repeated batch starts from the version before its own. One ``path`` per checkpoint.
+    A batch writes its own windows only, and a repeated batch is passed over. Segments of batches are
+    merged by level, so the store stays as large as its windows. One ``path`` per checkpoint.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        older = [v for v in _versions(spark, path) if v < batch_id]
-        batch = batch.persist()
-        try:
-            merged = batch
-            if older:
-                kept = spark.read.parquet(f"{path}/version={older[-1]}").join(batch.select("window_start"), "window_start", "left_anti")
-                merged = kept.unionByName(batch)
-            merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        finally:
-            batch.unpersist()
-        for v in older[:-1]:
-            remove(spark, f"{path}/version={v}")
+        _windows(batch.sparkSession, path).add(batch.select("window_start", "n", "volume", F.lit(batch_id).cast("long").alias("batch")), "windows", batch_id)
 
     return write
 
 
 def read_partials(spark: SparkSession, path: str) -> DataFrame:
-    """The stored windows, of the newest finished version."""
-    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}").select("window_start", "n", "volume")
+    """The stored windows."""
+    store = _windows(spark, path)
+    return store.merge(store.read()).select("window_start", "n", "volume")
 
 
 def resume_cursor(t: DataFrame) -> str | None:

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import columns as col
@@ -232,3 +233,21 @@ def test_capacity_and_progress(spark):
     t = transfers(spark, (1, {}))
     assert by(ops.capacity_report(t), "scenario")["1_billion"]["size_bytes"] == 800_000_000_000
     assert str(ops.load_progress(t, 3).first()["progress_pct"]) == "33.33"
+
+
+def test_uptime_over_gaps_and_days(spark):
+    """As one window over a node's whole history, also over days without checks, ties and null heights."""
+    from random import Random
+
+    rng, rows = Random(4), []
+    for node in "ab":
+        for d in (1, 2, 3, 7, 8, 20):
+            for _ in range(rng.randrange(1, 12)):
+                rows.append((node, datetime(2024, 1, d, rng.randrange(24), rng.choice([0, 30])), rng.choice(["healthy", "degraded", "unhealthy"]), rng.choice([None, *range(1000)])))
+    h = spark.createDataFrame(rows, "rpc_url string, checked_at timestamp, status string, latest_block_height long").dropDuplicates(["rpc_url", "checked_at", "latest_block_height"])
+    up = F.when(F.col("status") != "unhealthy", 100.0).otherwise(0.0)
+    whole = Window.partitionBy("rpc_url")
+    want = h.select("rpc_url", "checked_at", "status",
+                    F.coalesce(F.lag(up).over(whole.orderBy("checked_at", "latest_block_height")), F.lit(0.0)).alias("uptime"),
+                    F.round(F.avg(up).over(whole.orderBy(F.unix_micros("checked_at")).rangeBetween(-86_400_000_000, 0)), 6).alias("uptime_24h"))
+    assert sorted(map(repr, health.node_uptime(h).collect())) == sorted(map(repr, want.collect()))

@@ -63,15 +63,16 @@ def test_forward_stream(spark, tmp_path):
     assert run() == list(range(20, 300))
 
 
-def test_partials_keep_the_last_two_versions(spark, tmp_path):
+def test_windows_are_stored_by_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "FAN", 3)
     write = ingest.upsert_partials(f"{tmp_path}/p")
     batch = lambda *rows: spark.createDataFrame([(datetime(2024, 1, 1, 0, m), n, float(n)) for m, n in rows], "window_start timestamp, n long, volume double")
     for i in range(5):
         write(batch((0, i + 1), (5 * i + 5, 1)), i)
     write(batch((0, 7), (25, 2)), 4)  # a batch that is repeated
     got = {r["window_start"].minute: r["n"] for r in ingest.read_partials(spark, f"{tmp_path}/p").collect()}
-    assert got == {0: 7, 5: 1, 10: 1, 15: 1, 20: 1, 25: 2}
-    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["version=3", "version=4"]
+    assert got == {0: 5, 5: 1, 10: 1, 15: 1, 20: 1, 25: 1}
+    assert sorted(s["level"] for s in ingest._windows(spark, f"{tmp_path}/p").live()) == [0, 0, 1]
 
 
 def test_stream_dedup(spark, tmp_path):
