@@ -108,11 +108,11 @@ def filter_network(t: DataFrame, networks: list[str]) -> DataFrame:
 
 
 def with_chain_names(t: DataFrame, chains: DataFrame) -> DataFrame:
-    """JN7: names of both ends: display name, else chain id, else the raw id. The dimension is small by nature."""
+    """JN7: names of both ends: display name, else chain id, else the raw id. Spark broadcasts the dimension if its size allows."""
     name = F.coalesce(F.nullif("display_name", F.lit("")), F.nullif("chain_id", F.lit("")), "universal_chain_id")
     named = chains.select(F.col("universal_chain_id").alias("__id"), name.alias("__name")).dropDuplicates(["__id"])
     for side in ("source", "dest"):
-        joined = t.join(F.broadcast(named), F.col(f"{side}_chain") == F.col("__id"), "left")
+        joined = t.join(named, F.col(f"{side}_chain") == F.col("__id"), "left")
         t = joined.withColumn(f"{side}_label", F.coalesce("__name", f"{side}_chain")).drop("__id", "__name")
     return t
 
@@ -174,6 +174,6 @@ def build_address_dim(t: DataFrame, chains: DataFrame) -> DataFrame:
     """
     end = lambda a, c: F.struct(F.col(a).alias("address"), F.col(c).alias("universal_chain_id"))
     ends = t.select(F.explode(F.array(end("sender", "source_chain"), end("receiver", "dest_chain"))).alias("x")).select("x.*").distinct()
-    forms = F.broadcast(chains.select("universal_chain_id", "rpc_type", "addr_prefix").dropDuplicates(["universal_chain_id"]))
+    forms = chains.select("universal_chain_id", "rpc_type", "addr_prefix").dropDuplicates(["universal_chain_id"])
     joined = ends.join(forms, "universal_chain_id", "left")
     return joined.select("address", "universal_chain_id", format_address(F.col("address"), F.col("rpc_type"), F.col("addr_prefix")).alias("formatted"))
