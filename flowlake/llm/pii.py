@@ -10,7 +10,8 @@ Names are found by a title, or by a known given name before a capitalised word.
 given names and a surname, and each part has a stand-in of its own. So "Mr. John Smith", "Dr. JOHN
 SMITH", "John Smith" and "Mr. Smith" stay one person, in every document. Within a document a title,
 wherever it stands, gives a given name its gender, and the surname or given name of a person who was
-named is found alone too.
+named is found alone too, but not before a number or a word like Street. Over the corpus a given name
+has one gender: that of its titles and of the list, or neither where these differ.
 
 One entity has one stand-in in the whole corpus (coreference), and two have different ones
 (distinctness). A stand-in depends on the secret key, the entity and an attempt number only. All
@@ -93,6 +94,8 @@ _TITLED_LOWER = re.compile(rf"(?<!\w)((?:{_TITLES})\.?{_GAP})((?:{_LOWER_GIVEN})
 _CAPITALISED = rf"[{_UPPER}][{_LOWER}'’-]+"
 _PAIR = re.compile(rf"(?<!\w)({_CAPITALISED}(?:{_GAP}{_CAPITALISED})?{_GAP}{_PARTICLE}{_CAPITALISED})(?!\w)")
 _NAME_WORD = re.compile(rf"(?<!\w){_WORD}(?!\w)")
+#: After a word that stands alone, what says that it is a month or a place and not a person.
+_NO_PERSON = re.compile(r"[ \u00a0]+(?:\d|(?:Street|St|Road|Rd|Avenue|Ave|Lane|Square|Drive|Court|Place|Bridge|Park|Hill|Station|Airport|University)\b)")
 #: Plain strings, one of which any text with a title, a setting or a key of the kind has: looked for first, as that is much faster.
 _TITLE_SIGNS = [f"{t}{end}" for t in _GENDERS if len(t) > 1 for end in ". "]
 _LETTER_SIGNS = [f"{t}{end}" for t in [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES] if len(t) == 1 for end in ". "]
@@ -106,7 +109,7 @@ DETECTORS = [
     ("email", re.compile(r"(?<![\w.+-])(\w[\w.+-]*@\w(?:[\w-]*\w)?(?:\.\w(?:[\w-]*\w)?)+)")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
     ("card", re.compile(r"(\d(?<![\d.,]\d)[ -]?(?:\d[ -]?){11,17}\d)(?![\d])")),
-    ("ip", re.compile(r"(\d(?<![\d.]\d)\d{0,2}(?:\.\d{1,3}){3})(?![\d]|\.\d)")),
+    ("ip", re.compile(r"(\d(?<![\dvV.]\d)\d{0,2}(?:\.\d{1,3}){3})(?![\d]|\.\d)")),
     ("ip", re.compile(r"(?<![\w:.])((?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:])")),
     ("ssn", re.compile(r"(\d(?<![\d-]\d)\d\d-\d{2}-\d{4})(?![\d-])")),
     ("phone", re.compile(
@@ -199,7 +202,7 @@ def _names(text: str, lowered: str, free) -> list[tuple[int, int, list[tuple[str
             given = alone_given or i < len(words) - 1
             kinds[text[a:b].casefold()] = "given" if given and kinds.get(text[a:b].casefold()) != "surname" else "surname"
     for m in _NAME_WORD.finditer(text):
-        if m.group().casefold() in kinds and open_(*m.span()):
+        if m.group().casefold() in kinds and open_(*m.span()) and not _NO_PERSON.match(text, m.end()):
             found.append((*m.span(), [m.span()], kinds[m.group().casefold()] == "given"))
 
     def part(a: int, b: int, given: bool) -> tuple[str, int, int]:
@@ -348,13 +351,14 @@ class Surrogates:
             return made.upper() if value.isupper() else made if value.islower() else made.capitalize()
         return made
 
-    def rewrite(self, text: str, parts: list[tuple[str, int, int]], attempts: dict | None = None) -> str:
-        """``text`` with the stand-ins of ``parts`` (type, start, end, in order); ``attempts``: (type, entity) -> attempt other than the first."""
+    def rewrite(self, text: str, parts: list[tuple[str, int, int]], attempts: dict | None = None, known: dict | None = None) -> str:
+        """``text`` with the stand-ins of ``parts`` (type, start, end, in order). ``attempts``: (type, entity) -> attempt other than the first; ``known``: its type in the corpus, where that is another."""
         at, out = 0, []
         for kind, a, b in parts:
             value = text[a:b]
-            attempt = attempts.get((kind, canonical(kind, value)), 0) if attempts else 0
-            out += [text[at:a], self.render(kind, value, attempt)]
+            entity = (kind, canonical(kind, value)) if attempts or known else None
+            attempt = attempts.get(entity, 0) if attempts else 0
+            out += [text[at:a], self.render(known.get(entity, kind) if known else kind, value, attempt)]
             at = b
         return "".join([*out, text[at:]])
 
@@ -389,8 +393,9 @@ def _rewriter(key: str):
         for texts, found, later in batches:
             out = []
             for text, parts, again in zip(texts, found, later):
-                attempts = {(x["type"], x["entity"]): x["attempt"] for x in again} if again is not None and len(again) else None
-                out.append(s.rewrite(text, [(p["type"], p["start"], p["end"]) for p in parts], attempts) if parts is not None and len(parts) else text)
+                again = [] if again is None else again
+                attempts, known = ({(x["type"], x["entity"]): x[what] for x in again} for what in ("attempt", "known"))
+                out.append(s.rewrite(text, [(p["type"], p["start"], p["end"]) for p in parts], attempts, known) if parts is not None and len(parts) else text)
             yield pd.Series(out, dtype="object")
 
     return rewrite
@@ -400,23 +405,41 @@ def _text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")
 
 
+def family(kind: Column) -> Column:
+    """What stand-ins have to differ within: types, but all given names are one family."""
+    return F.when(kind.startswith("given"), "given").otherwise(kind)
+
+
+def known_types(entities: DataFrame) -> DataFrame:
+    """Distinct (type, entity) -> type, entity, known: the type that the entity has in the whole corpus.
+
+    A given name has the gender that titles and lists give it; where documents differ, that of neither.
+    """
+    given = F.col("type").startswith("given")
+    genders = entities.filter(given & (F.col("type") != "given_x")).groupBy("entity").agg(
+        F.min("type").alias("one"), F.max("type").alias("other"))
+    genders = genders.select("entity", F.when(F.col("one") == F.col("other"), F.col("one")).otherwise("given_x").alias("gender"))
+    named = entities.filter(given).join(genders, "entity", "left").select("type", "entity", F.coalesce("gender", "type").alias("known"))
+    return entities.filter(~given).select("type", "entity", F.col("type").alias("known")).unionByName(named)
+
+
 def resolve(entities: DataFrame, key: str) -> DataFrame:
-    """Distinct (type, entity) -> type, entity, attempt, surrogate, all surrogates different and none an entity.
+    """Distinct (type, entity) -> type, entity, attempt, surrogate, all surrogates of a family different and none an entity.
 
     Each round settles what collides with nothing; the rest goes on with the next attempt. Rounds
     end, as stand-ins grow with the attempt and so outnumber whatever there is.
     """
     make = _maker(key)
-    real = entities.select("type", F.col("entity").alias("surrogate"))
+    real = entities.select(family(F.col("type")).alias("family"), F.col("entity").alias("surrogate"))
     settled, open_ = None, entities.withColumn("attempt", F.lit(0))
     while True:
-        tried = materialize(open_.withColumn("surrogate", make("type", "entity", "attempt")), "pii-tried")
+        tried = materialize(open_.withColumn("surrogate", make("type", "entity", "attempt")).withColumn("family", family(F.col("type"))), "pii-tried")
         release(open_)
-        free = tried.join(real, ["type", "surrogate"], "left_anti")
+        free = tried.join(real, ["family", "surrogate"], "left_anti")
         if settled is not None:
-            free = free.join(settled.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
-        won = free.groupBy("type", "surrogate").agg(F.min("entity").alias("entity"), F.min_by("attempt", "entity").alias("attempt"))
-        won = won.select("type", "entity", "attempt", "surrogate")
+            free = free.join(settled.select("family", "surrogate"), ["family", "surrogate"], "left_anti")
+        won = free.groupBy("family", "surrogate").agg(F.min("entity").alias("entity"), F.min_by(F.struct("type", "attempt"), "entity").alias("x"))
+        won = won.select("family", "x.type", "entity", "x.attempt", "surrogate")
         before, settled = settled, materialize(won if settled is None else settled.unionByName(won), "pii-settled")
         if before is not None:
             release(before)
@@ -435,11 +458,13 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         read = materialize(docs.withColumns({"__k1": k1, "__k2": k2, "__found": _entities(F.col(text_col))}), "pii-read")
     seen = read.select("__k1", "__k2", F.explode("__found.parts").alias("x")).select("__k1", "__k2", "x.type", "x.entity").distinct()
     seen = materialize(seen, "pii-seen")
-    resolved = resolve(materialize(seen.select("type", "entity").distinct(), "pii-entities"), key)
-    later = seen.join(resolved.filter("attempt > 0"), ["type", "entity"]).groupBy("__k1", "__k2").agg(
-        F.collect_set(F.struct("type", "entity", "attempt")).alias("__later"))
+    known = materialize(known_types(seen.select("type", "entity").distinct()), "pii-known")
+    resolved = resolve(materialize(known.select(F.col("known").alias("type"), "entity").distinct(), "pii-entities"), key)
+    others = known.join(resolved.select(F.col("type").alias("known"), "entity", "attempt"), ["known", "entity"]).filter("attempt > 0 OR known != type")
+    later = seen.join(others, ["type", "entity"]).groupBy("__k1", "__k2").agg(
+        F.collect_set(F.struct("type", "entity", "known", "attempt")).alias("__later"))
     later = materialize(later, "pii-later")
-    release(seen, resolved)
+    release(seen, known, resolved)
     out = read.join(broadcast_if_small(later, 100_000), ["__k1", "__k2"], "left")
     new = _rewriter(key)(F.col(text_col), F.col("__found.parts"), F.col("__later"))
     out = out.withColumns({text_col: new, "n_entities": F.size("__found.types").cast("long"), "entity_types": F.col("__found.types")})

@@ -116,6 +116,25 @@ def test_distinct_and_coreferent(spark):
         assert r["text"] == f"Here {want[0]} met {want[1]}, and {want[0]} left." and r["n_entities"] == 3
 
 
+def test_one_stand_in_under_titles_of_two_genders(spark):
+    """A given name has one stand-in in the corpus, whatever its documents make of it; of the list's gender, or of neither."""
+    docs = [(1, "Here Dr. Alex Smith spoke."), (2, "Here Ms. Alex Smith spoke."), (3, "Here Mr. Alex Smith spoke."), (4, "Mr. Kim Wagner left."), (5, "Dr. Kim Wagner left."), (6, "Ms. Kim Smith left.")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    names = {i: re.search(r"(?:Dr|Ms|Mr)\. (\w+) (\w+)", t).groups() for i, t in got.items()}
+    assert names[1] == names[2] == names[3] and names[4] == names[5] and names[6] == (names[4][0], names[1][1])
+    assert len({*names[1], *names[4]} | {"Alex", "Kim", "Smith", "Wagner"}) == 8
+    known = {(r["type"], r["entity"]): r["known"] for r in pii.known_types(spark.createDataFrame(
+        [("given_m", "a"), ("given_x", "a"), ("given_f", "b"), ("given_m", "b"), ("given_x", "c"), ("surname", "a")], "type string, entity string")).collect()}
+    assert known == {("given_m", "a"): "given_m", ("given_x", "a"): "given_m", ("given_f", "b"): "given_x", ("given_m", "b"): "given_x", ("given_x", "c"): "given_x", ("surname", "a"): "surname"}
+
+
+@pytest.mark.parametrize("clean", ["In May 2020 it rained.", "It is in Baker Street now.", "See v1.2.3.4 of it."])
+def test_clean_words_stay(clean):
+    text = "Mr. May and Mrs. Baker left. "
+    found = [text[a:b] for a, b, _ in pii.detect(text + clean) if a < len(text)]
+    assert len(found) == 2 and len(pii.detect(text + clean)) == 2
+
+
 def test_short_formats_do_not_run_out(spark):
     """Every address of the form a@b.io is taken: stand-ins grow until they are free."""
     letters = "abcdefghijklmnopqrstuvwxyz"
