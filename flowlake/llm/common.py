@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ def text_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
+def give_back() -> None:
+    """In a Python worker: return the memory of finished batches to the system. Workers live on idle, beside tasks that need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # other C libraries
+        pass
+
+
 def release(*written: DataFrame) -> None:
     """Delete the files of tables of ``materialize`` that have served; other frames are left alone."""
     for df in written:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import materialize
+from flowlake.llm.common import give_back, materialize
 
 #: Labelled texts of each language that are learned from, at most.
 MAX_TRAIN_ROWS = 500
@@ -280,6 +280,8 @@ def labeller(spark: SparkSession, model: WordModel | None):
                     "spans": [[{"lang": x, "start": a, "end": b} for x, a, b in f[2]] for f in found],
                 }
             )
+            del texts, found
+        give_back()
 
     return label
 

@@ -29,6 +29,7 @@ Defined results for odd input
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import broadcast_if_small, materialize, release, text_batches
+from flowlake.llm.common import broadcast_if_small, give_back, materialize, release, text_batches
 from flowlake.llm.graph import connected_components
 from flowlake.llm.simhash import HASH_SEED, keep_one, shingle_hashes, text_hash
 
@@ -50,7 +51,7 @@ POSITIONS = 64
 DIRECTIONS = 64
 #: Posting keys per text, those of them that groups are settled by first, and positions per key. 28 bits a key: for over some ten million texts take more.
 KEYS = 256
-FIRST_KEYS = 96
+FIRST_KEYS = 64
 KEY_BYTES = 4
 #: Lists that a pair has to meet in, and positions that it has to share.
 MIN_LISTS = 2
@@ -100,13 +101,15 @@ def _printer(k: int, similarity: float):
     few = similarity / (1 - similarity) - 1e-9 if similarity < 1 else float("inf")
 
     @F.pandas_udf(_PRINT)
-    def printed(texts: pd.Series) -> pd.DataFrame:
-        nodes, prints = [], []
-        for at in range(0, len(texts), 128):
-            sets = [shingle_set(t, k) for t in texts.iloc[at : at + 128]]
-            nodes += [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets]
-            prints += [row.tobytes() if len(s) >= few else None for s, row in zip(sets, positional_bytes(sets))]
-        return pd.DataFrame({"node": nodes, "fp": prints})
+    def printed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            nodes, prints = [], []
+            for at in range(0, len(texts), 128):
+                sets = [shingle_set(t, k) for t in texts.iloc[at : at + 128]]
+                nodes += [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets]
+                prints += [row.tobytes() if len(s) >= few else None for s, row in zip(sets, positional_bytes(sets))]
+            yield pd.DataFrame({"node": nodes, "fp": prints})
+        give_back()
 
     return printed
 
