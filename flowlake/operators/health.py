@@ -84,10 +84,17 @@ def probe_rollup(probes: DataFrame) -> DataFrame:
     )
 
 
-def health_checks(probes: DataFrame, chains: DataFrame, stored: DataFrame) -> DataFrame:
+def last_states(checks: DataFrame) -> DataFrame:
+    """rpc_url, checked_at, status of the newest check of each node."""
+    return checks.groupBy("rpc_url").agg(F.max("checked_at").alias("checked_at"), F.max_by("status", "checked_at").alias("status"))
+
+
+def health_checks(probes: DataFrame, chains: DataFrame, stored: DataFrame, last: DataFrame) -> DataFrame:
     """Rows of the node-health table from probes: AGG23 with names, and the uptime of WIN3 going on from what is ``stored``.
 
-    Of the stored checks only those of the day before the probes' first run are looked at.
+    Of the stored checks only those from a day before the probes' first run on are looked at; a longer gap
+    is bridged by ``last``, the newest state of each node. (A late check that lies in such a gap itself has
+    no state before it.)
     """
     first = F.broadcast(probes.agg((F.min("run") - F.expr("INTERVAL 1 DAY")).alias("since")))  # one row
     names = chains.select("universal_chain_id", F.coalesce(F.nullif("display_name", F.lit("")), "universal_chain_id").alias("chain_name"), F.col("rpc_type")).dropDuplicates(["universal_chain_id"])
@@ -97,6 +104,8 @@ def health_checks(probes: DataFrame, chains: DataFrame, stored: DataFrame) -> Da
     found = found.join(names, found["chain_id"] == names["universal_chain_id"], "left").drop("universal_chain_id")
     found = found.withColumn("chain_name", F.coalesce("chain_name", "chain_id"))
     before = stored.join(first, F.col("checked_at") >= F.col("since"), "left_semi").select("rpc_url", "status", "checked_at", F.lit(False).alias("new"))
+    older = last.join(first, F.col("checked_at") < F.col("since"), "left_semi").select("rpc_url", "status", "checked_at", F.lit(False).alias("new"))
+    before = before.unionByName(older)
     both = found.unionByName(before, allowMissingColumns=True)
     up = F.when(F.col("status").isin("healthy", "degraded"), 100.0).otherwise(0.0)
     last = F.lag(up).over(Window.partitionBy("rpc_url").orderBy("checked_at", F.desc("new")))

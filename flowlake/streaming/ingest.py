@@ -13,7 +13,7 @@ from flowlake import schemas
 from flowlake.files import children
 from flowlake.functions.columns import PERIODS, RATE_PERIODS, since
 from flowlake.operators import enrich, latency
-from flowlake.operators.health import health_checks
+from flowlake.operators.health import health_checks, last_states
 from flowlake.plans.documents import dashboard
 from flowlake.plans.refresh import COLUMNS, current, read_all_summaries, refresh_incremental
 from flowlake.sources import sinks
@@ -138,14 +138,21 @@ def store_latency(path: str, chains: DataFrame) -> Callable[[DataFrame, int], No
 def store_probes(path: str, chains: DataFrame) -> Callable[[DataFrame, int], None]:
     """AGG23 into SNK7: a ``foreachBatch`` function that rolls probes up and stores the checks of nodes with their uptime.
 
-    A run's probes come in one batch. Uptime follows the check before, which is looked up among those
-    that are stored.
+    A run's probes come in one batch. Uptime follows the check before, which is looked up among the
+    stored ones of the last day and, beyond that, in the newest states under ``path``/health_states.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        checks = health_checks(batch, chains, _stored(spark, f"{path}/health", schemas.NODE_HEALTH))
-        sinks.store_snapshot(spark, path, checks.select(*_columns(schemas.NODE_HEALTH)), "health")
+        states = Segments(spark, f"{path}/health_states", last_states)
+        known = states.read()
+        last = spark.createDataFrame([], "rpc_url string, checked_at timestamp, status string") if known is None else last_states(known)
+        checks = health_checks(batch, chains, _stored(spark, f"{path}/health", schemas.NODE_HEALTH), last).persist()
+        try:
+            if sinks.store_snapshot(spark, path, checks.select(*_columns(schemas.NODE_HEALTH)), "health"):
+                states.add(last_states(checks))
+        finally:
+            checks.unpersist()
 
     return write
 
