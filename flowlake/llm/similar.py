@@ -259,6 +259,7 @@ def drop_similar(
     classes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp")), "similar-classes")
     rows = rows.drop("fp")
     verify = _Verifier(docs, rows, classes, text_col, shingle_words, min_shared, similarity)
-    found = _components(classes.filter("fp IS NOT NULL"), verify, key_positions(keys, key_bytes), first_keys)
+    with text_batches(docs.sparkSession):  # a row's keys are as large as a text
+        found = _components(classes.filter("fp IS NOT NULL"), verify, key_positions(keys, key_bytes), first_keys)
     release(classes)
     return keep_one(docs, rows.join(found, "node", "left").select("id", "text_key", F.coalesce("component", "node").alias("component")), id_col, text_col)
