@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.functions.columns import DAY, HOUR, PERIODS, RATE_PERIODS, ago, asset_key, instant
+from flowlake.functions.columns import HOUR, PERIODS, RATE_PERIODS, ago, asset_key, instant
 from flowlake.operators import assets, flows, routes, wallets
 from flowlake.sources.segments import Segments
 
