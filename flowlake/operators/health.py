@@ -120,23 +120,30 @@ def probe_status_counts(probes: DataFrame) -> DataFrame:
 def node_uptime(h: DataFrame) -> DataFrame:
     """WIN3: 100 where the check before was healthy or degraded, else 0; and the share over 24 hours.
 
-    Windows hold a node's checks of a day and of the day before, however long its history is. The last
-    state before a gap of a day and more comes from a narrow window over one row for each node and day.
+    A check is counted from its instant on and taken off a day later, so the share is a running count and
+    costs the same for each row, however many checks a day has. Running counts are kept within an hour of
+    a node; what came before the hour is carried on by a narrow window over one row for each node and hour.
     """
-    at = F.unix_micros("checked_at")
-    up = F.when(F.col("status").isin("healthy", "degraded"), 100.0).otherwise(0.0)
-    rows = h.select("rpc_url", "checked_at", "status", "latest_block_height", up.alias("up"), at.alias("at"), F.floor(at / (DAY * 1_000_000)).alias("day"))
-    ends = rows.groupBy("rpc_url", "day").agg(F.max_by("up", F.struct("at", "latest_block_height")).alias("up"))
-    carried = F.lag("up").over(Window.partitionBy("rpc_url").orderBy("day"))
-    carried = ends.select(F.col("rpc_url").alias("node"), F.col("day").alias("of"), carried.alias("carried"))
-    seen = lambda day, own: F.struct(day.alias("of"), F.lit(own).alias("own"))
-    both = rows.withColumn("x", F.explode(F.array(seen(F.col("day"), True), seen(F.col("day") + 1, False)))).select("*", "x.*").filter("own OR of IS NOT NULL")
-    near = Window.partitionBy("rpc_url", "of")
-    both = both.withColumns({
-        "before": F.lag("up").over(near.orderBy("at", "latest_block_height")),
-        "share": F.avg("up").over(near.orderBy("at").rangeBetween(-DAY * 1_000_000, 0))})
-    found = both.filter("own").join(carried, F.col("rpc_url").eqNullSafe(F.col("node")) & both["of"].eqNullSafe(carried["of"]), "left")
-    return found.select("rpc_url", "checked_at", "status", F.coalesce("before", "carried", F.lit(0.0)).alias("uptime"), F.round("share", 6).alias("uptime_24h"))
+    up = F.when(F.col("status").isin("healthy", "degraded"), 1).otherwise(0)
+    rows = h.select("rpc_url", "status", "latest_block_height", up.alias("up"), F.unix_micros("checked_at").alias("at"))
+    mark = lambda at, sign: F.struct(at.alias("mark"), F.lit(sign).alias("sign"))
+    marks = rows.select("*", F.inline(F.array(mark(F.col("at"), 1), mark(F.col("at") + DAY * 1_000_000 + 1, -1)))).drop("at").filter("sign > 0 OR mark IS NOT NULL")
+    marks = marks.withColumns({
+        "slot": F.floor(F.col("mark") / (HOUR * 1_000_000)), "signed": F.col("sign") * F.col("up"), "own": F.when(F.col("sign") > 0, F.col("up"))})
+    slots = marks.groupBy("rpc_url", "slot").agg(
+        F.sum("sign").alias("n"), F.sum("signed").alias("ups"), F.max_by("up", F.when(F.col("sign") > 0, F.struct("mark", "latest_block_height"))).alias("own"))
+    past = Window.partitionBy("rpc_url").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    timed = lambda c: F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col(c))).over(past), F.lit(0))  # noqa: E731  checks without an instant are in no day
+    carried = slots.select(
+        F.col("rpc_url").alias("node"), F.col("slot").alias("of"), timed("n").alias("n0"), timed("ups").alias("ups0"), F.last("own", ignorenulls=True).over(past).alias("own0"))
+    near = Window.partitionBy("rpc_url", "slot")
+    upto = near.orderBy("mark").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("own", ignorenulls=True).over(near.orderBy("mark", "latest_block_height").rowsBetween(Window.unboundedPreceding, -1))
+    found = marks.withColumns({"before": last, "n": F.sum("sign").over(upto), "ups": F.sum("signed").over(upto)}).filter("sign > 0")
+    found = found.join(carried, F.col("rpc_url").eqNullSafe(F.col("node")) & F.col("slot").eqNullSafe(F.col("of")), "left")
+    return found.select(
+        "rpc_url", F.timestamp_micros("mark").alias("checked_at"), "status", F.coalesce(F.coalesce("before", "own0") * 100.0, F.lit(0.0)).alias("uptime"),
+        F.round((F.col("ups") + F.col("ups0")) * 100.0 / (F.col("n") + F.col("n0")), 6).alias("uptime_24h"))
 
 
 def node_list(h: DataFrame, status: str = "all", sort: str = "chain") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -251,3 +252,20 @@ def test_uptime_over_gaps_and_days(spark):
                     F.coalesce(F.lag(up).over(whole.orderBy("checked_at", "latest_block_height")), F.lit(0.0)).alias("uptime"),
                     F.round(F.avg(up).over(whole.orderBy(F.unix_micros("checked_at")).rangeBetween(-86_400_000_000, 0)), 6).alias("uptime_24h"))
     assert sorted(map(repr, health.node_uptime(h).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_uptime_costs_the_same_for_each_check_of_a_day(spark):
+    """Shares are running counts: no frame slides over a day's checks. Checks of a day less, exactly and more than a day ago, and without instant or node."""
+    first, us = datetime(2024, 1, 1, 5), timedelta(microseconds=1)
+    ats = [first, first, first + timedelta(days=1) - us, first + timedelta(days=1), first + timedelta(days=1) + us, first + timedelta(days=2, hours=3), None, None]
+    rows = [(node, at, s, i) for node in ("a", "b", None) for i, (at, s) in enumerate(zip(ats, ["healthy", "unhealthy", "degraded", "healthy", "unhealthy", "healthy", "healthy", "unhealthy"]))]
+    h = spark.createDataFrame(rows, "rpc_url string, checked_at timestamp, status string, latest_block_height long")
+    found = health.node_uptime(h)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+)\)", plan)
+    assert frames and {lower for _, lower, _ in frames} == {"unboundedpreceding$()"}
+    got = [(r["uptime"], r["uptime_24h"]) for r in found.filter("rpc_url = 'a' AND checked_at IS NOT NULL").orderBy("checked_at", "uptime").collect()]
+    assert got == [(0.0, 50.0), (100.0, 50.0), (0.0, 66.666667), (100.0, 75.0), (100.0, 66.666667), (0.0, 100.0)]
+    for node in ("rpc_url = 'a'", "rpc_url IS NULL"):
+        assert [r["uptime_24h"] for r in found.filter(f"{node} AND checked_at IS NULL").collect()] == [50.0, 50.0]
+    assert found.count() == len(rows)
