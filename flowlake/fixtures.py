@@ -16,32 +16,33 @@ def _text(column: str, prefix: str = "") -> F.Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def _shipments(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """Line items (by default all) with the nation of their supplier and of their customer."""
+def _shipments(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Line items with the nation of their supplier and of their customer, whom the fewer orders find first."""
     t = lambda name: read(spark, sf_dir, name)
     ns = t("nation").select(F.col("n_nationkey").alias("ns_key"), F.col("n_name").alias("ns_name"))
     nc = t("nation").select(F.col("n_nationkey").alias("nc_key"), F.col("n_name").alias("nc_name"))
+    orders = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return (
-        (t("lineitem") if lines is None else lines)
-        .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(ns, F.col("s_nationkey") == F.col("ns_key"))
         .join(nc, F.col("c_nationkey") == F.col("nc_key"))
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items ranked among those of one key: narrow rows, before any join."""
+def _lines(lines: DataFrame) -> DataFrame:
+    """Line items ranked among those of one key. They are dealt by order, as their join with orders asks for."""
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
         "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
     )
-    return read(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(order))
+    return lines.repartition("l_orderkey").withColumn("rn", F.row_number().over(order))
 
 
-def _as_transfers(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    rows = _shipments(spark, sf_dir, lines).join(part, F.col("l_partkey") == F.col("p_partkey"))
+def _with_parts(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    return lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _as_transfers(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("packet_hash"),
         F.col("l_shipdate").cast("timestamp").alias("timestamp"),
@@ -59,12 +60,18 @@ def _as_transfers(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFra
 
 
 def transfers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transfers of day granularity, with repeated packet hashes; ``rn`` = 1 marks the row that an append keeps."""
-    return _as_transfers(spark, sf_dir, _lines(spark, sf_dir))
+    """Transfers of day granularity, with repeated packet hashes; ``rn`` = 1 marks the row that an append keeps.
+
+    Parts are joined while rows are narrow, and orders last, so the rows of a packet come out of one task.
+    """
+    lines = _with_parts(spark, sf_dir, read(spark, sf_dir, "lineitem"))
+    return _as_transfers(_shipments(spark, sf_dir, _lines(lines)))
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_transfers(spark, sf_dir, _lines(spark, sf_dir).filter("rn = 1")).drop("rn")
+    """The transfers of first rank, which are ranked as narrow rows before any join."""
+    lines = _lines(read(spark, sf_dir, "lineitem")).filter("rn = 1")
+    return _as_transfers(_with_parts(spark, sf_dir, _shipments(spark, sf_dir, lines))).drop("rn")
 
 
 def transfers_rt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +135,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shipments(spark, sf_dir).select(
+    return _shipments(spark, sf_dir, read(spark, sf_dir, "lineitem")).select(
         _text("ns_key", "nation-").alias("source_chain"),
         _text("nc_key", "nation-").alias("dest_chain"),
         F.col("ns_name").alias("source_name"),

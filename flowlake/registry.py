@@ -442,8 +442,10 @@ _add("src9_needs_backfill", lambda spark, sf_dir: cursors.needs_backfill(RT(spar
 
 
 def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The un-deduplicated rows appended to the even orders already stored."""
-    raw = fx.transfers_raw(spark, sf_dir)
+    """The un-deduplicated rows, written once as they arrive, appended to the even orders already stored."""
+    path = shared_path(spark, "arrived")
+    fx.transfers_raw(spark, sf_dir).write.parquet(path)
+    raw = spark.read.parquet(path)
     stored = raw.filter("rn = 1").filter(F.split_part("packet_hash", F.lit("-"), F.lit(1)).cast("long") % 2 == 0)
     return sinks.append_transfers(stored, raw, [F.col("rn")]).drop("rn")
 

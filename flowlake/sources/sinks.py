@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,12 +14,13 @@ from flowlake.sources.segments import KeyStore
 def new_rows(keys: DataFrame, batch: DataFrame, key_columns: list[str], order: list | None = None) -> DataFrame:
     """Rows of ``batch`` whose key is new: one per key (the first by ``order``), none that ``keys`` has.
 
-    ``keys`` holds the key columns only, so the fact table itself is never read for an append.
+    ``keys`` holds the key columns only, so the fact table itself is never read for an append. Keys and
+    batch are dealt by key together, once; a stored key comes before the rows of the batch.
     """
-    rank = F.row_number().over(Window.partitionBy(*key_columns).orderBy(*(order or [F.col(c) for c in sorted(batch.columns)])))
-    once = batch.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-    same = reduce(lambda a, b: a & b, [once[k].eqNullSafe(keys[k]) for k in key_columns])
-    return once.join(keys.select(*key_columns), same, "left_anti")
+    rows = batch.withColumn("__stored", F.lit(False)).unionByName(keys.select(*key_columns).withColumn("__stored", F.lit(True)), allowMissingColumns=True)
+    within = Window.partitionBy(*key_columns).orderBy(F.desc("__stored"), *(order or [F.col(c) for c in sorted(batch.columns)]))
+    # not by row_number: rows would also be sorted before they are dealt, and spilled
+    return rows.withColumn("__before", F.lag("__stored").over(within)).filter("__before IS NULL AND NOT __stored").drop("__stored", "__before")
 
 
 def append_transfers(existing: DataFrame, batch: DataFrame, order: list | None = None) -> DataFrame:

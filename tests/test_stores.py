@@ -117,3 +117,20 @@ def test_snapshots_are_unique_by_key_at_rest(spark, tmp_path):
     assert [(r["rpc_url"], r["checked_at"], r["status"]) for r in got] == [
         ("a", at(1, 0), "healthy"), ("a", at(1, 5), "degraded"), ("a", at(2, 0), "healthy"), ("b", at(1, 0), "healthy")]
     assert {f for f in (tmp_path / "health" / "date=2024-01-02").iterdir()} == before  # other dates are not written
+
+
+def test_an_append_deals_its_rows_once(spark):
+    """Keys and batch are shuffled together by key; null keys, repeated rows and repeated stored keys."""
+    keys = spark.createDataFrame([("p1",), ("p1",), (None,)], "packet_hash string")
+    batch = spark.createDataFrame([("p1", 1), (None, 2), ("p2", 4), ("p2", 3), ("p3", 5), ("p3", 5)], "packet_hash string, other long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        fresh = sinks.new_rows(keys, batch, ["packet_hash"])
+        assert fresh.columns == batch.columns
+        assert sorted(map(tuple, fresh.collect())) == [("p2", 3), ("p3", 5)]
+        plan = fresh._jdf.queryExecution().sparkPlan().toString(), fresh._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan[0] and plan[1].split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+        assert sorted(map(tuple, sinks.new_rows(keys.filter("packet_hash = 'p1'"), batch, ["packet_hash"], [F.desc("other")]).collect()), key=str) == [("p2", 4), ("p3", 5), (None, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
