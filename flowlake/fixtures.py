@@ -198,8 +198,9 @@ def transfer_docs(spark: SparkSession, sf_dir: str, per_response: int = 50) -> D
         F.lpad(F.col("event_id").cast("string"), 20, "0").alias("sort_order"), _text("event_id", "pkt-").alias("packet_hash"),
         F.lit("wrap").alias("wrap_direction"),
         F.struct(wrapping.alias("wrapping")).alias("quote_token_meta"), F.struct(wrapping.alias("wrapping")).alias("base_token_meta"))
-    response = F.floor(F.col("event_id") / per_response)
-    grouped = e.groupBy(response.alias("n")).agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("t")))).alias("rows"))
+    # events are dealt as they are: their items are some ten times as wide, and made where a response's events have met
+    dealt = e.withColumn("n", F.floor(F.col("event_id") / per_response)).repartition("n")
+    grouped = dealt.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("t")))).alias("rows"))
     errors = F.when(F.col("n") % 10 == 9, F.array(F.struct(F.lit("timeout").alias("message"))))
     return grouped.select(F.struct(F.transform("rows", lambda r: r["t"]).alias("v2_transfers")).alias("data"), errors.alias("errors"))
 

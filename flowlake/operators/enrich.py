@@ -19,8 +19,9 @@ def _wrappings(meta: str) -> Column:
 
 
 def to_transfer_model(raw: DataFrame) -> DataFrame:
-    """PRJ1-2: raw documents as flat columns with both wrapping arrays; the canonical symbol is the base symbol."""
+    """PRJ1-2: raw documents as flat columns with both wrapping arrays, where they were read; the canonical symbol is the base symbol."""
     chain = ["universal_chain_id", "chain_id", "display_name", "testnet", "rpc_type", "addr_prefix"]
+    wrappings = [_wrappings(f"{t}_token_meta").alias(f"{t}_wrapping") for t in ("quote", "base") if f"{t}_token_meta" in raw.columns]
     ends = [F.col(f"{d}_chain.{c}").alias(f"{s}_{c}") for s, d in (("source", "source"), ("dest", "destination")) for c in chain]
     return raw.select(
         "packet_hash", "sort_order", *ends,
@@ -29,7 +30,7 @@ def to_transfer_model(raw: DataFrame) -> DataFrame:
         F.col("transfer_send_transaction_hash").alias("tx_hash"),
         "base_token", "base_amount", F.col("base_token_symbol").alias("token_symbol"),
         F.col("base_token_symbol").alias("canonical_token_symbol"), "base_token_decimals", "wrap_direction",
-        _wrappings("quote_token_meta").alias("quote_wrapping"), _wrappings("base_token_meta").alias("base_wrapping"),
+        *wrappings,
     )
 
 

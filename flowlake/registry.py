@@ -521,7 +521,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = shared_path(spark, "ingest")
     fx.transfer_docs(spark, sf_dir).repartition(4).write.option("ignoreNullFields", "true").json(f"{base}/in")
     for run in ("first", "again"):
-        stream = ingest.ingest_stream(spark, f"{base}/in", max_files=2)
+        stream = ingest.ingest_stream(spark, f"{base}/in", max_files=2, wrappings=False)
         ingest.start_ingest(stream, f"{base}/store", f"{base}/messages-{run}", f"{base}/checkpoint-{run}").awaitTermination()
     facts = spark.read.parquet(f"{base}/store/facts")
     return facts.drop("created_at", "date").withColumn("amount", F.col("amount").cast("decimal(28,2)"))

@@ -26,14 +26,17 @@ _META = (
     "struct<wrapping: array<struct<index: int, unwrapped_chain: struct<universal_chain_id: string>, unwrapped_address_hex: string, "
     "wrapped_chain: struct<universal_chain_id: string>>>>"
 )
-RAW_TRANSFER = (
-    f"struct<source_chain: {_CHAIN}, destination_chain: {_CHAIN}, sender_canonical: string, sender_display: string, "
+_TRANSFER = (
+    f"source_chain: {_CHAIN}, destination_chain: {_CHAIN}, sender_canonical: string, sender_display: string, "
     "receiver_canonical: string, receiver_display: string, transfer_send_timestamp: string, transfer_send_transaction_hash: string, "
     "base_token: string, base_amount: string, base_token_symbol: string, base_token_decimals: int, sort_order: string, "
-    f"packet_hash: string, wrap_direction: string, quote_token_meta: {_META}, base_token_meta: {_META}>"
+    "packet_hash: string, wrap_direction: string"
 )
+RAW_TRANSFER = f"struct<{_TRANSFER}, quote_token_meta: {_META}, base_token_meta: {_META}>"
 _ERRORS = "errors array<struct<message: string>>"
 TRANSFER_DOCS = (f"data struct<v2_transfers: array<{RAW_TRANSFER}>>, {_ERRORS}")
+#: The same without the tokens' wrappings, a third of a response, which neither facts nor messages have.
+UNWRAPPED_DOCS = f"data struct<v2_transfers: array<struct<{_TRANSFER}>>>, {_ERRORS}"
 CHAIN_DOCS = (
     "data struct<v2_chains: array<struct<universal_chain_id: string, chain_id: string, display_name: string, testnet: boolean, "
     f"rpc_type: string, addr_prefix: string, rpcs: array<struct<url: string>>>>>, {_ERRORS}"

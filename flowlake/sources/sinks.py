@@ -33,16 +33,17 @@ def append_snapshot(existing: DataFrame, batch: DataFrame, keys: list[str]) -> D
     return existing.unionByName(new_rows(existing.select(*keys), batch, keys))
 
 
-def store_transfers(spark: SparkSession, path: str, batch: DataFrame) -> int:
+def store_transfers(spark: SparkSession, path: str, batch: DataFrame, held: bool = False) -> int:
     """SNK1 at rest: append what is new to ``path``/facts (by date, in the order of the sort key) and its keys to ``path``/keys.
 
     The key store opens only what the batch's keys may be in. A marker with the dates of a batch stands
     while it is being written. Where a batch finds the marker of a failed one, it also takes the keys
-    of the facts of those dates into account, so nothing is appended twice.
+    of the facts of those dates into account, so nothing is appended twice. The batch is persisted
+    meanwhile, unless the caller says that what it is read from is ``held`` already.
     """
     facts, marker, key = f"{path}/facts", f"{path}/_pending", ["packet_hash"]
     keys = KeyStore(spark, f"{path}/keys", key)
-    batch = batch.persist()
+    batch = batch if held else batch.persist()
     try:
         known = keys.known(batch)
         lost = _lost_keys(spark, facts, marker)
@@ -62,7 +63,8 @@ def store_transfers(spark: SparkSession, path: str, batch: DataFrame) -> int:
         finally:
             fresh.unpersist()
     finally:
-        batch.unpersist()
+        if not held:
+            batch.unpersist()
     remove(spark, marker)
     return n
 

@@ -24,11 +24,14 @@ from flowlake.sources.segments import Segments
 #: Rows come late by the depth of the backfill; a watermark of less would drop them.
 WATERMARK = "31 days"
 BUCKET_SECONDS = PERIODS["5m"]
+#: Columns of enriched rows that neither facts nor messages have.
+NOT_FANNED_OUT = ["quote_wrapping", "base_wrapping", "base_token", "base_amount", "base_token_decimals", "wrap_direction", "tx_hash", "amount_overflow"]
 
 
-def ingest_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """STR1: enriched transfer rows of the responses that arrive in ``path``."""
-    rows = enrich.to_transfer_model(stream_transfer_docs(spark, path, max_files))
+def ingest_stream(spark: SparkSession, path: str, max_files: int | None = None, wrappings: bool = True) -> DataFrame:
+    """STR1: enriched transfer rows of the responses that arrive in ``path``; ``wrappings`` of tokens can be left out."""
+    docs = stream_transfer_docs(spark, path, max_files, schemas.TRANSFER_DOCS if wrappings else schemas.UNWRAPPED_DOCS)
+    rows = enrich.to_transfer_model(docs)
     return enrich.enrich_transfers(enrich.scale_amount(rows))
 
 
@@ -46,7 +49,7 @@ def fan_out(store: str, messages: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            sinks.store_transfers(batch.sparkSession, store, enrich.to_fact_rows(batch))
+            sinks.store_transfers(batch.sparkSession, store, enrich.to_fact_rows(batch), held=True)
             message_stream(batch).write.mode("overwrite").text(f"{messages}/batch={batch_id}")
         finally:
             batch.unpersist()
@@ -62,7 +65,7 @@ def store_only(store: str) -> Callable[[DataFrame, int], None]:
 def start_ingest(stream: DataFrame, store: str, messages: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """STR1-3: run the fan-out every ``interval``, or once over all that is there."""
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return stream.writeStream.foreachBatch(fan_out(store, messages)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return stream.drop(*NOT_FANNED_OUT).writeStream.foreachBatch(fan_out(store, messages)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def dedup_stream(stream: DataFrame, horizon: str = WATERMARK) -> DataFrame:

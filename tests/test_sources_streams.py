@@ -241,3 +241,39 @@ def test_dashboard_is_one_row(spark):
     t, h = fx.transfers_rt(spark, SF), fx.node_health(spark, SF)
     doc = documents.dashboard(t, fx.latency_data(spark, SF), h, fx.latest(t)).select(F.to_json("doc")).collect()
     assert len(doc) == 1 and {"transferRates", "nodeHealth", "chainFlows", "latency"} <= set(json.loads(doc[0][0]))
+
+
+def test_responses_are_made_after_their_events_were_dealt(spark):
+    """Events are shuffled as narrow rows, once: nothing is grouped, and no item is made, before the exchange."""
+    plan = fx.transfer_docs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    before = plan[plan.index("Exchange") :]
+    assert "Aggregate" not in before and "pkt-" not in before
+
+
+def test_fan_out_skips_what_it_does_not_write(spark, tmp_path, monkeypatch):
+    """The wrappings of tokens are neither parsed nor held; all other columns are those of the whole rows."""
+    fx.transfer_docs(spark, SF).write.option("ignoreNullFields", "true").json(f"{tmp_path}/in")
+    seen = {}
+
+    def recorder(store, messages):
+        return lambda batch, _: seen.update({store: (batch.columns, sorted(batch.collect()))})
+
+    monkeypatch.setattr(ingest, "fan_out", recorder)
+    for wrappings in (True, False):
+        stream = ingest.ingest_stream(spark, f"{tmp_path}/in", wrappings=wrappings)
+        assert ("quote_wrapping" in stream.columns) == wrappings
+        ingest.start_ingest(stream, str(wrappings), "", f"{tmp_path}/checkpoint-{wrappings}").awaitTermination()
+    assert seen["True"] == seen["False"] and seen["True"][1]
+    assert not set(seen["True"][0]) & {"quote_wrapping", "base_wrapping", "base_amount"}
+
+
+def test_stored_batch_is_held_once(spark, tmp_path, monkeypatch):
+    """The fan-out holds its batch; the store does not hold a second copy of its rows."""
+    kept = []
+    persist = type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: kept.append(df.columns) or persist(df, *a))
+    fx.transfer_docs(spark, SF).write.option("ignoreNullFields", "true").json(f"{tmp_path}/in")
+    stream = ingest.ingest_stream(spark, f"{tmp_path}/in", wrappings=False)
+    ingest.start_ingest(stream, f"{tmp_path}/store", f"{tmp_path}/messages", f"{tmp_path}/checkpoint").awaitTermination()
+    assert len([c for c in kept if "packet_hash" in c and "date" not in c]) == 1
