@@ -21,6 +21,15 @@ the foremost of their centres to begin with, which settles groups of copies. The
 looked at, but only lists that hold several components: there, members outside the component of most
 of the list are paired with the members of others. Pairs inside a component cannot change it.
 
+Lists of more than ``LONG_LIST`` members are paired no further. They come of texts that are alike but mostly
+below the threshold (a text and its more and more edited copies), of which nearly all pairs would meet. Among
+the texts of such lists the sets themselves decide, and no similar pair is missed: either two texts share a
+shingle that at most ``RARE`` of these texts have, within the prefix that has to hold a common one, or all that
+they share is frequent. Then the frequent shingles of either must suffice for a link at the other's size, which a
+text with many edits does not reach; those that do are looked up by size and by the prefix of their
+frequent shingles, from the smaller component in the larger, and with the foremost one first. What remains
+quadratic: a group of texts in different components that differ in little and have nothing rare in common.
+
 Defined results for odd input
 * A text of ``shingle_words`` words or fewer is one shingle. Null and wordless texts are copies of each other.
 * Null ids, repeated rows, an id on two texts: as in ``simhash.keep_one``. An empty table gives an empty result.
@@ -56,6 +65,10 @@ KEY_BYTES = 4
 #: Lists that a pair has to meet in, and positions that it has to share.
 MIN_LISTS = 2
 MIN_SHARED = 14
+#: Members of the longest lists that are paired, most texts of a rare shingle, and the ratio of the sizes that are looked up together.
+LONG_LIST = 16
+RARE = 32
+SIZE_STEP = 1.03
 
 
 def shingle_set(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -160,19 +173,24 @@ class _Verifier:
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
         near = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("shared", _shared("fp_u", "fp_v"))
         near = materialize(near.filter(F.col("shared") >= self.min_shared).select("u", "v"), "similar-candidates")
-        nodes = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
+        held = self.sets(near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct())
+        side = lambda x: held.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
+        both = F.size(F.array_intersect("s_u", "s_v"))
+        alike = both >= self.similarity * (F.size("s_u") + F.size("s_v") - both) - 1e-9
+        links = materialize(near.join(side("u"), "u").join(side("v"), "v").filter(alike).select("u", "v"), "similar-links")
+        release(near, held)
+        return links
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, s (its shingle set, sorted) of ``nodes``."""
         keys = self.rows.join(nodes, "node").groupBy("node").agg(F.min("text_key").alias("__key"))
         keys = materialize(keys, "similar-texts")
         held = self.docs.select(F.col(self.text_col).alias("__text")).join(broadcast_if_small(keys), text_hash(F.col("__text")) == F.col("__key"))
         held = held.groupBy("node").agg(F.first("__text").alias("__text")).select("node", _setter(self.k)("__text").alias("s"))
         with text_batches(self.docs.sparkSession):
             held = materialize(held, "similar-sets")
-        side = lambda x: held.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
-        both = F.size(F.array_intersect("s_u", "s_v"))
-        alike = both >= self.similarity * (F.size("s_u") + F.size("s_v") - both) - 1e-9
-        links = materialize(near.join(side("u"), "u").join(side("v"), "v").filter(alike).select("u", "v"), "similar-links")
-        release(near, keys, held)
-        return links
+        release(keys)
+        return held
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -199,8 +217,59 @@ def _often(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.count("*").alias("lists")).filter(F.col("lists") >= MIN_LISTS).drop("lists")
 
 
-def _settled(classes: DataFrame, verify: _Verifier, positions: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(links, pairs looked at) of texts with the centres of their lists, under some of the keys."""
+def _up(x: Column) -> Column:
+    return F.ceil(x - 1e-9).cast("int")
+
+
+def _parts(sets: DataFrame) -> DataFrame:
+    """node, n (shingles), rare, often: the set of each text, cut by how many texts of ``sets`` (node, s) have a shingle."""
+    shingles = sets.select("node", F.explode("s").alias("shingle"))
+    frequent = materialize(shingles.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > RARE).select("shingle"), "similar-frequent")
+    rare = shingles.join(broadcast_if_small(frequent), "shingle", "left_anti").groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("rare"))
+    parts = sets.join(rare, "node", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<long>")))
+    parts = materialize(parts.select("node", F.size("s").alias("n"), "rare", F.array_except("s", "rare").alias("often")), "similar-parts")
+    release(frequent, sets)
+    return parts
+
+
+def _placed(parts: DataFrame, found: DataFrame) -> DataFrame:
+    return parts.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _rare_pairs(placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components that share a rare shingle within the prefixes of the order of rare shingles, then frequent ones."""
+    heads = placed.select("node", "c", F.explode(F.slice("rare", F.lit(1), F.col("n") - _up(F.col("n") * similarity) + 1)).alias("shingle"))
+    other = heads.select("shingle", F.col("node").alias("x"), F.col("c").alias("cx"))
+    return heads.join(other, "shingle").filter("node > x AND c != cx").select(F.col("node").alias("u"), F.col("x").alias("v")).distinct()
+
+
+def _frequent_pairs(placed: DataFrame, similarity: float, foremost: bool) -> DataFrame:
+    """Pairs of different components whose frequent shingles suffice for a link: all of them, or one with a large component for each text."""
+    enough = lambda sizes: _up(sizes * (similarity / (1 + similarity)))  # noqa: E731  # shingles that a similar pair of these sizes together shares
+    band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP))).cast("int")
+    prefix = lambda shared: F.explode(F.slice("often", F.lit(1), F.col("f") - shared + 1)).alias("shingle")
+    own = _up(F.col("n") * similarity)
+    weights = materialize(placed.groupBy("c").agg(F.count("*").alias("m")), "similar-weights")
+    largest = weights.agg(F.max_by("c", F.struct("m", "c"))).first()[0]
+    able = placed.withColumn("f", F.size("often")).filter(F.col("f") >= own).join(broadcast_if_small(weights), "c")
+    hosts = able.select(band(F.col("n")).alias("band"), prefix(own), *[F.col(x).alias(f"{x}_h") for x in ("m", "f", "node", "c", "n")])
+    if foremost:
+        host = F.struct("m_h", "f_h", "node_h", "c_h", "n_h")
+        hosts = hosts.groupBy("band", "shingle").agg(F.max(host).alias("host")).select("band", "shingle", "host.*")
+    # from the smaller component, in the order of sizes, then names, to the sizes that a similar text may have
+    guests = able.filter(F.col("c") != F.lit(largest)).withColumn("band", F.explode(F.sequence(band(own), band(F.col("n") / similarity + 1e-9))))
+    guests = guests.withColumn("shared", enough(F.col("n") + F.greatest(_up(F.pow(F.lit(SIZE_STEP), F.col("band")) - 1e-6), own))).filter("f >= shared")
+    guests = guests.select("band", prefix(F.col("shared")), "node", "c", "m", "n", "f")
+    meet = guests.join(hosts, ["band", "shingle"]).filter("m < m_h OR (m = m_h AND c < c_h)").filter(F.least("f", "f_h") >= enough(F.col("n") + F.col("n_h")))
+    if foremost:
+        meet = meet.groupBy("node").agg(F.max_by("node_h", F.struct("m_h", "f_h", "node_h")).alias("node_h"))
+    pairs = materialize(meet.select(*_ordered("node", "node_h")).distinct(), "similar-frequent-pairs")
+    release(weights)
+    return pairs
+
+
+def _settled(classes: DataFrame, verify: _Verifier, positions: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, pairs looked at) of texts with the centres of their lists, under some of the keys, and the texts of long lists."""
     postings = classes.select("node", F.explode(_poster(positions)("fp")).alias("key"))
     lists = materialize(_lists(postings), "similar-lists")
     longer = materialize(lists.filter("n > 2").select("key", "n"), "similar-longer")
@@ -217,27 +286,43 @@ def _settled(classes: DataFrame, verify: _Verifier, positions: np.ndarray) -> tu
     links = verify(foremost.select(*_ordered("x", "y")).distinct())
     found = connected_components(links)
     links = links.union(verify(_apart(stars, found)))
+    dense = materialize(members.filter(F.col("n") > LONG_LIST).select("node").distinct(), "similar-crowd")
     release(lists, longer, members, met, centres)
-    return links, stars
+    return links, stars, dense
 
 
 def _components(classes: DataFrame, verify: _Verifier, positions: np.ndarray, first_keys: int) -> DataFrame:
     """(node, component) of all that is linked over similar pairs that meet often enough."""
-    links, tried = _settled(classes, verify, positions[:first_keys])
+    links, tried, dense = _settled(classes, verify, positions[:first_keys])
     found = materialize(connected_components(links), "similar-found")
-    placed = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.explode(_poster(positions)("fp")).alias("key"))
-    # a list inside one component has nothing to add
-    lists = materialize(_lists(placed, F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 != c2"), "similar-lists")
-    longer = materialize(lists.filter("n > 2").select("key"), "similar-longer")
-    members = materialize(placed.join(broadcast_if_small(longer), "key"), "similar-members")
+    placed = classes.join(found, "node", "left").join(broadcast_if_small(dense.withColumn("dense", F.lit(True))), "node", "left")
+    placed = placed.select("node", F.coalesce("component", "node").alias("c"), F.coalesce("dense", F.lit(False)).alias("dense"), F.explode(_poster(positions)("fp")).alias("key"))
+    # a list inside one component has nothing to add, nor has one of texts whose sets are compared anyway
+    lists = _lists(placed, F.min("c").alias("c1"), F.max("c").alias("c2"), F.bool_and("dense").alias("known"))
+    lists = materialize(lists.filter("c1 != c2 AND NOT known"), "similar-lists")
+    longer = materialize(lists.filter("n > 2").select("key", (F.col("n") > LONG_LIST).alias("long")), "similar-longer")
+    members = materialize(placed.join(broadcast_if_small(longer), "key").filter("NOT (long AND dense)"), "similar-members")
+    crowd = members.filter("long").select("node").distinct()
+    members = members.filter("NOT long")
     sizes = members.groupBy("key", "c").agg(F.count("*").alias("m"))
     main = materialize(sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main")), "similar-main")
-    outside = members.join(main, "key").filter("c != main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    rest = members.join(outside, "key").filter("c != cx")
+    outside = members.join(main, "key").filter("c != main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("dense").alias("dense_x"))
+    rest = members.join(outside, "key").filter("c != cx AND NOT (dense AND dense_x)")
     rest = rest.select(*_ordered("node", "x"), "key").distinct().drop("key")
-    rest = _often(rest.unionByName(_twos(lists))).join(tried, ["u", "v"], "left_anti")
-    found = connected_components(links.union(verify(materialize(rest, "similar-rest"))))
-    release(lists, longer, members, main, tried)
+    rest = _often(rest.unionByName(_twos(lists)))
+    crowd = materialize(dense.union(crowd), "similar-crowd")
+    parts = None if crowd.isEmpty() else _parts(verify.sets(crowd))
+    if parts is not None:
+        among = _placed(parts, found)
+        rest = rest.union(_rare_pairs(among, verify.similarity)).union(_frequent_pairs(among, verify.similarity, True)).distinct()
+    rest = materialize(rest.join(tried, ["u", "v"], "left_anti"), "similar-rest")
+    links = links.union(verify(rest))
+    found = connected_components(links)
+    if parts is not None:
+        more = _frequent_pairs(_placed(parts, found), verify.similarity, False).join(tried.union(rest), ["u", "v"], "left_anti")
+        found = connected_components(links.union(verify(more)))
+        release(parts)
+    release(lists, longer, members, main, crowd, dense, tried, rest)
     return found
 
 

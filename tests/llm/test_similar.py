@@ -87,3 +87,43 @@ def test_short_texts_that_are_equal_are_one(spark):
     rows = [(1, "a b c"), (2, "A  b c"), (3, "a b d"), (4, "a b c d e f g"), (5, "a b c d e f"), (6, None), (7, " "), (8, "a b c d e f g h")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in similar.drop_similar(df).collect()) == [1, 3, 4, 5, 6, 8]
+
+
+def _more_and_more_edited(copies, seed=11):
+    """A text and copies of it with one to 20 words replaced: nearly all pairs are alike, but below the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = [" ".join(base)]
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 14, 20])):
+            copy[rng.randrange(150)] = f"w{rng.randint(150, 8000)}"
+        rows.append(" ".join(copy))
+    return list(enumerate(rows))
+
+
+def test_pairs_of_a_group_grow_with_its_texts(spark, monkeypatch):
+    looked_at, call = [], similar._Verifier.__call__
+    monkeypatch.setattr(similar._Verifier, "__call__", lambda self, pairs: looked_at.append(pairs.count()) or call(self, pairs))
+    sums = []
+    for copies in (150, 600):
+        rows = _more_and_more_edited(copies)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted((r["doc_id"], r["text"]) for r in similar.drop_similar(df).collect()) == _brute_kept(rows)
+        sums.append(sum(looked_at))
+        looked_at.clear()
+    assert sums[1] < 8 * sums[0] and sums[1] < 16 * 600
+
+
+def test_pairs_by_sets_hold_all_similar_ones(spark):
+    """Without components yet: of texts of several sizes around two frequent ones, some cut short, no similar pair is missing."""
+    rng = random.Random(3)
+    rows = [t.split() for _, t in _more_and_more_edited(120)] + [[f"v{i}" for i in range(60, 200)]] * 40
+    rows += [[*r[: rng.randint(100, len(r))], *(["x"] * rng.randint(0, 2))] for r in rows]
+    sets = {int(s.sum().view("int64")): s for s in (similar.shingle_set(" ".join(r)) for r in rows)}
+    df = spark.createDataFrame([(k, [int(h) for h in s.view("int64")]) for k, s in sets.items()], "node long, s array<long>")
+    placed = similar._placed(similar._parts(df), spark.createDataFrame([], "node long, component long"))
+    got = {tuple(sorted(p)) for p in similar._rare_pairs(placed, 0.8).union(similar._frequent_pairs(placed, 0.8, False)).collect()}
+    held = {k: set(s.tolist()) for k, s in sets.items()}
+    want = {tuple(sorted((a, b))) for a in held for b in held if a != b and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
+    assert want and want <= got
