@@ -175,8 +175,18 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transfer_docs(spark: SparkSession, sf_dir: str, per_response: int = 50) -> DataFrame:
     """Transfer responses of the wire format, of ``per_response`` events each; every tenth carries an error."""
-    e = read(spark, sf_dir, "events")
-    key = lambda column, n, prefix: F.concat(F.lit(prefix), (F.col(column) % n).cast("string"))
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    # events are dealt and collected as they are: their items are some ten times as wide, and made as a response is read
+    dealt = e.withColumn("n", F.floor(F.col("event_id") / per_response)).repartition("n")
+    grouped = dealt.groupBy("n").agg(F.array_sort(F.collect_list(F.struct(*e.columns))).alias("rows"))
+    errors = F.when(F.col("n") % 10 == 9, F.array(F.struct(F.lit("timeout").alias("message"))))
+    return grouped.select(F.struct(F.transform("rows", _item).alias("v2_transfers")).alias("data"), errors.alias("errors"))
+
+
+def _item(e: F.Column) -> F.Column:
+    """The transfer of an event, as responses have it."""
+    key = lambda column, n, prefix: F.concat(F.lit(prefix), (e[column] % n).cast("string"))
+    text = lambda column, prefix: F.concat(F.lit(prefix), e[column].cast("string"))
 
     def chain(id_: F.Column, odd: F.Column) -> F.Column:
         return F.struct(
@@ -185,24 +195,19 @@ def transfer_docs(spark: SparkSession, sf_dir: str, per_response: int = 50) -> D
 
     wrapping = F.array(F.struct(
         F.lit(0).alias("index"), F.struct(key("user_id", 7, "chain-").alias("universal_chain_id")).alias("unwrapped_chain"),
-        F.hex("event_id").alias("unwrapped_address_hex"), F.struct(key("event_id", 5, "chain-").alias("universal_chain_id")).alias("wrapped_chain")))
-    item = F.struct(
-        chain(key("user_id", 7, "chain-"), F.col("user_id") % 2 == 1).alias("source_chain"),
-        chain(key("event_id", 5, "chain-"), F.col("event_id") % 5 == 3).alias("destination_chain"),
-        _text("user_id", "w-").alias("sender_canonical"), F.when(F.col("event_id") % 2 == 0, _text("user_id", "shown-")).alias("sender_display"),
+        F.hex(e["event_id"]).alias("unwrapped_address_hex"), F.struct(key("event_id", 5, "chain-").alias("universal_chain_id")).alias("wrapped_chain")))
+    return F.struct(
+        chain(key("user_id", 7, "chain-"), e["user_id"] % 2 == 1).alias("source_chain"),
+        chain(key("event_id", 5, "chain-"), e["event_id"] % 5 == 3).alias("destination_chain"),
+        text("user_id", "w-").alias("sender_canonical"), F.when(e["event_id"] % 2 == 0, text("user_id", "shown-")).alias("sender_display"),
         key("event_id", 211, "w-").alias("receiver_canonical"), F.lit("").alias("receiver_display"),
-        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("transfer_send_timestamp"),
-        F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(_text("event_id", "tx-")).alias("transfer_send_transaction_hash"),
-        F.lit("tok").alias("base_token"), F.round(F.col("value") * 100).cast("long").cast("string").alias("base_amount"),
-        F.col("event_type").alias("base_token_symbol"), F.lit(2).alias("base_token_decimals"),
-        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("sort_order"), _text("event_id", "pkt-").alias("packet_hash"),
+        F.date_format(e["ts"].cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("transfer_send_timestamp"),
+        F.when(e["event_id"] % 3 == 0, F.lit("")).otherwise(text("event_id", "tx-")).alias("transfer_send_transaction_hash"),
+        F.lit("tok").alias("base_token"), F.round(e["value"] * 100).cast("long").cast("string").alias("base_amount"),
+        e["event_type"].alias("base_token_symbol"), F.lit(2).alias("base_token_decimals"),
+        F.lpad(e["event_id"].cast("string"), 20, "0").alias("sort_order"), text("event_id", "pkt-").alias("packet_hash"),
         F.lit("wrap").alias("wrap_direction"),
         F.struct(wrapping.alias("wrapping")).alias("quote_token_meta"), F.struct(wrapping.alias("wrapping")).alias("base_token_meta"))
-    # events are dealt as they are: their items are some ten times as wide, and made where a response's events have met
-    dealt = e.withColumn("n", F.floor(F.col("event_id") / per_response)).repartition("n")
-    grouped = dealt.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("t")))).alias("rows"))
-    errors = F.when(F.col("n") % 10 == 9, F.array(F.struct(F.lit("timeout").alias("message"))))
-    return grouped.select(F.struct(F.transform("rows", lambda r: r["t"]).alias("v2_transfers")).alias("data"), errors.alias("errors"))
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,14 +42,8 @@ def scale_amount(df: DataFrame, amount: str = "base_amount", decimals: str = "ba
     text = F.trim(F.coalesce(F.col(amount), F.lit("")))
     places = F.greatest(F.coalesce(F.col(decimals), F.lit(0)), F.lit(0))
     number = text.rlike("^[+-]?[0-9]+$")
-    negative = text.startswith("-")
-    digits = F.regexp_replace(F.regexp_replace(text, "^[+-]", ""), "^0+(?=[0-9])", "")
-    # the decimal point is moved in the digits, so nothing is rounded before the 18th place
-    padded = F.lpad(digits, F.greatest(F.length(digits), places + 1), F.lit("0"))
-    whole = F.left(padded, F.length(padded) - places)
-    fraction = F.right(padded, places)
-    made = F.concat(F.when(negative, "-").otherwise(""), whole, F.lit("."), fraction, F.lit("0"))
-    scaled = made.try_cast("decimal(38,18)")
+    # the decimal point is moved by an exponent of the text, so nothing is rounded before the 18th place
+    scaled = F.concat(text, F.lit("E-"), places.cast("string")).try_cast("decimal(38,18)")
     value = F.when(number, scaled).otherwise(F.lit(0).cast("decimal(38,18)"))
     return df.withColumn("amount", value).withColumn("amount_overflow", number & scaled.isNull())
 

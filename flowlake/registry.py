@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake import fixtures as fx, schemas
-from flowlake.files import shared_path
+from flowlake.files import children, shared_path
 from flowlake.functions import columns as col
 from flowlake.operators import assets, enrich, flows, health, latency, ops, ranking, rates, routes, wallets
 from flowlake.plans import documents
@@ -516,12 +516,21 @@ _FACT = ("SELECT packet_hash, sort_order, source_chain, dest_chain, source_name,
 _add("snk2_fact_rows", lambda spark, sf_dir: enrich.to_fact_rows(_model(spark, sf_dir)).drop("created_at").withColumn("amount", F.col("amount").cast("decimal(28,2)")), _FACT, _DOCS)
 
 
+#: Some 4 MB of a file of responses, 65 MB as text.
+RESPONSES_PER_FILE = 1000
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1-4: responses in files, streamed twice through the fan-out, and the stored facts read back."""
+    """STR1-4: responses in files, streamed twice through the fan-out in two batches, and the stored facts read back.
+
+    A compressed file is read by one task, so files are small and grow in number with the input.
+    """
     base = shared_path(spark, "ingest")
-    fx.transfer_docs(spark, sf_dir).repartition(4).write.option("ignoreNullFields", "true").json(f"{base}/in")
+    docs = fx.transfer_docs(spark, sf_dir).write.option("ignoreNullFields", "true").option("compression", "gzip")
+    docs.option("maxRecordsPerFile", RESPONSES_PER_FILE).json(f"{base}/in")
+    half = (sum(name.endswith(".json.gz") for name in children(spark, f"{base}/in")) + 1) // 2
     for run in ("first", "again"):
-        stream = ingest.ingest_stream(spark, f"{base}/in", max_files=2, wrappings=False)
+        stream = ingest.ingest_stream(spark, f"{base}/in", max_files=max(half, 1), wrappings=False)
         ingest.start_ingest(stream, f"{base}/store", f"{base}/messages-{run}", f"{base}/checkpoint-{run}").awaitTermination()
     facts = spark.read.parquet(f"{base}/store/facts")
     return facts.drop("created_at", "date").withColumn("amount", F.col("amount").cast("decimal(28,2)"))

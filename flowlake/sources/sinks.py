@@ -36,10 +36,11 @@ def append_snapshot(existing: DataFrame, batch: DataFrame, keys: list[str]) -> D
 def store_transfers(spark: SparkSession, path: str, batch: DataFrame, held: bool = False) -> int:
     """SNK1 at rest: append what is new to ``path``/facts (by date, in the order of the sort key) and its keys to ``path``/keys.
 
-    The key store opens only what the batch's keys may be in. A marker with the dates of a batch stands
-    while it is being written. Where a batch finds the marker of a failed one, it also takes the keys
-    of the facts of those dates into account, so nothing is appended twice. The batch is persisted
-    meanwhile, unless the caller says that what it is read from is ``held`` already.
+    The key store opens only what the batch's keys may be in, and new keys are found among keys alone:
+    whole rows are dealt by key only where a batch mixes new rows with stored or repeated ones. A marker
+    with the dates of a batch stands while it is being written. Where a batch finds the marker of a
+    failed one, it also takes the keys of the facts of those dates into account, so nothing is appended
+    twice. The batch is persisted meanwhile, unless the caller says that what it is read from is ``held`` already.
     """
     facts, marker, key = f"{path}/facts", f"{path}/_pending", ["packet_hash"]
     keys = KeyStore(spark, f"{path}/keys", key)
@@ -49,19 +50,23 @@ def store_transfers(spark: SparkSession, path: str, batch: DataFrame, held: bool
         lost = _lost_keys(spark, facts, marker)
         if lost is not None:
             known = lost if known is None else known.unionByName(lost)
-        fresh = new_rows(batch.select(*key).limit(0) if known is None else known, batch, key).withColumn("date", F.to_date("timestamp")).persist()
+        known = batch.select(*key).limit(0) if known is None else known
+        new_keys = new_rows(known, batch.select(*key), key)
+        n = new_keys.count()
+        mixed = 0 < n < batch.count()
+        fresh = (new_rows(known, batch, key) if mixed else batch).withColumn("date", F.to_date("timestamp"))
+        fresh = fresh.persist() if mixed else fresh
         try:
-            dates = [str(r[0]) for r in fresh.select("date").distinct().collect()]
-            n = fresh.count()
             if n:
-                write_text(spark, marker, json.dumps(dates))
+                write_text(spark, marker, json.dumps([str(r[0]) for r in fresh.select("date").distinct().collect()]))
                 clustered = [F.col(c) for c in ("date", "sort_order") if c in fresh.columns]
                 fresh.repartition("date").sortWithinPartitions(*clustered).write.mode("append").partitionBy("date").parquet(facts)
             if n or lost is not None:
-                found = fresh.select(*key) if lost is None else fresh.select(*key).unionByName(lost)
-                keys.add(found)
+                found = fresh.select(*key) if n else lost
+                keys.add(found.unionByName(lost) if n and lost is not None else found)
         finally:
-            fresh.unpersist()
+            if mixed:
+                fresh.unpersist()
     finally:
         if not held:
             batch.unpersist()

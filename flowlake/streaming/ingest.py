@@ -50,7 +50,7 @@ def fan_out(store: str, messages: str) -> Callable[[DataFrame, int], None]:
         batch = batch.persist()
         try:
             sinks.store_transfers(batch.sparkSession, store, enrich.to_fact_rows(batch), held=True)
-            message_stream(batch).write.mode("overwrite").text(f"{messages}/batch={batch_id}")
+            message_stream(batch).write.mode("overwrite").option("compression", "gzip").text(f"{messages}/batch={batch_id}")
         finally:
             batch.unpersist()
 

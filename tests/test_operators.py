@@ -155,6 +155,20 @@ def test_scale_amount(spark, amount, decimals, value, overflow):
     assert got["amount"] == (None if value is None else Decimal(value))
 
 
+def test_scale_amount_of_odd_texts(spark):
+    """Signs, leading zeros, blanks, line ends, negative places, rounding at the 18th place and both ends of the type."""
+    want = {
+        ("+007", 2): "0.07", ("-0", 3): "0", (" 12 ", 1): "1.2", ("12", -4): "12", ("12", None): "12", ("1e5", 0): "0", ("12d", 0): "0", ("--1", 0): "0", ("12\n", 0): None,
+        ("5", 19): "0.000000000000000001", ("4", 19): "0", ("-15", 19): "-0.000000000000000002", ("1", 400): "0", ("0" * 60 + "7", 1): "0.7",
+        ("9" * 20, 0): "9" * 20, ("9" * 21, 0): None, ("9" * 38, 18): "9" * 20 + "." + "9" * 18, ("9" * 39, 19): None, ("9" * 39, 21): "9" * 18 + "." + "9" * 18,
+    }
+    want["9" * 39, 21] = "1" + "0" * 18  # rounded up
+    df = spark.createDataFrame(list(want), "base_amount string, base_token_decimals int")
+    for r in enrich.scale_amount(df).collect():
+        value = want[r["base_amount"], r["base_token_decimals"]]
+        assert r["amount"] == (None if value is None else Decimal(value)) and r["amount_overflow"] == (value is None), r
+
+
 def test_shorten_address(spark):
     df = spark.createDataFrame([("x" * 16,), ("abcdefgh12345uvwxyz",)], "a string")
     assert [r[0] for r in df.select(col.shorten_address(F.col("a"))).collect()] == ["x" * 16, "abcdefgh...uvwxyz"]

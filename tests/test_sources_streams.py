@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 from datetime import datetime, timedelta
+from itertools import accumulate
 
 from pyspark.sql import functions as F
 
 from flowlake import fixtures as fx
-from flowlake import schemas
-from flowlake.operators import health, latency, rates, routes, wallets
+from flowlake import registry, schemas
+from flowlake.operators import enrich, health, latency, rates, routes, wallets
 from flowlake.plans import documents, partials, refresh
 from flowlake.sources import documents as src
 from flowlake.sources import segments, sinks
@@ -277,3 +278,43 @@ def test_stored_batch_is_held_once(spark, tmp_path, monkeypatch):
     stream = ingest.ingest_stream(spark, f"{tmp_path}/in", wrappings=False)
     ingest.start_ingest(stream, f"{tmp_path}/store", f"{tmp_path}/messages", f"{tmp_path}/checkpoint").awaitTermination()
     assert len([c for c in kept if "packet_hash" in c and "date" not in c]) == 1
+
+
+def _bytes(path, suffix):
+    """Bytes of a folder's data files, which all end in ``suffix``."""
+    files = [os.path.join(root, f) for root, _, names in os.walk(path) for f in names if not f.startswith((".", "_"))]
+    assert files and all(f.endswith(suffix) for f in files)
+    return sum(map(os.path.getsize, files))
+
+
+def test_ingest_keeps_little_on_disk(spark, tmp_path, monkeypatch):
+    """Responses and messages are compressed; responses are in small files, of which a batch takes half."""
+    monkeypatch.setattr(registry, "shared_path", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(registry, "RESPONSES_PER_FILE", 2)
+    assert registry.QUERIES["str2_ingest_fan_out"](spark, SF).count() == 900
+    base = f"{tmp_path}/ingest"
+    assert spark.read.text(f"{base}/in").count() == 20 and len([f for f in os.listdir(f"{base}/in") if f.endswith(".json.gz")]) >= 10
+    assert _bytes(f"{base}/in", ".json.gz") < 200 * 1000  # as text 1,000 bytes an event
+    for run in ("first", "again"):
+        batches = os.listdir(f"{base}/messages-{run}")
+        assert sorted(b for b in batches if b.startswith("batch=")) == ["batch=0", "batch=1"]
+        assert spark.read.text(f"{base}/messages-{run}").count() == 900
+        assert _bytes(f"{base}/messages-{run}", ".txt.gz") < 100 * 900  # as text 580 bytes a message
+
+
+def test_items_are_made_after_their_events_were_collected(spark):
+    """What is collected into a response are events, not the transfers that are some ten times as wide."""
+    rest = fx.transfer_docs(spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("collect_list(", 1)[1]
+    depth = list(accumulate(((c == "(") - (c == ")") for c in rest), initial=1))
+    collected = rest[: depth.index(0)]
+    assert "event_type" in collected and "source_chain" not in collected
+
+
+def test_enriched_rows_are_made_by_compiled_code(spark, tmp_path):
+    """The JVM interprets methods of over 8,000 bytes; the widest one is that which parses a response into the fan-out's rows."""
+    fx.transfer_docs(spark, SF).write.json(f"{tmp_path}/in")
+    docs = src.transfer_rows(spark.read.schema(schemas.UNWRAPPED_DOCS).json(f"{tmp_path}/in"))
+    rows = enrich.enrich_transfers(enrich.scale_amount(enrich.to_transfer_model(docs))).drop(*ingest.NOT_FANNED_OUT)
+    stages = rows._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [int(stages.apply(i)._3().maxMethodCodeSize()) for i in range(stages.size())]
+    assert sizes and max(sizes) < 8000

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.files import Manifest, children
@@ -85,6 +87,20 @@ def test_store_transfers_equals_the_append_in_memory(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_whole_rows_are_dealt_by_key_only_in_mixed_batches(spark, tmp_path, monkeypatch):
+    """Where a batch is new as a whole, or stored as a whole, keys alone are shuffled to find that out."""
+    dealt = []
+    new_rows = sinks.new_rows
+    monkeypatch.setattr(sinks, "new_rows", lambda keys, batch, *a: dealt.append(batch.columns) or new_rows(keys, batch, *a))
+    for some, again, new, wide in ((range(60), 1, 60, False), (range(60), 1, 0, False), (range(60, 90), 1, 30, False), (range(80, 100), 1, 10, True), (range(100, 110), 2, 10, True), (range(110), 2, 0, False)):
+        dealt.clear()
+        batch = reduce(DataFrame.unionByName, [_transfers(spark, some)] * again)
+        assert sinks.store_transfers(spark, f"{tmp_path}/t", batch) == new
+        assert any(c != ["packet_hash"] for c in dealt) == wide
+    facts = spark.read.parquet(f"{tmp_path}/t/facts").drop("date")
+    assert sorted(map(tuple, facts.collect())) == sorted(map(tuple, _transfers(spark, range(110)).collect()))
+
+
 def test_facts_are_ordered_by_sort_key(spark, tmp_path):
     sinks.store_transfers(spark, f"{tmp_path}/t", _transfers(spark, range(300)).repartition(5))
     files = spark.read.parquet(f"{tmp_path}/t/facts").select(F.input_file_name().alias("f"), "date", "sort_order", F.monotonically_increasing_id().alias("at")).collect()
