@@ -173,11 +173,18 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transfer_docs(spark: SparkSession, sf_dir: str, per_response: int = 50) -> DataFrame:
-    """Transfer responses of the wire format, of ``per_response`` events each; every tenth carries an error."""
+#: Events of a transfer response.
+PER_RESPONSE = 50
+
+
+def transfer_docs(spark: SparkSession, sf_dir: str, per_response: int = PER_RESPONSE, tasks: int | None = None) -> DataFrame:
+    """Transfer responses of the wire format, of ``per_response`` events each; every tenth carries an error.
+
+    They are made in ``tasks`` tasks, or in as many as Spark takes for the events.
+    """
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     # events are dealt and collected as they are: their items are some ten times as wide, and made as a response is read
-    dealt = e.withColumn("n", F.floor(F.col("event_id") / per_response)).repartition("n")
+    dealt = e.withColumn("n", F.floor(F.col("event_id") / per_response)).repartition(*([tasks] if tasks else []), "n")
     grouped = dealt.groupBy("n").agg(F.array_sort(F.collect_list(F.struct(*e.columns))).alias("rows"))
     errors = F.when(F.col("n") % 10 == 9, F.array(F.struct(F.lit("timeout").alias("message"))))
     return grouped.select(F.struct(F.transform("rows", _item).alias("v2_transfers")).alias("data"), errors.alias("errors"))

@@ -5,6 +5,8 @@ Each query applies one operator to whole tables, with the newest instant of its
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -516,8 +518,8 @@ _FACT = ("SELECT packet_hash, sort_order, source_chain, dest_chain, source_name,
 _add("snk2_fact_rows", lambda spark, sf_dir: enrich.to_fact_rows(_model(spark, sf_dir)).drop("created_at").withColumn("amount", F.col("amount").cast("decimal(28,2)")), _FACT, _DOCS)
 
 
-#: Some 4 MB of a file of responses, 65 MB as text.
-RESPONSES_PER_FILE = 1000
+#: A file of responses is some 1.3 MB, 26 MB as text.
+RESPONSES_PER_FILE = 500
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -526,8 +528,8 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     A compressed file is read by one task, so files are small and grow in number with the input.
     """
     base = shared_path(spark, "ingest")
-    docs = fx.transfer_docs(spark, sf_dir).write.option("ignoreNullFields", "true").option("compression", "gzip")
-    docs.option("maxRecordsPerFile", RESPONSES_PER_FILE).json(f"{base}/in")
+    files = max(4, math.ceil(fx.read(spark, sf_dir, "events").count() / (fx.PER_RESPONSE * RESPONSES_PER_FILE)))
+    fx.transfer_docs(spark, sf_dir, tasks=files).write.option("ignoreNullFields", "true").option("compression", "gzip").json(f"{base}/in")
     half = (sum(name.endswith(".json.gz") for name in children(spark, f"{base}/in")) + 1) // 2
     for run in ("first", "again"):
         stream = ingest.ingest_stream(spark, f"{base}/in", max_files=max(half, 1), wrappings=False)
